@@ -27,12 +27,12 @@ def _scaled_log_erfc(z: float) -> float:
 
 
 def _fit_tail() -> np.ndarray:
-    """Chebyshev coefficients of log(erfc(z)) + z^2 - log(t) over t = 2 / (2 + z)."""
+    """Power coefficients of log(erfc(z)) + z^2 - log(t) over u = 2t - 1, t = 2 / (2 + z)."""
     nodes = np.cos((np.arange(60) + 0.5) * np.pi / 60)
     t = (nodes + 1) / 2
     z = 2 / t - 2
     values = [_scaled_log_erfc(zi) - math.log(ti) for zi, ti in zip(z, t)]
-    return chebyshev.chebfit(nodes, values, 40)
+    return chebyshev.cheb2poly(chebyshev.chebfit(nodes, values, 24))
 
 
 _TAIL = _fit_tail()
@@ -40,7 +40,12 @@ _TAIL = _fit_tail()
 
 def _tail(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     t = 2 / (2 + z)
-    return t, chebyshev.chebval(2 * t - 1, _TAIL)
+    u = 2 * t - 1
+    p = np.full_like(u, _TAIL[-1])
+    for c in _TAIL[-2::-1]:
+        p *= u
+        p += c
+    return t, p
 
 
 def log_ndtr_and_mills(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -4,10 +4,12 @@ The penalised log-likelihood of a parameter vector theta = (intercept, b, s) is
 
     loglik(theta) - C * (alpha * ||theta||_1 + (1 - alpha) * ||theta||^2 / 2)
 
-One scan returns the log-likelihood, its gradient and its Hessian for many
-parameter vectors at once, so a whole grid, all folds or all bootstrap
-replicates advance together. The driver holds a few numbers per vector and takes
-proximal Newton steps, which keep the L1 part exact (zeros are exact zeros).
+Rows that are not censored enter it only through their cross products, which one
+scan collects. After that each iteration scans the censored rows alone, and one
+scan returns log-likelihood, gradient and Hessian for many parameter vectors, so
+a whole grid, all folds or all bootstrap replicates advance together. The driver
+holds a few numbers per vector and takes proximal Newton steps, which keep the
+L1 part exact (zeros are exact zeros).
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -29,20 +30,32 @@ from pyspark.sql import types as T
 from perdura.functions.numeric import hash_fraction, linear_prediction
 from perdura.functions.probability import LOG_SQRT_2PI, log_ndtr, log_ndtr_and_mills
 from perdura.operators.linear import ols
-from perdura.operators.moments import gram, sum_over_rows
+from perdura.operators.moments import cached, gram, sum_over_rows
 
 CELLS_PER_BLOCK = 4_000_000
 SMALLEST_SIGMA = 1e-15
 
-# rows of extra columns -> [rows, vectors] weights
-Weights = Callable[[np.ndarray], np.ndarray]
-
 
 @dataclass(frozen=True)
 class Censoring:
     left: float = -math.inf
     right: float = math.inf
 
+    def censored(self, label: Column) -> Column:
+        return (label <= F.lit(float(self.left))) | (label >= F.lit(float(self.right)))
+
+
+@dataclass(frozen=True)
+class Weighting:
+    """Row weights of several samples; ``sample[k]`` is the sample of vector k.
+
+    ``weigh`` maps the rows' extra columns and sample numbers to a
+    [rows, samples] array.
+    """
+
+    weigh: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    sample: np.ndarray
+
 
 @dataclass(frozen=True)
 class Sums:
@@ -51,63 +64,108 @@ class Sums:
     value: np.ndarray
     gradient: np.ndarray
     hessian: np.ndarray
-    rows: np.ndarray
 
+    def __add__(self, other: Sums) -> Sums:
+        return Sums(
+            self.value + other.value,
+            self.gradient + other.gradient,
+            self.hessian + other.hessian,
+        )
+
+
+def _mirror(upper: np.ndarray) -> np.ndarray:
+    """[k, n, n] arrays filled above the diagonal, mirrored below it."""
+    lower = np.tril_indices(upper.shape[-1], -1)
+    upper[:, lower[0], lower[1]] = upper[:, lower[1], lower[0]]
+    return upper
+
+
+def cross_products(
+    df: DataFrame, features: Sequence[str], label: str, extra: Sequence[str], weights: Weighting | None
+) -> np.ndarray:
+    """Weighted sum of v v', v = (1, x, y), per sample: [samples, p + 2, p + 2]."""
+    p = len(features)
+    size = p + 2
+    pairs = np.triu_indices(size)
+    numbers = np.unique(weights.sample) if weights else np.arange(1)
 
-def tobit_sums(
+    def kernel(rows: np.ndarray) -> np.ndarray:
+        v = np.column_stack([np.ones(len(rows)), rows[:, : p + 1]])
+        products = v[:, pairs[0]] * v[:, pairs[1]]
+        if weights is None:
+            return products.sum(axis=0)[None, :]
+        return weights.weigh(rows[:, p + 1 :], numbers).T @ products
+
+    out = np.zeros((int(numbers.max()) + 1, size, size))
+    if df.limit(1).count():
+        block = max(64, min(8192, CELLS_PER_BLOCK // (len(numbers) + len(pairs[0]))))
+        sums = sum_over_rows(df, [*features, label, *extra], kernel, block)
+        for number, row in zip(numbers, sums):
+            out[number][pairs] = row
+    return _mirror(out)
+
+
+def exact_rows(products: np.ndarray, theta: np.ndarray) -> Sums:
+    """Sums over uncensored rows from their cross products, one per vector."""
+    m = theta.shape[1] - 1
+    b, s = theta[:, :m], theta[:, m]
+    n = products[:, 0, 0]
+    xx, xy, yy = products[:, :m, :m], products[:, :m, m], products[:, m, m]
+    xxb = np.einsum("kij,kj->ki", xx, b)
+    xz = (xy - xxb) / s[:, None]  # sum of x z, z the scaled residual
+    zz = (yy - 2 * (xy * b).sum(axis=1) + (xxb * b).sum(axis=1)) / (s * s)
+    value = -0.5 * zz - n * (np.log(np.maximum(s, SMALLEST_SIGMA)) + LOG_SQRT_2PI)
+    gradient = np.column_stack([xz / s[:, None], (zz - n) / s])
+    hessian = np.zeros((len(theta), m + 1, m + 1))
+    scale = (s * s)[:, None]
+    hessian[:, :m, :m] = -xx / scale[:, :, None]
+    hessian[:, :m, m] = hessian[:, m, :m] = -2 * xz / scale
+    hessian[:, m, m] = (n - 3 * zz) / (s * s)
+    return Sums(value, gradient, hessian)
+
+
+def censored_rows(
     df: DataFrame,
     features: Sequence[str],
     label: str,
     theta: np.ndarray,
     limits: Censoring,
     extra: Sequence[str] = (),
-    weights: Weights | None = None,
+    weights: Weighting | None = None,
 ) -> Sums:
-    """One scan over the rows for all vectors of ``theta`` ([vectors, p + 2])."""
-    theta = np.atleast_2d(np.asarray(theta, float))
+    """Sums over censored rows, by one scan for all vectors of ``theta``."""
     p = len(features)
     m = p + 1
     upper = np.triu_indices(m)
     b, s = theta[:, :m].T.copy(), theta[:, m].copy()
-    log_s = np.log(np.maximum(s, SMALLEST_SIGMA))
     vectors = len(theta)
+    if weights is not None:
+        numbers, place = np.unique(weights.sample, return_inverse=True)
 
     def kernel(rows: np.ndarray) -> np.ndarray:
         x = np.column_stack([np.ones(len(rows)), rows[:, :p]])
-        y = rows[:, p]
-        z = (y[:, None] - x @ b) / s
-        left, right = y <= limits.left, y >= limits.right
-        value = -0.5 * z * z - log_s - LOG_SQRT_2PI
-        pull = z.copy()  # s * d loglik / d(xb)
-        scale = z * z - 1  # s * d loglik / ds
-        curve = -np.ones_like(z)  # s^2 * second derivatives: xb xb, xb s, s s
-        cross = -2 * z
-        second = 1 - 3 * z * z
-        for rows_of, sign in ((left, 1.0), (right, -1.0)):
-            if rows_of.any():
-                a = sign * z[rows_of]
-                log_cdf, mills = log_ndtr_and_mills(a)
-                bend = -mills * (a + mills)
-                value[rows_of] = log_cdf
-                pull[rows_of] = -sign * mills
-                scale[rows_of] = -mills * a
-                curve[rows_of] = bend
-                cross[rows_of] = sign * (bend * a + mills)
-                second[rows_of] = bend * a * a + 2 * mills * a
-        count = np.full(vectors, float(len(rows)))
+        # left rows look down from the label, right rows up from it
+        sign = np.where(rows[:, p] <= limits.left, 1.0, -1.0)[:, None]
+        a = (rows[:, p, None] - x @ b) / s * sign
+        value, mills = log_ndtr_and_mills(a)
+        bend = -mills * (a + mills)
+        cross = (bend * a + mills) * sign  # s^2 d2 / d(xb) ds
+        scale = -mills * a  # s d / ds
+        second = a * (bend * a + 2 * mills)  # s^2 d2 / ds2
+        pull = -sign * mills  # s d / d(xb)
         if weights is not None:
-            w = weights(rows[:, p + 1 :])
-            count = w.sum(axis=0)
-            for part in (value, pull, scale, curve, cross, second):
+            w = weights.weigh(rows[:, p + 1 :], numbers)
+            if len(numbers) < vectors or (place != np.arange(vectors)).any():
+                w = w[:, place]
+            for part in (value, pull, scale, bend, cross, second):
                 part *= w
         products = x[:, upper[0]] * x[:, upper[1]]
         return np.column_stack(
             [
-                count,
                 value.sum(axis=0),
                 (x.T @ pull / s).T,
                 scale.sum(axis=0) / s,
-                (curve.T @ products) / (s * s)[:, None],
+                (bend.T @ products) / (s * s)[:, None],
                 (x.T @ cross / (s * s)).T,
                 second.sum(axis=0) / (s * s),
             ]
@@ -116,14 +174,12 @@ def tobit_sums(
     block = max(64, min(8192, CELLS_PER_BLOCK // (8 * vectors + len(upper[0]))))
     out = sum_over_rows(df, [*features, label, *extra], kernel, block)
     hessian = np.zeros((vectors, m + 1, m + 1))
-    at = 2 + m + 1
+    at = 1 + m + 1
     hessian[:, upper[0], upper[1]] = out[:, at : at + len(upper[0])]
     at += len(upper[0])
     hessian[:, :m, m] = out[:, at : at + m]
     hessian[:, m, m] = out[:, at + m]
-    lower = np.tril_indices(m + 1, -1)
-    hessian[:, lower[0], lower[1]] = hessian[:, lower[1], lower[0]]
-    return Sums(out[:, 1], out[:, 2 : 2 + m + 1], hessian, out[:, 0])
+    return Sums(out[:, 0], out[:, 1 : 1 + m + 1], _mirror(hessian))
 
 
 def penalty(theta: np.ndarray, l1: np.ndarray, l2: np.ndarray) -> np.ndarray:
@@ -248,10 +304,12 @@ class TobitFit:
 
 
 class TobitRows:
-    """The rows of one problem, narrow and cached across scans.
+    """The rows of one problem: cross products of the uncensored, a narrow cached
+    frame of the censored.
 
-    A lost executor's part is recomputed from the source; callers whose features
-    are costly to derive write them to a table first.
+    Use as a context. Features are taken as they are; scale them first, both for
+    the penalty's sake and for the precision of the cross products. Callers whose
+    features are costly to derive write them to a table first.
     """
 
     def __init__(
@@ -269,11 +327,14 @@ class TobitRows:
         self.df = df.select(*picked).na.drop()
 
     def __enter__(self) -> TobitRows:
-        self.df.persist(StorageLevel.MEMORY_AND_DISK)
+        held = self.limits.censored(F.col(self.label))
+        self.censored = cached(self.df.filter(held))
+        self.exact = self.df.filter(~held)
+        self.any_censored = self.censored.limit(1).count() > 0
         return self
 
     def __exit__(self, *_) -> None:
-        self.df.unpersist()
+        self.censored.unpersist()
 
     def start(self) -> np.ndarray:
         """Least squares with the population deviation of its residuals."""
@@ -282,28 +343,41 @@ class TobitRows:
         sigma = math.sqrt(stats.mse(fit.intercept, fit.coef)) or 1.0
         return np.concatenate(([fit.intercept], fit.coef, [sigma]))
 
-    def sums(self, theta: np.ndarray, weights: Weights | None = None) -> Sums:
-        return tobit_sums(
-            self.df, self.features, self.label, theta, self.limits, self.extra, weights
+    def products(self, weights: Weighting | None = None) -> np.ndarray:
+        return cross_products(self.exact, self.features, self.label, self.extra, weights)
+
+    def sums(
+        self, theta: np.ndarray, products: np.ndarray, weights: Weighting | None = None
+    ) -> Sums:
+        """``products`` comes from :meth:`products` with the same weighting."""
+        theta = np.atleast_2d(np.asarray(theta, float))
+        sample = weights.sample if weights else np.zeros(len(theta), int)
+        known = exact_rows(products[sample], theta)
+        if not self.any_censored:
+            return known
+        return known + censored_rows(
+            self.censored, self.features, self.label, theta, self.limits, self.extra, weights
         )
 
     def fit(
         self,
         settings: Sequence[tuple[float, float]],
         start: np.ndarray | None = None,
-        weights_of: Callable[[np.ndarray], Weights] | None = None,
+        weights: Weighting | None = None,
         fixed_sigma: bool = False,
         max_iter: int = 100,
         tol: float = 1e-10,
     ) -> list[TobitFit]:
-        """Fit all (C, alpha) settings together; ``weights_of(ids)`` weighs rows."""
+        """Fit all (C, alpha) settings together."""
         start = self.start() if start is None else np.asarray(start, float)
         theta0 = np.broadcast_to(start, (len(settings), len(self.features) + 2)).copy()
         c = np.array([s[0] for s in settings], float)
         alpha = np.array([s[1] for s in settings], float)
+        products = self.products(weights)
 
         def evaluate(theta: np.ndarray, ids: np.ndarray) -> Sums:
-            return self.sums(theta, weights_of(ids) if weights_of else None)
+            part = Weighting(weights.weigh, weights.sample[ids]) if weights else None
+            return self.sums(theta, products, part)
 
         theta, objective, scans = maximise(
             evaluate, theta0, c, alpha, fixed_sigma, max_iter, tol
@@ -311,13 +385,28 @@ class TobitRows:
         cost = penalty(theta, c * alpha, c * (1 - alpha))
         return [
             TobitFit(
-                c[k], alpha[k], float(t[0]), t[1:-1].copy(), float(t[-1]),
+                float(c[k]), float(alpha[k]), float(t[0]), t[1:-1].copy(), float(t[-1]),
                 float(cost[k] - objective[k]), float(objective[k]), int(scans[k]),
             )
             for k, t in enumerate(theta)
         ]
 
 
+def _outside(more: np.ndarray, folds: np.ndarray) -> np.ndarray:
+    return (more[:, :1] != folds).astype(float)
+
+
+def _inside(more: np.ndarray, folds: np.ndarray) -> np.ndarray:
+    return (more[:, :1] == folds).astype(float)
+
+
+def held_out_loglik(rows: TobitRows, fits: Sequence[TobitFit], fold: np.ndarray) -> np.ndarray:
+    """Log-likelihood of each fit on the fold it was not trained on."""
+    held = Weighting(_inside, fold)
+    theta = np.array([f.theta for f in fits])
+    return rows.sums(theta, rows.products(held), held).value
+
+
 def tobit_grid(
     df: DataFrame,
     features: Sequence[str],
@@ -340,16 +429,9 @@ def tobit_grid(
         held = np.tile(np.arange(folds), len(settings))
         start = np.repeat([f.theta for f in fits], folds, axis=0)
         repeated = [s for s in settings for _ in range(folds)]
-
-        def training(ids: np.ndarray) -> Weights:
-            out = held[ids]
-            return lambda more: (more[:, :1] != out).astype(float)
-
-        parts = rows.fit(repeated, start, training)
-        theta = np.array([f.theta for f in parts])
-        scores = rows.sums(theta, lambda more: (more[:, :1] == held).astype(float)).value
-        means = scores.reshape(len(settings), folds).mean(axis=1)
-        return [(f, float(m)) for f, m in zip(fits, means)]
+        parts = rows.fit(repeated, start, Weighting(_outside, held))
+        scores = held_out_loglik(rows, parts, held).reshape(len(settings), folds)
+        return [(f, float(m)) for f, m in zip(fits, scores.mean(axis=1))]
 
 
 def kfold_best(
@@ -362,19 +444,14 @@ def kfold_best(
     setting: tuple[float, float] = (0.0, 1.0),
 ) -> tuple[list[float], TobitFit]:
     """Held-out log-likelihood of each fold's model, and the best of them."""
+    held = np.arange(folds)
     with TobitRows(df, features, label, limits, {"_fold": fold}) as rows:
-        held = np.arange(folds)
-
-        def training(ids: np.ndarray) -> Weights:
-            return lambda more: (more[:, :1] != held[ids]).astype(float)
-
-        fits = rows.fit([setting] * folds, None, training)
-        theta = np.array([f.theta for f in fits])
-        scores = rows.sums(theta, lambda more: (more[:, :1] == held).astype(float)).value
+        fits = rows.fit([setting] * folds, None, Weighting(_outside, held))
+        scores = held_out_loglik(rows, fits, held)
         return list(map(float, scores)), fits[int(np.argmax(scores))]
 
 
-def _poisson_counts(row_bits: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
+def poisson_counts(row_bits: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
     """Poisson(1) draws fixed by (row, replicate, seed): [rows, replicates]."""
     with np.errstate(over="ignore"):
         key = replicates.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
@@ -407,17 +484,16 @@ def bootstrap(
     """
     bits = hash_fraction(*[F.col(k) for k in keys], seed=seed, method="xxhash64")
     extra = {"_bits": bits * F.lit(float(1 << 52))}
+
+    def draw(more: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        return poisson_counts(more[:, 0], numbers + first, seed)
+
     out: list[TobitFit] = []
     with TobitRows(df, features, label, limits, extra) as rows:
         start = rows.fit([setting])[0].theta
         for first in range(0, replicates, batch):
-            numbers = np.arange(first, min(first + batch, replicates))
-
-            def resampled(ids: np.ndarray, numbers=numbers) -> Weights:
-                chosen = numbers[ids]
-                return lambda more: _poisson_counts(more[:, 0], chosen, seed)
-
-            out += rows.fit([setting] * len(numbers), start, resampled)
+            size = min(batch, replicates - first)
+            out += rows.fit([setting] * size, start, Weighting(draw, np.arange(size)))
     return out
 
 
@@ -528,8 +604,8 @@ class TobitModel(Model, DefaultParamsReadable, DefaultParamsWritable):
         get = self.getOrDefault
         coef = get("coefficients")
         theta = np.array([0.0 if compat else get("intercept"), *coef, get("sigma")])
-        rows = TobitRows(df, get("features"), get("labelCol"), self.limits)
-        value = float(rows.sums(theta).value[0])
+        with TobitRows(df, get("features"), get("labelCol"), self.limits) as rows:
+            value = float(rows.sums(theta, rows.products()).value[0])
         if compat:
             c, a = np.array(get("C")), get("alpha")
             value -= float(penalty(theta[1:], c * a, c * (1 - a)))

@@ -64,7 +64,7 @@ mag AS (
       AS total_num_of_affiliation_self_citation,
     CAST(sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS DOUBLE)
       AS total_num_of_journal_self_citation,
-    CAST(sum(year(l_shipdate)) AS DOUBLE) / count(*) AS avg_year,
+    round(CAST(sum(year(l_shipdate)) AS DOUBLE) / count(*), 6) AS avg_year,
     CAST(min(year(l_shipdate)) AS DOUBLE) AS min_year,
     CAST(max(year(l_shipdate)) AS DOUBLE) AS max_year,
     CAST(min(l_linenumber) AS DOUBLE) AS median,
@@ -258,7 +258,7 @@ def publication_features(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "total_num_of_affiliation_self_citation"
             ),
             flagged(F.col("l_linestatus") == "F").alias("total_num_of_journal_self_citation"),
-            (number(F.sum(year)) / F.count("*")).alias("avg_year"),
+            F.round(number(F.sum(year)) / F.count("*"), 6).alias("avg_year"),
             number(F.min(year)).alias("min_year"),
             number(F.max(year)).alias("max_year"),
             number(F.min("l_linenumber")).alias("median"),

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Adaptive execution joins by measured sizes and splits hot join partitions.
@@ -24,3 +28,22 @@ def local_session(name: str, cpus: int = 8, memory: str = "8g") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of every executor."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="perdura-"), "perdura"),
+        "zip",
+        os.path.dirname(here),
+        os.path.basename(here),
+    )
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.01"
 
 if __name__ == "__main__":
     spark = local_session("check")
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = oracle.connect(SF)
     twins = entry.oracle_sql()
     wanted = sys.argv[1:]
@@ -30,10 +30,10 @@ if __name__ == "__main__":
                 rows = df.collect()
                 diff = None if rows else "no rows"
                 if wanted:
-                    for r in rows[:12]:
+                    for r in rows[:3]:
                         print("   ", str(r)[:300])
         except Exception as error:  # report and go on
-            diff = f"{type(error).__name__}: {str(error)[:700]}"
+            diff = f"{type(error).__name__}: {str(error)[:300]}"
         bad += diff is not None
         kind = "S" if name in twins else "R"
         print(f"{'ok ' if diff is None else 'BAD'} {kind} {name} {time.time() - start:.1f}s {diff or ''}", flush=True)
