@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def stream_json(
-    spark: SparkSession, source: str, schema: T.StructType, files_per_trigger: int = 100
+    spark: SparkSession, source: str, schema: T.StructType | str, files_per_trigger: int = 100
 ) -> DataFrame:
     return (
         spark.readStream.schema(schema)
@@ -27,9 +27,11 @@ def ingest_stream(
     delay: str = "10 minutes",
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Append to Parquet, dropping replays of a key within the watermark.
+    """Append to Parquet, dropping replays of a key.
 
-    State is one entry per key of the last ``delay`` of event time.
+    State is one entry per key of the last ``delay`` of event time. Rows older
+    than that are taken for replays, so ``delay`` must exceed the lateness of new
+    rows.
     """
     writer = (
         rows.withWatermark(event_time, delay)
@@ -57,14 +59,22 @@ def windowed_counts(
     return timed.groupBy(F.window(event_time, width).alias("w")).agg(F.count("*").alias("cnt"))
 
 
-def poll_count(rows: DataFrame, name: str, checkpoint: str, every: str = "300 seconds") -> StreamingQuery:
-    """Keep a named in-memory table with the running count, refreshed at intervals."""
-    return (
-        running_count(rows)
-        .writeStream.format("memory")
-        .queryName(name)
+def table_of_counts(
+    counts: DataFrame, target: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
+    """Keep a Parquet table of the counts, rewritten at each trigger.
+
+    Without ``every`` (the study polls at "300 seconds") the stream takes what
+    is there and stops.
+    """
+
+    def overwrite(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(target)
+
+    writer = (
+        counts.writeStream.outputMode("complete")
         .option("checkpointLocation", checkpoint)
-        .outputMode("complete")
-        .trigger(processingTime=every)
-        .start()
+        .foreachBatch(overwrite)
     )
+    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    return writer.start()
