@@ -14,21 +14,28 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Possessive quantifiers keep the Java matcher from backtracking or recursing
-# through long attribute lists.
+# Possessive quantifiers keep the Java matcher from backtracking, and make it loop
+# where it would otherwise recurse, so a tag of any length cannot overflow the stack.
 _REST = r"""(?:[\s/](?:[^"'>]++|"[^"]*+"|'[^']*+')*+)?>"""
-_ATTRS = r"""(?:[\s/]+[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*?[\s/]+"""
+
+
+def _attrs_before(name: str) -> str:
+    """The attributes of a tag up to the first one called ``name``, and its name."""
+    value = r"""(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
+    other = rf"""[\s/]+(?!{name}[\s=/>])[^\s"'>/=]++{value}"""
+    return rf"(?:{other})*+[\s/]+{name}"
+
 
 HIDDEN_RE = (
     rf"(?is)<!--.*?-->|(<script{_REST}).*?</script\s*>|(<style{_REST}).*?</style\s*>"
 )
 TITLE_RE = r"(?is)<title(?:\s[^>]*)?>(.*?)</title"
 ENTITY_RE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);"
-SCRIPT_SRC_RE = rf"(?i)<script{_ATTRS}src(?:[\s=/>])"
-SCRIPT_HTTP_RE = rf"""(?i:<script{_ATTRS}src)\s*=\s*["']?http"""
-CHARSET_RE = rf"""(?i)<meta{_ATTRS}charset\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]*)"""
+SCRIPT_SRC_RE = rf"(?i)<script{_attrs_before('src')}[\s=/>]"
+SCRIPT_HTTP_RE = rf"""(?i:<script{_attrs_before("src")})\s*=\s*["']?http"""
+CHARSET_RE = rf"""(?i)<meta{_attrs_before("charset")}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]*)"""
 IFRAME_RE = r"(?i)<iframe[\s/>]"
-LINK_RE = rf"""(?i)<a{_ATTRS}href\s*=\s*["']?http"""
+LINK_RE = rf"""(?i)<a{_attrs_before("href")}\s*=\s*["']?http"""
 
 HtmlFeature = Callable[[Column], Column]
 

@@ -133,7 +133,7 @@ def histogram(df: DataFrame, column: str, bins: int = 140) -> DataFrame:
     span = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
     ends = span.select(F.struct("lo", "hi")).scalar()
     width = (ends["hi"] - ends["lo"]) / F.lit(float(bins))
-    at = F.least(F.floor((x - ends["lo"]) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))
+    at = F.when(width > 0, F.least(F.floor((x - ends["lo"]) / width), F.lit(bins - 1)))
     return (
         df.filter(x.isNotNull())
         .groupBy(F.coalesce(at, F.lit(0)).cast("int").alias("bin"))
