@@ -32,7 +32,7 @@ def _fit_tail() -> np.ndarray:
     t = (nodes + 1) / 2
     z = 2 / t - 2
     values = [_scaled_log_erfc(zi) - math.log(ti) for zi, ti in zip(z, t)]
-    return chebyshev.cheb2poly(chebyshev.chebfit(nodes, values, 24))
+    return chebyshev.cheb2poly(chebyshev.chebfit(nodes, values, 21))
 
 
 _TAIL = _fit_tail()
@@ -51,15 +51,22 @@ def _tail(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def log_ndtr_and_mills(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log of the normal CDF, and density / CDF, accurate far into the left tail."""
     x = np.asarray(x, dtype=float)
-    z = np.abs(x) / _SQRT2
-    t, p = _tail(z)
-    log_half_erfc = np.log(0.5 * t) + p - z * z
+    t, p = _tail(np.abs(x) / _SQRT2)
+    square = x * x
+    square *= -0.5
+    left = x < 0
     with np.errstate(under="ignore"):
-        upper = np.exp(log_half_erfc)
-        log_cdf = np.where(x < 0, log_half_erfc, np.log1p(-np.where(x < 0, 0.0, upper)))
-        left = math.sqrt(2 / math.pi) * np.exp(-p) / t
-        right = np.exp(-z * z - LOG_SQRT_2PI - log_cdf)
-    return log_cdf, np.where(x < 0, left, right)
+        scaled = np.exp(p)
+        scaled *= t
+        scaled *= 0.5  # erfc(z) exp(z^2) / 2
+        density = np.exp(square)
+        cdf = np.where(left, scaled, 1 - scaled * density)
+        density *= 1 / math.sqrt(2 * math.pi)
+        mills = np.where(left, 1 / math.sqrt(2 * math.pi), density) / cdf
+        log_cdf = np.log(cdf)
+    square *= left
+    log_cdf += square
+    return log_cdf, mills
 
 
 def log_ndtr(x: np.ndarray) -> np.ndarray:

@@ -12,7 +12,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -65,27 +64,6 @@ def sum_over_rows(
     return np.array([r["v"].toArray() for r in sorted(sums, key=lambda r: r["k"])])
 
 
-def cached(df: DataFrame) -> DataFrame:
-    """Persist narrow rows, spread over at least one partition per core.
-
-    A small input comes as one split and would keep one core busy; a large one
-    has more partitions than cores and is not shuffled. A lost executor's part
-    is recomputed from the source.
-    """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    parts = kept.select(F.spark_partition_id().alias("p")).groupBy("p").agg(
-        F.count("*").alias("n")
-    )
-    seen = parts.agg(F.count("*").alias("parts"), F.sum("n").alias("n")).first()
-    if seen["parts"] >= cores or (seen["n"] or 0) < ROWS_PER_BLOCK:
-        return kept
-    spread = kept.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
-    spread.count()
-    kept.unpersist()
-    return spread
-
-
 @dataclass(frozen=True)
 class Gram:
     """Sums of 1, v and v v' over rows v = (features, label), taken about ``shift``.

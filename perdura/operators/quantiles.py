@@ -2,70 +2,69 @@
 
 ``percentile`` keeps every distinct value of a group in one buffer, and a window
 without partitions sorts everything in one task. Here a rank is located by
-narrowing a value bracket with Spark's mergeable quantile sketch, and every
-bracket is verified by exact counts, so the answer does not depend on the
-sketch's accuracy.
+counting: rows inside a value bracket fall into equal-width bins, the bin holding
+the rank becomes the next bracket, and bins are exact counts combined before the
+shuffle. What reaches the driver is bounded whatever the number of rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perdura.functions.dates import missing
+from perdura.operators.caching import cached
 
-GRID = [i / 128 for i in range(129)]
-COLLECT_ROWS = 50_000
+MAX_BINS = 1024
+DRIVER_ROWS = 1_000_000  # most bins or values fetched in one pass
+COLLECT_ROWS = 50_000  # most rows of one bracket whose values are fetched
 MAX_GROUPS = 10_000
-MAX_PASSES = 60
+MAX_PASSES = 100
+LARGEST = 1.7976931348623157e308
+
+
+@dataclass
+class _Bracket:
+    """Rows of a group with lo <= value <= hi, holding all the listed ranks."""
+
+    group: str | None
+    ranks: list[int]
+    lo: float
+    hi: float
+    below: int
+    inside: int
+    curved: bool = False  # bins on the asinh scale, for values of many magnitudes
+
+    def split(self, bins: list) -> list[_Bracket]:
+        """Brackets of the bins (ordered by value) that hold a rank."""
+        out: dict[int, _Bracket] = {}
+        for rank in self.ranks:
+            seen = self.below
+            for i, r in enumerate(bins):
+                if rank < seen + r["n"]:
+                    if i not in out:
+                        slow = r["n"] * 8 > self.inside and not self.curved
+                        out[i] = _Bracket(self.group, [], r["lo"], r["hi"], seen, r["n"], slow)
+                    out[i].ranks.append(rank)
+                    break
+                seen += r["n"]
+        return list(out.values())
 
 
-def _group_counts(base: DataFrame) -> dict[str | None, tuple[int, float, float]]:
-    rows = (
-        base.groupBy("g")
-        .agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        .limit(MAX_GROUPS + 1)
-        .collect()
-    )
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups; order statistics need few groups")
-    return {r["g"]: (r["n"], r["lo"], r["hi"]) for r in rows}
-
-
-class _Search:
-    """Bracket of one (group, rank): [lo, hi] holds the rank-th smallest value."""
-
-    def __init__(self, number: int, group: str | None, rank: int, lo: float, hi: float) -> None:
-        self.number, self.group, self.rank = number, group, rank
-        self.lo, self.hi = lo, hi
-        self.safe = (lo, hi)  # last bracket proved to hold the rank
-        self.margin = 2
-        self.value: float | None = lo if lo == hi else None
-        self.below = 0
-        self.inside: int | None = None
-
-    def narrow(self, below: int, inside: int, cuts: list[float] | None) -> None:
-        if not below <= self.rank < below + inside:
-            self.margin *= 4
-            self.lo, self.hi = self.safe
-            self.inside = None
-            return
-        self.safe = (self.lo, self.hi)
-        self.below, self.inside = below, inside
-        if self.lo == self.hi:
-            self.value = self.lo
-        elif inside > COLLECT_ROWS:
-            at = int((self.rank - below) / inside * (len(cuts) - 1))
-            self.lo = cuts[max(at - self.margin, 0)]
-            self.hi = cuts[min(at + self.margin + 1, len(cuts) - 1)]
-
-    @property
-    def collectable(self) -> bool:
-        return self.inside is not None and self.inside <= COLLECT_ROWS
+def _bin_of(bins: int) -> Column:
+    """Bin of ``v`` in its bracket; non-decreasing in ``v``."""
+
+    def place(v: Column, lo: Column, hi: Column) -> Column:
+        return F.floor((v - lo) / (hi - lo) * bins).cast("int")
+
+    v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
+    curved = place(F.asinh(v), F.asinh(lo), F.asinh(hi))
+    return F.when(F.col("curved"), curved).otherwise(place(v, lo, hi))
 
 
 def rank_values(
@@ -75,72 +74,70 @@ def rank_values(
     ranks_of: Callable[[int], Sequence[int]],
 ) -> dict[str | None, tuple[int, dict[int, float]]]:
     """Per group its size n and the exact values at the 0-based ranks ``ranks_of(n)``."""
-    key = F.col(group).cast("string") if group else F.lit("")
-    base = df.select(key.alias("g"), F.col(value).cast("double").alias("v")).filter(
-        ~missing(F.col("v"))
-    )
     spark = df.sparkSession
-    searches: list[_Search] = []
-    sizes: dict[str | None, int] = {}
-    for g, (n, lo, hi) in _group_counts(base).items():
-        sizes[g] = n
-        for rank in sorted(set(ranks_of(n))):
-            search = _Search(len(searches), g, min(max(rank, 0), n - 1), lo, hi)
-            if n <= COLLECT_ROWS:
-                search.inside = n
-            searches.append(search)
-
-    def with_brackets(some: list[_Search]) -> DataFrame:
-        table = spark.createDataFrame(
-            [(s.number, s.group, s.lo, s.hi) for s in some],
-            "i int, bg string, lo double, hi double",
-        )
-        # one row per requested rank, at most MAX_GROUPS groups
-        return base.join(F.broadcast(table), F.col("g").eqNullSafe(F.col("bg")))
-
-    for _ in range(MAX_PASSES):
-        todo = [s for s in searches if s.value is None and not s.collectable]
-        if not todo:
-            break
-        held = F.col("v").between(F.col("lo"), F.col("hi"))
-        rows = (
-            with_brackets(todo)
-            .groupBy("i")
-            .agg(
-                F.count_if(F.col("v") < F.col("lo")).alias("below"),
-                F.count_if(held).alias("inside"),
-                F.percentile_approx(F.when(held, F.col("v")), GRID, 10_000).alias("cuts"),
-            )
-            .collect()
-        )
-        for r in rows:
-            searches[r["i"]].narrow(r["below"], r["inside"], r["cuts"])
-
-    last = [s for s in searches if s.value is None]
-    if last:
-        # at most COLLECT_ROWS values per search, checked by exact count
-        rows = (
-            with_brackets(last)
-            .filter(F.col("v").between(F.col("lo"), F.col("hi")))
-            .groupBy("i", "v")
-            .agg(F.count("*").alias("n"))
+    key = F.col(group).cast("string") if group else F.lit("")
+    v = F.col(value).cast("double")
+    finite = F.greatest(F.least(v, F.lit(LARGEST)), F.lit(-LARGEST))
+    base = cached(df.filter(~missing(v)).select(key.alias("g"), finite.alias("v")))
+    try:
+        groups = (
+            base.groupBy("g")
+            .agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            .limit(MAX_GROUPS + 1)
             .collect()
         )
-        found: dict[int, list[tuple[float, int]]] = {}
-        for r in rows:
-            found.setdefault(r["i"], []).append((r["v"], r["n"]))
-        for i, values in found.items():
-            search = searches[i]
-            seen = search.below
-            for v, n in sorted(values):
-                seen += n
-                if search.rank < seen:
-                    search.value = v
-                    break
-    out: dict[str | None, tuple[int, dict[int, float]]] = {}
-    for s in searches:
-        out.setdefault(s.group, (sizes[s.group], {}))[1][s.rank] = s.value
-    return out
+        if len(groups) > MAX_GROUPS:
+            raise ValueError(f"more than {MAX_GROUPS} groups; order statistics need few groups")
+        found: dict[str | None, tuple[int, dict[int, float]]] = {}
+        todo = []
+        for r in groups:
+            found[r["g"]] = (r["n"], {})
+            ranks = sorted({min(max(k, 0), r["n"] - 1) for k in ranks_of(r["n"])})
+            todo.append(_Bracket(r["g"], ranks, r["lo"], r["hi"], 0, r["n"]))
+
+        def scan(brackets: list[_Bracket]) -> DataFrame:
+            table = spark.createDataFrame(
+                [
+                    (i, b.group, b.lo, b.hi, b.curved or math.isinf(b.hi - b.lo))
+                    for i, b in enumerate(brackets)
+                ],
+                "i int, bg string, lo double, hi double, curved boolean",
+            )
+            # at most one row per requested rank
+            inside = F.col("v").between(F.col("lo"), F.col("hi"))
+            return base.join(
+                F.broadcast(table), F.col("g").eqNullSafe(F.col("bg")) & inside
+            )
+
+        for _ in range(MAX_PASSES):
+            for b in todo:
+                if b.lo == b.hi:
+                    found[b.group][1].update({rank: b.lo for rank in b.ranks})
+            todo = [b for b in todo if b.lo < b.hi]
+            if not todo:
+                break
+            few = min(COLLECT_ROWS, DRIVER_ROWS // len(todo))
+            if all(b.inside <= few for b in todo):
+                bins = F.col("v")
+            else:
+                bins = _bin_of(max(8, min(MAX_BINS, DRIVER_ROWS // len(todo))))
+            rows = (
+                scan(todo)
+                .groupBy("i", bins.alias("bin"))
+                .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+                .collect()
+            )
+            per: dict[int, list] = {}
+            for r in rows:
+                per.setdefault(r["i"], []).append(r)
+            todo = [
+                part
+                for i, some in per.items()
+                for part in todo[i].split(sorted(some, key=lambda r: r["bin"]))
+            ]
+        return found
+    finally:
+        base.unpersist()
 
 
 def exact_quantiles(

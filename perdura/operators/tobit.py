@@ -29,12 +29,18 @@ from pyspark.sql import types as T
 
 from perdura.functions.numeric import hash_fraction, linear_prediction
 from perdura.functions.probability import LOG_SQRT_2PI, log_ndtr, log_ndtr_and_mills
-from perdura.operators.linear import ols
-from perdura.operators.moments import cached, gram, sum_over_rows
+from perdura.operators.caching import cached
+from perdura.operators.moments import sum_over_rows
 
-CELLS_PER_BLOCK = 4_000_000
+CELLS_PER_BLOCK = 32_768  # arrays of this size stay in the processor's cache
 SMALLEST_SIGMA = 1e-15
 
+# P(X <= k) of the Poisson(1) law as 64-bit integers; beyond k = 15 it rounds to 1
+POISSON_BOUNDS = [
+    np.uint64(min(int(2**64 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))), 2**64 - 1))
+    for k in range(16)
+]
+
 
 @dataclass(frozen=True)
 class Censoring:
@@ -73,6 +79,10 @@ class Sums:
         )
 
 
+def block_rows(width: int) -> int:
+    return max(64, min(4096, CELLS_PER_BLOCK // width))
+
+
 def _mirror(upper: np.ndarray) -> np.ndarray:
     """[k, n, n] arrays filled above the diagonal, mirrored below it."""
     lower = np.tril_indices(upper.shape[-1], -1)
@@ -81,7 +91,7 @@ def _mirror(upper: np.ndarray) -> np.ndarray:
 
 
 def cross_products(
-    df: DataFrame, features: Sequence[str], label: str, extra: Sequence[str], weights: Weighting | None
+    df: DataFrame | None, features: Sequence[str], label: str, extra: Sequence[str], weights: Weighting | None
 ) -> np.ndarray:
     """Weighted sum of v v', v = (1, x, y), per sample: [samples, p + 2, p + 2]."""
     p = len(features)
@@ -97,8 +107,8 @@ def cross_products(
         return weights.weigh(rows[:, p + 1 :], numbers).T @ products
 
     out = np.zeros((int(numbers.max()) + 1, size, size))
-    if df.limit(1).count():
-        block = max(64, min(8192, CELLS_PER_BLOCK // (len(numbers) + len(pairs[0]))))
+    if df is not None:
+        block = block_rows(len(numbers) + len(pairs[0]))
         sums = sum_over_rows(df, [*features, label, *extra], kernel, block)
         for number, row in zip(numbers, sums):
             out[number][pairs] = row
@@ -171,7 +181,7 @@ def censored_rows(
             ]
         )
 
-    block = max(64, min(8192, CELLS_PER_BLOCK // (8 * vectors + len(upper[0]))))
+    block = block_rows(vectors + len(upper[0]) // 8)
     out = sum_over_rows(df, [*features, label, *extra], kernel, block)
     hessian = np.zeros((vectors, m + 1, m + 1))
     at = 1 + m + 1
@@ -235,7 +245,7 @@ def maximise(
     alpha: np.ndarray,
     fixed_sigma: bool = False,
     max_iter: int = 100,
-    tol: float = 1e-10,
+    tol: float = 1e-9,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best theta, its penalised objective, and scans used, for every vector.
 
@@ -283,6 +293,10 @@ def maximise(
             trial[ids] = theta[ids] + length[ids, None] * d
             moving = -gain > tol * (1 + np.abs(best[ids]))
             stay.extend(ids[moving])
+            # the last step is below the tolerance and is taken unseen
+            done = ~moving & (length[ids] == 1.0)
+            theta[ids[done]] = target[done]
+            best[ids[done]] += gain[done]
         active = np.array(sorted(stay), int)
     return theta, best, scans
 
@@ -304,8 +318,8 @@ class TobitFit:
 
 
 class TobitRows:
-    """The rows of one problem: cross products of the uncensored, a narrow cached
-    frame of the censored.
+    """The rows of one problem, narrow and cached, with the cross products of the
+    uncensored ones.
 
     Use as a context. Features are taken as they are; scale them first, both for
     the penalty's sake and for the precision of the cross products. Callers whose
@@ -328,23 +342,35 @@ class TobitRows:
 
     def __enter__(self) -> TobitRows:
         held = self.limits.censored(F.col(self.label))
-        self.censored = cached(self.df.filter(held))
-        self.exact = self.df.filter(~held)
-        self.any_censored = self.censored.limit(1).count() > 0
+        self.df = cached(self.df)
+        self.exact, self.censored = self.df.filter(~held), self.df.filter(held)
+        counts = self.df.agg(
+            F.count_if(~held).alias("exact"), F.count_if(held).alias("censored")
+        ).first()
+        if not counts["exact"] + counts["censored"]:
+            raise ValueError("no complete rows")
+        self.any_exact, self.any_censored = counts["exact"] > 0, counts["censored"] > 0
+        self._plain = self._products(self.exact, self.any_exact)
         return self
 
     def __exit__(self, *_) -> None:
-        self.censored.unpersist()
+        self.df.unpersist()
+
+    def _products(self, df: DataFrame, rows: bool, weights: Weighting | None = None) -> np.ndarray:
+        return cross_products(df if rows else None, self.features, self.label, self.extra, weights)
 
     def start(self) -> np.ndarray:
         """Least squares with the population deviation of its residuals."""
-        stats = gram(self.df, self.features, self.label)[0]
-        fit = ols(stats)
-        sigma = math.sqrt(stats.mse(fit.intercept, fit.coef)) or 1.0
-        return np.concatenate(([fit.intercept], fit.coef, [sigma]))
+        whole = (self._plain + self._products(self.censored, self.any_censored))[0]
+        xx, xy, yy = whole[:-1, :-1], whole[:-1, -1], whole[-1, -1]
+        b = np.linalg.lstsq(xx, xy, rcond=None)[0]
+        variance = max(yy - 2 * b @ xy + b @ xx @ b, 0.0) / whole[0, 0]
+        return np.concatenate((b, [math.sqrt(variance) or 1.0]))
 
     def products(self, weights: Weighting | None = None) -> np.ndarray:
-        return cross_products(self.exact, self.features, self.label, self.extra, weights)
+        if weights is None:
+            return self._plain
+        return self._products(self.exact, self.any_exact, weights)
 
     def sums(
         self, theta: np.ndarray, products: np.ndarray, weights: Weighting | None = None
@@ -366,7 +392,7 @@ class TobitRows:
         weights: Weighting | None = None,
         fixed_sigma: bool = False,
         max_iter: int = 100,
-        tol: float = 1e-10,
+        tol: float = 1e-9,
     ) -> list[TobitFit]:
         """Fit all (C, alpha) settings together."""
         start = self.start() if start is None else np.asarray(start, float)
@@ -423,7 +449,8 @@ def tobit_grid(
     """
     extra = {"_fold": fold} if fold is not None else None
     with TobitRows(df, features, label, limits, extra) as rows:
-        fits = rows.fit(settings)
+        # one vector is cheap to scan for, so all start at the unpenalised fit
+        fits = rows.fit(settings, rows.fit([(0.0, 1.0)])[0].theta)
         if fold is None:
             return [(f, None) for f in fits]
         held = np.tile(np.arange(folds), len(settings))
@@ -461,9 +488,10 @@ def poisson_counts(row_bits: np.ndarray, replicates: np.ndarray, seed: int) -> n
         h ^= h >> np.uint64(27)
         h *= np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(31)
-    u = (h >> np.uint64(11)).astype(float) / float(1 << 53)
-    cdf = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
-    return np.searchsorted(cdf, u, side="right").astype(float)
+    counts = np.zeros(h.shape, np.uint8)
+    for bound in POISSON_BOUNDS:
+        counts += h >= bound
+    return counts.astype(float)
 
 
 def bootstrap(

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from perdura.functions.numeric import hash_fraction
+from perdura.operators.caching import cached
 from perdura.operators.evaluate import r2
 
 ROWS_PER_BUCKET = 10_000
@@ -41,6 +42,15 @@ def forest(
     )
 
 
+def fit_forest(df: DataFrame, estimator: RandomForestRegressor) -> RandomForestRegressionModel:
+    """Fit on cached rows spread over the cores."""
+    rows = cached(df)
+    try:
+        return estimator.fit(rows)
+    finally:
+        rows.unpersist()
+
+
 def importance_rows(
     model: RandomForestRegressionModel, features: Sequence[str]
 ) -> list[tuple[str, float]]:

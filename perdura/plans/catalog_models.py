@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from perdura.functions.numeric import linear_prediction
 from perdura.operators import evaluate, grouptests, search, tobit, trees
 from perdura.operators import transforms as t
+from perdura.operators.caching import cached
 from perdura.operators.linear import (
     REPORT_SCHEMA,
     LinearFit,
@@ -466,7 +467,7 @@ def grid_search_verbose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forest settings fitted side by side, scored on train and test."""
     rows = trees.assemble(scaled_lines(spark, sf_dir), LINE_X)
     train, test = train_test_split(rows, LINE_KEYS, 0.7)
-    train.persist()
+    train = cached(train)
     settings = search.combinations({"depth": [3, 6], "leaf": [100, 232]})
 
     def run(setting: dict) -> list[tuple]:
@@ -677,21 +678,22 @@ def logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("random_forest")
 def random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = train_test_split(trees.assemble(scaled_lines(spark, sf_dir), LINE_X), LINE_KEYS)
-    model = trees.forest().fit(train)
+    model = trees.fit_forest(train, trees.forest())
     return evaluate.regression_metrics(model.transform(test), "label", "prediction")
 
 
 @query("feature_importance")
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = trees.forest(trees=10).fit(trees.assemble(scaled_lines(spark, sf_dir), LINE_X))
-    rows = trees.importance_rows(model, LINE_X)
-    return spark.createDataFrame(rows, "feature string, importance double")
+    rows = trees.assemble(scaled_lines(spark, sf_dir), LINE_X)
+    model = trees.fit_forest(rows, trees.forest(trees=10))
+    found = trees.importance_rows(model, LINE_X)
+    return spark.createDataFrame(found, "feature string, importance double")
 
 
 @query("permutation_importance")
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scaled_lines(spark, sf_dir)
-    model = trees.forest(trees=10, depth=6).fit(trees.assemble(rows, LINE_X))
+    model = trees.fit_forest(trees.assemble(rows, LINE_X), trees.forest(trees=10, depth=6))
     return trees.permutation_importance(model, rows, LINE_X, "label", LINE_KEYS)
 
 
