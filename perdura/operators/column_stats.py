@@ -22,6 +22,20 @@ class ColumnStats:
         return self.variance**0.5
 
 
+def _cells(df: DataFrame, columns: Sequence[str], **more: dict[str, float]) -> DataFrame:
+    """(name, v, ...) rows, one per cell, ``v`` null where missing.
+
+    The aggregates stay a handful whatever the number of columns; one per column
+    would outgrow what Spark compiles.
+    """
+    cells = []
+    for c in columns:
+        v = F.when(~missing_for(df, c), F.col(c).cast("double"))
+        extra = [F.lit(values[c]).cast("double").alias(k) for k, values in more.items()]
+        cells.append(F.struct(F.lit(c).alias("name"), v.alias("v"), *extra))
+    return df.select(F.inline(F.array(*cells)))
+
+
 def column_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, ColumnStats]:
     """Mean, population variance and whether a column has 1, 2 or more values.
 
@@ -30,38 +44,35 @@ def column_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, ColumnStats
     """
     if not columns:
         return {}
-
-    def known(c: str):
-        return F.when(~missing_for(df, c), F.col(c).cast("double"))
-
-    aggs = []
-    for c in columns:
-        x = known(c)
-        aggs += [
-            F.struct(
-                F.avg(x).alias("mean"),
-                F.var_pop(x).alias("var"),
-                F.min(x).alias("lo"),
-                F.max(x).alias("hi"),
-                F.count_if(missing_for(df, c)).alias("gone"),
-            ).alias(c)
-        ]
-    first = df.agg(*aggs).first()
-    middles = []
-    for c in columns:
-        lo, hi = first[c]["lo"], first[c]["hi"]
-        inside = F.lit(0) if lo is None else F.count_if((known(c) > lo) & (known(c) < hi))
-        middles.append(inside.alias(c))
-    second = df.agg(F.count("*").alias("_n"), *middles).first()
+    rows = (
+        _cells(df, columns)
+        .groupBy("name")
+        .agg(
+            F.avg("v").alias("mean"),
+            F.var_pop("v").alias("var"),
+            F.min("v").alias("lo"),
+            F.max("v").alias("hi"),
+            F.count_if(F.col("v").isNull()).alias("gone"),
+        )
+        .collect()
+    )
+    first = {r["name"]: r for r in rows}
+    known = [c for c in columns if c in first and first[c]["lo"] is not None]
+    between = {}
+    if known:
+        lo = {c: first[c]["lo"] for c in known}
+        hi = {c: first[c]["hi"] for c in known}
+        inside = (F.col("v") > F.col("lo")) & (F.col("v") < F.col("hi"))
+        counts = _cells(df, known, lo=lo, hi=hi).groupBy("name").agg(F.count_if(inside).alias("n"))
+        between = {r["name"]: r["n"] for r in counts.collect()}
     out = {}
     for c in columns:
-        s = first[c]
-        if s["lo"] is None:
+        if c not in known:
             out[c] = ColumnStats(float("nan"), float("nan"), 1)
             continue
-        distinct = 3 if second[c] else (1 if s["lo"] == s["hi"] else 2)
-        distinct += 1 if s["gone"] else 0
-        out[c] = ColumnStats(s["mean"], s["var"], min(distinct, 3))
+        s = first[c]
+        distinct = 3 if between[c] else (1 if s["lo"] == s["hi"] else 2)
+        out[c] = ColumnStats(s["mean"], s["var"], min(distinct + (1 if s["gone"] else 0), 3))
     return out
 
 

@@ -165,6 +165,29 @@ class DropColumns(_Stage):
 # ---------------------------------------------------------------- fitted stages
 
 
+class StagedRows(_Learner):
+    """Write the rows once in ``fit``, so later fits read a narrow table instead
+    of parsing pages and joining again."""
+
+    def _fit(self, df: DataFrame) -> StagedRowsModel:
+        model = StagedRowsModel()
+        model.source, model.table = df, stage_table(df, "features")
+        return model
+
+
+class StagedRowsModel(_Fitted):
+    """The staged table for the rows it was fitted on; other rows pass through.
+    A model loaded from disk passes all rows through."""
+
+    source: DataFrame | None = None
+    table: DataFrame | None = None
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        if self.source is not None and df.sameSemantics(self.source):
+            return self.table
+        return df
+
+
 def suffix_dummies(df: DataFrame, suffixes=url.DUMMY_SUFFIXES) -> DataFrame:
     made = {s: (F.col("suffix_idx") == s).cast("int") for s in suffixes}
     return df.withColumns(made).drop("suffix_idx")
@@ -224,15 +247,16 @@ class FrequencyEncoderModel(_Fitted):
     def _transform(self, df: DataFrame) -> DataFrame:
         name = self.value("inputCol")
         spark = df.sparkSession
+        keyed = df.withColumn("_key", F.col(name).cast("string"))
         if self.isDefined("shares"):
+            # at most INLINE_CATEGORIES rows
             rows = list(self.value("shares").items())
             table = spark.createDataFrame(rows, "_key string, _share double")
+            joined = keyed.join(F.broadcast(table), "_key", "left")
         else:
-            table = spark.read.parquet(self.value("tablePath"))
-        keyed = df.withColumn("_key", F.col(name).cast("string"))
+            joined = join_lookup(keyed, spark.read.parquet(self.value("tablePath")), "_key")
         return (
-            join_lookup(keyed, table, "_key")
-            .withColumn(name, F.coalesce(F.col("_share"), F.lit(0.0)))
+            joined.withColumn(name, F.coalesce(F.col("_share"), F.lit(0.0)))
             .select(*df.columns)
         )
 

@@ -223,7 +223,6 @@ def _recipe_sql(truncated: bool, scaled: bool, with_url: bool) -> str:
 def _recipe_query(name: str, recipe: str, truncated: bool, sql: str | None) -> None:
     @query(name, sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        # features are derived once and read back by every fit
         rows = study_rows(spark, sf_dir, truncated)
         out = build_recipe(RECIPES[recipe]).fit(rows).transform(rows)
         whole = [c for c, kind in out.dtypes if kind == "double" and c != "first_appear"]

@@ -107,6 +107,7 @@ def build_recipe(r: Recipe, extra: tuple[str, ...] = ()) -> Pipeline:
     if r.publication:
         stages.append(t.NanToZero(columns=list(PUBLICATION_FEATURES)))
     stages.append(t.PickColumns(columns=[*picked_columns(r), *extra]))
+    stages.append(t.StagedRows())
     if r.suffix == "dummies":
         stages.append(t.SuffixDummies(presentOnly=r.only_present_suffixes))
     else:
