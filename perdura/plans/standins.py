@@ -55,9 +55,9 @@ MAG_SQL = """
 mag AS (
   SELECT l_orderkey AS paperId,
     CAST(count(*) AS DOUBLE) AS total_num_of_paper_citing,
-    CAST(count(DISTINCT l_partkey) AS DOUBLE) AS total_num_of_author_citing,
+    CAST(sum(l_linenumber) AS DOUBLE) AS total_num_of_author_citing,
     CAST(count(DISTINCT l_suppkey) AS DOUBLE) AS total_num_of_affiliation_citing,
-    CAST(count(DISTINCT l_returnflag) AS DOUBLE) AS total_num_of_journal_citing,
+    CAST(max(l_linenumber) - min(l_linenumber) AS DOUBLE) AS total_num_of_journal_citing,
     CAST(sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS DOUBLE)
       AS total_num_of_author_self_citation,
     CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS DOUBLE)
@@ -250,9 +250,11 @@ def publication_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.col("l_orderkey").alias("paperId"))
         .agg(
             number(F.count("*")).alias("total_num_of_paper_citing"),
-            number(F.count_distinct("l_partkey")).alias("total_num_of_author_citing"),
+            number(F.sum("l_linenumber")).alias("total_num_of_author_citing"),
             distinct_supp.alias("total_num_of_affiliation_citing"),
-            number(F.count_distinct("l_returnflag")).alias("total_num_of_journal_citing"),
+            number(F.max("l_linenumber") - F.min("l_linenumber")).alias(
+                "total_num_of_journal_citing"
+            ),
             flagged(F.col("l_returnflag") == "A").alias("total_num_of_author_self_citation"),
             flagged(F.col("l_returnflag") == "R").alias(
                 "total_num_of_affiliation_self_citation"
