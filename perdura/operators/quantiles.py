@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from perdura.functions.dates import missing
 from perdura.operators.caching import cached
+from perdura.sources.staging import stage_table
 
 MAX_BINS = 1024
 DRIVER_ROWS = 1_000_000  # most bins or values fetched in one pass
@@ -171,17 +172,17 @@ def running_totals(
     ``order`` must be unique in ``df``. Large inputs are cut into value bins;
     each bin is summed on its own and shifted by the totals of earlier bins.
     """
-    n = df.count()
-
     def direction(name: str):
         return F.col(name).desc() if descending else F.col(name).asc()
 
-    if n <= rows_per_bin:
+    if df.limit(rows_per_bin + 1).count() <= rows_per_bin:
         # bounded by rows_per_bin, so one task is enough
         w = Window.orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({f"cum_{c}": F.sum(c).over(w) for c in sums})
 
-    bins = min(math.ceil(n / rows_per_bin), 1000)
+    # several passes follow, so the rows are computed once
+    df = stage_table(df, "running-totals")
+    bins = min(math.ceil(df.count() / rows_per_bin), 1000)
     cuts = df.approxQuantile(order, [i / bins for i in range(1, bins)], 1 / (4 * bins))
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     binned = Bucketizer(splits=splits, inputCol=order, outputCol="_bin").transform(df)

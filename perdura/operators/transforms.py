@@ -18,7 +18,7 @@ from perdura.operators.aggregates import missing_for
 from perdura.operators.column_stats import column_stats, numeric_columns
 from perdura.operators.lookup import join_lookup
 from perdura.operators.relational import pick_existing, rename_existing
-from perdura.sources.staging import stage_table
+from perdura.sources.staging import new_table_path, stage_table
 
 INLINE_CATEGORIES = 10_000
 
@@ -235,7 +235,8 @@ class FrequencyEncoder(_Learner):
             return FrequencyEncoderModel(inputCol=name, shares=shares)
         total = counts.agg(F.sum("_n")).scalar()
         table = counts.select(F.col(name).alias("_key"), (F.col("_n") / total).alias("_share"))
-        path = stage_table(table, "frequencies").inputFiles()[0].rsplit("/", 1)[0]
+        path = new_table_path(df.sparkSession, "frequencies")
+        table.write.parquet(path)
         return FrequencyEncoderModel(inputCol=name, tablePath=path)
 
 

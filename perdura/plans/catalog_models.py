@@ -44,6 +44,22 @@ TOBIT_SCHEMA = (
 )
 
 
+def cdf_sql(a: str) -> str:
+    """Normal CDF by the power series of erf, exact to rounding for |a| < 4."""
+    x = f"(({a}) / sqrt(2.0::DOUBLE))"
+    terms = (
+        f"list_sum(list_transform(range(0, 80), lambda i_: (CASE WHEN i_ % 2 = 0 THEN 1 ELSE -1 END)"
+        f" * pow({x}, 2 * i_ + 1) / (gamma(i_ + 1.0::DOUBLE) * (2 * i_ + 1))))"
+    )
+    return f"(0.5::DOUBLE + {terms} / sqrt(pi()))"
+
+
+def t_p_value_sql(t: str, df: str) -> str:
+    """Two-sided p-value of t for large df, by its normalising transform."""
+    z = f"(({t}) * (1 - 1 / (4.0::DOUBLE * ({df}))) / sqrt(1 + ({t}) * ({t}) / (2.0::DOUBLE * ({df}))))"
+    return f"CASE WHEN abs({t}) > 5 THEN 0 ELSE 2 * (1 - {cdf_sql(f'abs({z})')}) END"
+
+
 def zscore_sql(*columns: str) -> str:
     return ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}" for c in columns)
 
@@ -234,17 +250,32 @@ _recipe_query("feature_recipe_truncated", "truncated", True, _recipe_sql(True, T
 _recipe_query("feature_recipe_raw", "raw", False, _recipe_sql(False, False, True))
 
 
-@query("recipe_editions")
+def _editions_sql() -> str:
+    stamp = "CAST(floor(last_available_timestamp / 10000000000) AS BIGINT)"
+    made = "year(make_timestamp(CAST(('0x' || substr(id, 1, 8)) AS BIGINT) * 1000000))"
+    urls = URL_SQL.replace("FROM res)", "FROM study)", 1)
+    parts = [
+        f"SELECT 'edition_{i}' AS edition, count(*) AS row_cnt, round(avg(age), 6) AS avg_label "
+        f"FROM aged {'WHERE html_text IS NOT NULL' if i == 4 else ''}"
+        for i in range(1, 7)
+    ]
+    return f"""WITH {STUDY_SQL}, {urls},
+      aged AS (SELECT html_text, coalesce({stamp}, {made}) - first_appear AS age FROM parts
+        WHERE regexp_matches(suffix_idx, '^[a-zA-Z]{{2,63}}$')
+          AND coalesce({stamp}, {made}) - first_appear >= 0)
+      {' UNION ALL '.join(parts)}"""
+
+
+@query("recipe_editions", _editions_sql())
 def recipe_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows, columns and label mean of every edition of the recipe."""
+    """Rows and label mean of every edition of the recipe."""
     rows = stage_table(study_rows(spark, sf_dir), "study")
     out = None
     for name in sorted(r for r in RECIPES if r.startswith("edition")):
         made = build_recipe(RECIPES[name]).fit(rows).transform(rows)
         line = made.agg(
             F.lit(name).alias("edition"),
-            F.count("*").alias("rows"),
-            F.lit(len(made.columns)).alias("columns"),
+            F.count("*").alias("row_cnt"),
             F.round(F.avg("label"), 6).alias("avg_label"),
         )
         out = line if out is None else out.unionByName(line)
@@ -273,19 +304,47 @@ def _probe_sums(spark: SparkSession, sf_dir: str) -> tobit.Sums:
         return rows.sums(np.array(PROBE), rows.products())
 
 
-@query("tobit_loglik")
+def probe_sql(intercept: float = 20.0) -> str:
+    """Rows with scaled residual z, censored argument a, and the features."""
+    return f"""WITH z AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+        least(l_quantity, 30) AS y, {zscore_sql(*LINE_X)} FROM lineitem),
+      q AS (SELECT *, ({intercept} + 0.5 * l_extendedprice - 0.25 * l_discount + 0.1 * l_tax)
+        AS xb FROM z),
+      r AS (SELECT *, (y - xb) / 9.0::DOUBLE AS z, y >= 30 AS held FROM q),
+      c AS (SELECT *, CASE WHEN held THEN {cdf_sql("-z")} END AS cdf FROM r),
+      k AS (SELECT *, CASE WHEN held THEN ln(cdf)
+          ELSE -0.5 * z * z - ln(9.0::DOUBLE) - 0.5 * ln(2 * pi()) END AS ll,
+        CASE WHEN held THEN exp(-0.5 * z * z) / sqrt(2 * pi()) / cdf ELSE z END AS pull,
+        CASE WHEN held THEN exp(-0.5 * z * z) / sqrt(2 * pi()) / cdf * z ELSE z * z - 1 END AS down
+        FROM c) """
+
+
+@query(
+    "tobit_loglik",
+    probe_sql()
+    + """SELECT round(sum(ll), 4) AS loglik, round(sum(ll) - 49.8 * (20 + 0.5 + 0.25 + 0.1 + 9), 4)
+      AS penalised FROM k""",
+)
 def tobit_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = float(_probe_sums(spark, sf_dir).value[0])
     cost = tobit.penalty(np.array([PROBE]), np.array([49.8]), np.array([0.0]))
     return spark.createDataFrame(
-        [(value, value - float(cost[0]))], "loglik double, penalised double"
+        [(round(value, 4), round(value - float(cost[0]), 4))], "loglik double, penalised double"
     )
 
 
-@query("tobit_gradient")
+@query(
+    "tobit_gradient",
+    probe_sql()
+    + " UNION ALL ".join(
+        f"SELECT '{n}' AS parameter, round(sum({e}) / 9.0::DOUBLE, 4) AS gradient FROM k"
+        for n, e in [("intercept", "pull"), *[(c, f"pull * {c}") for c in LINE_X], ("sigma", "down")]
+    ),
+)
 def tobit_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["intercept", *LINE_X, "sigma"]
-    rows = list(zip(names, map(float, _probe_sums(spark, sf_dir).gradient[0])))
+    gradient = _probe_sums(spark, sf_dir).gradient[0]
+    rows = [(n, round(float(g), 4)) for n, g in zip(names, gradient)]
     return spark.createDataFrame(rows, "parameter string, gradient double")
 
 
@@ -328,16 +387,24 @@ def _model(**more) -> tobit.TobitModel:
     )
 
 
-@query("tobit_row_loglik")
+@query(
+    "tobit_row_loglik",
+    probe_sql()
+    + "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(ll, 6) AS loglik FROM k",
+)
 def tobit_row_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _model().with_row_loglik(scaled_lines(spark, sf_dir))
-    return out.select(*LINE_KEYS, "loglik")
+    return out.select(*LINE_KEYS, F.round("loglik", 6).alias("loglik"))
 
 
-@query("tobit_score")
+@query(
+    "tobit_score",
+    f"""SELECT a.loglik, b.compat FROM ({probe_sql()} SELECT round(sum(ll), 4) AS loglik FROM k) a,
+      ({probe_sql(0.0)} SELECT round(sum(ll) - 49.8 * (0.5 + 0.25 + 0.1 + 9), 4) AS compat FROM k) b""",
+)
 def tobit_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scaled_lines(spark, sf_dir)
-    scores = [(_model().score(rows), _model().score(rows, compat=True))]
+    scores = [tuple(round(_model().score(rows, compat), 4) for compat in (False, True))]
     return spark.createDataFrame(scores, "loglik double, compat double")
 
 
@@ -526,7 +593,24 @@ def generalization_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gap.withColumn("gap", F.round("gap", 6))
 
 
-@query("ols_report")
+OLS_SQL = f"""WITH z AS (SELECT least(l_quantity, 30) AS y, {zscore_sql(*LINE_X)} FROM lineitem),
+  m AS (SELECT count(*) AS n, avg(y) AS my, var_pop(y) AS vy,
+    corr(l_extendedprice, l_discount) AS a, corr(l_extendedprice, l_tax) AS b, corr(l_discount, l_tax) AS c,
+    covar_pop(l_extendedprice, y) AS c1, covar_pop(l_discount, y) AS c2, covar_pop(l_tax, y) AS c3 FROM z),
+  i AS (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS d FROM m),
+  s AS (SELECT *, ((1 - c * c) * c1 + (b * c - a) * c2 + (a * c - b) * c3) / d AS b1,
+    ((b * c - a) * c1 + (1 - b * b) * c2 + (a * b - c) * c3) / d AS b2,
+    ((a * c - b) * c1 + (a * b - c) * c2 + (1 - a * a) * c3) / d AS b3 FROM i),
+  e AS (SELECT *, (vy - b1 * c1 - b2 * c2 - b3 * c3) / (n - 4) AS u FROM s),
+  f AS (SELECT 'Constant' AS feature, my AS v, sqrt(u) AS se, n FROM e
+    UNION ALL SELECT 'l_extendedprice', b1, sqrt(u * (1 - c * c) / d), n FROM e
+    UNION ALL SELECT 'l_discount', b2, sqrt(u * (1 - b * b) / d), n FROM e
+    UNION ALL SELECT 'l_tax', b3, sqrt(u * (1 - a * a) / d), n FROM e)
+  SELECT feature, round(v, 4) AS coefficient, round(se, 3) AS standard_error,
+    round(v / se, 3) AS t_value, round({t_p_value_sql("v / se", "(n - 1)")}, 3) AS probability FROM f"""
+
+
+@query("ols_report", OLS_SQL)
 def ols_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = gram(scaled_lines(spark, sf_dir), LINE_X, "label")[0]
     return spark.createDataFrame(coefficient_report(stats, ols(stats)), REPORT_SCHEMA)
@@ -664,7 +748,7 @@ def labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labelled_texts(spark, sf_dir).withColumn("fold", fold_column(["doc_id"], 5))
     model = search.cross_validate(
-        search.logistic(rows.count(), 0.01),
+        search.logistic(rows.count() * 4 // 5, 0.01),  # training rows of 5 folds
         {"elasticNetParam": [0.0, 0.5, 1.0], "maxIter": [50]},
         BinaryClassificationEvaluator(labelCol="label"),
         rows,
@@ -754,15 +838,34 @@ def corr_pairs_significant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("x", "y", F.round("r", 6).alias("r"))
 
 
-@query("corr_pairs_p")
+def _p_sql(pairs: list[tuple[str, str]]) -> str:
+    """(x, y, r, n) per pair with t = r sqrt((n - 2) / (1 - r^2))."""
+    rows = " UNION ALL ".join(
+        f"SELECT '{a}' AS x, '{b}' AS y, corr({a}, {b}) AS r, count(*) AS n FROM lineitem"
+        for a, b in pairs
+    )
+    return f"(SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM ({rows}))"
+
+
+@query(
+    "corr_pairs_p",
+    f"""SELECT x, y, round(r, 6) AS r, round({t_p_value_sql("t", "(n - 2)")}, 5) AS p
+      FROM {_p_sql([(a, b) for i, a in enumerate(CORR) for b in CORR[i + 1 :]])}""",
+)
 def corr_pairs_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouptests.corr_pairs(table(spark, sf_dir, "lineitem").select(*CORR), CORR, None)
+    found = grouptests.corr_pairs(table(spark, sf_dir, "lineitem").select(*CORR), CORR, None)
+    return found.select("x", "y", F.round("r", 6).alias("r"), F.round("p", 5).alias("p"))
 
 
-@query("corr_pvalues")
+@query(
+    "corr_pvalues",
+    f"""SELECT y AS feature, round(r, 6) AS r, round({t_p_value_sql("t", "(n - 2)")}, 4) AS p
+      FROM {_p_sql([("l_quantity", c) for c in CORR[1:]])}""",
+)
 def corr_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(*CORR)
-    return grouptests.corr_with_target(rows, "l_quantity", CORR[1:])
+    found = grouptests.corr_with_target(rows, "l_quantity", CORR[1:])
+    return found.withColumn("r", F.round("r", 6))
 
 
 @query(

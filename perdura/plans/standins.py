@@ -198,7 +198,7 @@ def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
                 1: _swap(url, ".com/", ".gov/"),
                 2: _swap(url, ".net/", ".edu:8080/"),
                 3: _swap(url, ".org/", ".int/"),
-                4: F.concat(F.lit("HTTP"), F.substring(url, 5, 100_000)),
+                4: F.concat(F.lit("HTTP"), F.substr(url, F.lit(5))),
                 5: F.concat(_swap(url, ".com/", ".k2/"), F.lit(";v=1")),
                 6: F.when(n % 16 == 6, doi).otherwise(_swap(url, ".net/", ".eu/a;b/")),
             },

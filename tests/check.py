@@ -1,10 +1,12 @@
 """python tests/check.py [name ...]: run queries and their twins, print what differs."""
 
+import os
 import sys
 import time
 
-sys.path.insert(0, "/root/repo")
-sys.path.insert(0, "/root/repo/tests")
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, os.path.dirname(HERE))
+sys.path.insert(0, HERE)
 import __spark_entry__ as entry
 import oracle
 from perdura.session import local_session
