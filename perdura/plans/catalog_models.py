@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,6 @@ from perdura.operators import transforms as t
 from perdura.operators.caching import cached
 from perdura.operators.linear import (
     REPORT_SCHEMA,
-    LinearFit,
     coefficient_report,
     elastic_net_path,
     grid_scores,

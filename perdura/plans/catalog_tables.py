@@ -4,19 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from perdura.functions import html, numeric
-from perdura.functions.dates import BASE_YEAR
 from perdura.operators import aggregates as agg
 from perdura.operators import relational as rel
 from perdura.operators import sampling
 from perdura.plans import standins
 from perdura.plans.registry import query, table
-from perdura.plans.standins import MAG_SQL, RESOURCE_SQL, STUDY_SQL, line_frame, resources
+from perdura.plans.standins import MAG_SQL, RESOURCE_SQL, STUDY_SQL, resources
 from perdura.sources import readers, sinks
-from perdura.sources.schemas import BRIDGE, RESOURCE
-from perdura.sources.staging import new_table_path, stage_table
+from perdura.sources.staging import new_table_path
 
 RES_CTE = f"WITH {RESOURCE_SQL} "
 # The hash fraction of hash_fraction(..., seed=77), as SQL.
@@ -124,8 +121,7 @@ def _csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_table_path(spark, "csv")
     sinks.write_csv(_csv_rows(spark, sf_dir), path)
-    schema = T.StructType.fromDDL(CSV_SCHEMA)
-    return readers.read_csv(spark, path, schema)
+    return readers.read_csv(spark, path, CSV_SCHEMA)
 
 
 @query("csv_scan", "SELECT label, count(*) AS cnt FROM (" + CSV_SQL + ") GROUP BY label")

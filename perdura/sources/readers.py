@@ -67,7 +67,7 @@ def read_bridge(spark: SparkSession, path: str) -> DataFrame:
     return good
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
