@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from perdura.llm.decontaminate import decontaminate
+from perdura.llm.mixing import mix
 from perdura.llm.near_dedup import near_duplicates
 from perdura.plans.registry import query, table
 
@@ -12,3 +14,89 @@ from perdura.plans.registry import query, table
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies at 0.85 or more of five-word shingles over all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+OP6_SQL = r"""
+WITH rows AS (
+  SELECT doc_id, source,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS h
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1)::INT]::DOUBLE AS weight
+  FROM rows GROUP BY source
+), capped AS (
+  SELECT *, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS total FROM sources
+), levels AS (
+  SELECT *, (total - sum(cap) OVER f + cap) / (sum(weight) OVER () - sum(weight) OVER f + weight) AS level
+  FROM capped WINDOW f AS (ORDER BY cap / weight, source IS NULL, encode(source))
+), goals AS (
+  SELECT *, coalesce(least(cap, weight * min(CASE WHEN level * weight <= cap THEN level END) OVER ()), cap) AS target
+  FROM levels
+), parts AS (
+  SELECT source, source_size, target,
+    CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS times,
+    target - CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * source_size AS rest
+  FROM goals
+), ties AS (
+  SELECT source, h, sum(size) AS size FROM rows GROUP BY source, h
+), running AS (
+  SELECT source, h, size, sum(size) OVER (PARTITION BY source ORDER BY h) AS upto FROM ties
+), picked AS (
+  SELECT r.source, r.h,
+    upto <= rest OR (upto - size <= rest AND upto - rest < rest - (upto - size)) AS again
+  FROM running r JOIN parts p ON r.source IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, rows.size, source_size, target,
+  (rows.size * (times + CASE WHEN again AND times < 2 THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM rows
+JOIN parts ON rows.source IS NOT DISTINCT FROM parts.source
+JOIN picked ON rows.source IS NOT DISTINCT FROM picked.source AND rows.h = picked.h
+"""
+
+
+@query("op6_mix_sources", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by source weight."""
+    return mix(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+  FROM documents
+), items AS (
+  SELECT item_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n,
+    array_to_string(w[s:s + least(10, len(w)) - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM items WHERE len(w) > 0)
+), lengths AS (
+  SELECT DISTINCT n FROM windows
+), places AS (
+  SELECT r, n, p, array_to_string(w[p:p + n - 1], ' ') AS phrase
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM docs, lengths WHERE len(w) >= n)
+), found AS (
+  SELECT r, p, places.n, item_id FROM places JOIN windows USING (n, phrase)
+), hits AS (
+  SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM found) GROUP BY r
+), ids AS (
+  SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+  FROM (SELECT DISTINCT r, item_id FROM found) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN ids USING (r)
+"""
+
+
+@query("op7_decontaminate", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten-word windows of the benchmark in all documents."""
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
