@@ -4,11 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from perdura.llm import toxicity, url_filter
 from perdura.llm.decontaminate import decontaminate
 from perdura.llm.mixing import mix
 from perdura.llm.near_dedup import near_duplicates
+from perdura.llm.token_counts import count_tokens, sentencepiece_vocabulary
 from perdura.plans.registry import query, table
 
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+OP2_SQL = r"""
+WITH urls AS (
+  SELECT page_id, row_number() OVER () AS r,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), rules(rule, verdict) AS (
+  VALUES ('org/', 'allow'), ('example.org/es/', 'block'), ('example.org/en/1', 'block'), ('com/fr/', 'allow'), ('com/de/', 'block')
+), fits AS (
+  SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM urls JOIN rules ON ends_with('.' || host, '.' || split_part(rule, '/', 1))
+    AND starts_with(path, substr(rule, strpos(rule, '/')))
+  GROUP BY r
+), listed AS (
+  SELECT DISTINCT r FROM urls
+  JOIN (SELECT n || '.example.' || t AS bad
+        FROM (VALUES ('ads-track'), ('adult-x'), ('casino-win'), ('cheap-pills'), ('free-bets'), ('spam-farm')) a(n),
+             (VALUES ('com'), ('net'), ('org')) b(t)) ON ends_with('.' || host, '.' || bad)
+)
+SELECT page_id, host, path, rule,
+  coalesce(verdict, CASE WHEN listed.r IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM urls LEFT JOIN fits USING (r) LEFT JOIN listed USING (r)
+"""
+
+
+@query("op2_url_filter", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and block list over the urls of all pages."""
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
 
 @query("op5_near_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,3 +142,9 @@ FROM docs LEFT JOIN hits USING (r) LEFT JOIN ids USING (r)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten-word windows of the benchmark in all documents."""
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_token_counts")
+def op10(spark: SparkSession, sf_dir: str, vocabulary: str = PIECES) -> DataFrame:
+    """Greedy word-piece counts of all documents."""
+    return count_tokens(table(spark, sf_dir, "documents"), sentencepiece_vocabulary(vocabulary))
