@@ -8,6 +8,7 @@ from perdura.llm import toxicity, url_filter
 from perdura.llm.decontaminate import decontaminate
 from perdura.llm.mixing import mix
 from perdura.llm.near_dedup import near_duplicates
+from perdura.llm.suffix_dedup import removed_passages
 from perdura.llm.token_counts import count_tokens, sentencepiece_vocabulary
 from perdura.plans.registry import query, table
 
@@ -144,6 +145,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op9_suffix_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated 400-byte strings of all documents."""
+    return removed_passages(table(spark, sf_dir, "documents"))
+
+
 @query("op10_token_counts")
 def op10(spark: SparkSession, sf_dir: str, vocabulary: str = PIECES) -> DataFrame:
     """Greedy word-piece counts of all documents."""

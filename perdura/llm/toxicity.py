@@ -36,14 +36,16 @@ from perdura.sources.staging import stage_table
 # fixed values: letters of other scripts that look like Latin ones, and signs used for letters
 LOOKALIKES = str.maketrans({
     "а": "a", "в": "b", "е": "e", "ё": "e", "ѕ": "s", "і": "i", "ї": "i", "ј": "j", "к": "k", "м": "m", "н": "h",
-    "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v",
+    "о": "o", "д": "d", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u",
     "χ": "x", "ω": "w", "ⅰ": "i", "ⅼ": "l", "ⅽ": "c", "ⅾ": "d", "ⅿ": "m", "ı": "i", "ɑ": "a", "ɡ": "g", "ł": "l",
 })
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 BEFORE_LETTER = re.compile(r"[0134578@$!]+(?=[^\W\d_])")
 FULL_WIDTH = {0xFF01 + i: 0x21 + i for i in range(94)}
-PUNCTUATION = {ord(c): " " for c in "!\"#%&'()*+,-./:;<=>?[\\]^_`{|}~$@\n\r\t\x0b\x0c"}
+FOREIGN = re.compile(f"[{''.join(map(chr, LOOKALIKES))}\uff01-\uff5e]")
+PUNCTUATION = b"!\"#%&'()*+,-./:;<=>?[\\]^_`{|}~$@"
+BLANKED = bytes.maketrans(PUNCTUATION, b" " * len(PUNCTUATION))
 
 SHORTEST, LONGEST = 3, 7
 LEAST_Z, LEAST_ODDS, LEAST_TEXTS = 4.0, 1.5, 3
@@ -52,12 +54,12 @@ FLUSH = 300_000
 
 def fold(text: str) -> str:
     """The words of a text, folded, each with one space before it and one after the last."""
-    if not text.isascii():
+    text = text.lower()
+    if not text.isascii() and FOREIGN.search(text):
         text = text.translate(FULL_WIDTH).lower().translate(LOOKALIKES)
-    else:
-        text = text.lower()
     text = BEFORE_LETTER.sub(lambda m: "".join(SIGNS[c] for c in m[0]), text)
-    return " " + " ".join(text.translate(PUNCTUATION).split()) + " "
+    words = text.encode("utf-8", "replace").translate(BLANKED).split()
+    return " " + b" ".join(words).decode() + " "
 
 
 @dataclass
