@@ -125,22 +125,46 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
     return bound.select(F.col("of").alias("source"), "below")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
-    """doc_id, size, source_size, target, taken; one row per row of docs."""
-    rows = sized(docs)
+def _plan(rows: DataFrame, weights: Sequence[float], share: float, limit: float) -> DataFrame:
+    """(of, source_size, target, times, below): what the mix takes of each source."""
     goals = stage_table(
         targets(rows, weights, share, limit)
         .withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
         .withColumn("rest", F.col("target") - F.col("times") * F.col("source_size")),
         "goals",
     )
-    limits = thresholds(rows, goals.where("source_size > 0"))
-    plan = stage_table(
-        goals.join(limits.withColumnRenamed("source", "of"), _same(F.col("source"), F.col("of")), "left")
-        .select(F.col("source").alias("of"), "source_size", "target", "times", F.coalesce("below", F.lit(0)).alias("below")),
+    limits = thresholds(rows, goals.where("source_size > 0")).withColumnRenamed("source", "of")
+    return stage_table(
+        goals.join(limits, _same(F.col("source"), F.col("of")), "left").select(
+            F.col("source").alias("of"), "source_size", "target", "times", F.coalesce("below", F.lit(0)).alias("below")
+        ),
         "plan",
     )
+
+
+def _copies(limit: float) -> Column:
     again = F.when((F.col("hash") < F.col("below")) & (F.col("times") < limit), 1).otherwise(0)
+    return (F.col("times") + again).cast("long")
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
+    """doc_id, size, source_size, target, taken; one row per row of docs."""
+    rows = sized(docs)
+    plan = _plan(rows, weights, share, limit)
     return rows.join(plan, _same(F.col("source"), F.col("of"))).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("times") + again)).cast("long").alias("taken")
+        "doc_id", "size", "source_size", "target", (F.col("size") * _copies(limit)).alias("taken")
+    )
+
+
+def mixed_documents(
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, limit: float = LIMIT
+) -> DataFrame:
+    """The rows of docs that the mix takes, with mix_size, mix_target and mix_copies beside their columns."""
+    plan = _plan(sized(docs), weights, share, limit).select("of", F.col("target").alias("mix_target"), "times", "below")
+    rows = docs.withColumns({"mix_size": size_of(F.col("text")), "hash": row_hash()})
+    return (
+        rows.join(plan, _same(F.col("source").cast("string"), F.col("of")))
+        .withColumn("mix_copies", _copies(limit))
+        .where("mix_copies > 0")
+        .select(*docs.columns, "mix_size", "mix_target", "mix_copies")
     )

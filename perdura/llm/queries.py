@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perdura.llm import toxicity, url_filter
+from perdura.llm import quality, toxicity, url_filter
 from perdura.llm.decontaminate import decontaminate
+from perdura.llm.embedding_dedup import near_duplicate_vectors
 from perdura.llm.mixing import mix
 from perdura.llm.near_dedup import near_duplicates
 from perdura.llm.suffix_dedup import removed_passages
@@ -53,6 +54,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+@query("op3_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighed and resampled by likeness to those labelled good."""
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op5_near_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies at 0.85 or more of five-word shingles over all documents."""
@@ -145,6 +152,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op8_embedding_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all embeddings that lie at a cosine of 0.9 or more."""
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query("op9_suffix_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 400-byte strings of all documents."""
