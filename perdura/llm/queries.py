@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perdura.llm import quality, toxicity, url_filter
+from perdura.llm import context_mixing, quality, toxicity, url_filter
 from perdura.llm.decontaminate import decontaminate
 from perdura.llm.embedding_dedup import near_duplicate_vectors
 from perdura.llm.mixing import mix
@@ -60,6 +60,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op4_context_mixing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by the mixing model and by the unigram base."""
+    return context_mixing.score(table(spark, sf_dir, "documents"))
+
+
 @query("op5_near_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies at 0.85 or more of five-word shingles over all documents."""

@@ -72,7 +72,7 @@ class RollingHash:
     """64-bit hashes of any byte spans, from one running sum over the bytes."""
 
     def __init__(self, data: np.ndarray):
-        size = 1 << max(16, int(len(data)).bit_length())
+        size = (len(data) >> 20) + 1 << 20
         up, self.down = _powers(size)
         self.sums = np.zeros(len(data) + 1, dtype=U64)
         np.cumsum(BYTE_VALUES[data] * up[: len(data)], out=self.sums[1:])
