@@ -2,13 +2,13 @@
 
 Method: a text is its words (A-Z lower-cased) with one space between and an end byte,
 so its probability is that of its token sequence. Each bit of a byte is predicted from
-the bytes before it: for orders 1 to 5 and for the current word's beginning, a hash of
+the bytes before it: for orders 1 to 6 and for the current word's beginning, a hash of
 the context and of the byte's earlier bits names a slot that holds how often the bit
 was 0 and 1. The slots' log odds are added up with weights that two gates choose (the
 byte's earlier bits; the longest context seen and the bit's place), and the sum is
 refined by a table of what such sums came to, by the byte's earlier bits.
 
-Training: documents outside fold 0 (crc32 of doc_id modulo 10). Every distinct six-byte
+Training: documents outside fold 0 (crc32 of doc_id modulo 10). Every distinct seven-byte
 window is counted over the whole corpus; folds 1 to 8 fill the slots, fold 9 trains the
 weights online, in small steps over its windows, and then the refinement, so that both
 see slots that have not met their text. Partitions train apart and are averaged after
@@ -39,9 +39,9 @@ from perdura.llm.textkit import LOWER, RollingHash, bytes_of, mix, slices, word_
 from perdura.sources.staging import stage_table
 
 FOLDS, TUNE = 10, 9
-HISTORY = 5
-CONTEXTS = 6  # orders 1 to 5, and the word's beginning
-SLOT_BITS, BLOCK_BITS = 20, 14
+HISTORY = 6
+CONTEXTS = HISTORY + 1  # orders 1 to 6, and the word's beginning
+SLOT_BITS, BLOCK_BITS = 22, 16
 END = 0x0A
 SCALE = 15.5  # of log odds in a signed byte
 LEVELS = 33
@@ -57,7 +57,7 @@ def fold() -> Column:
 
 
 def streams(data: np.ndarray, offsets: np.ndarray, spans: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """(windows, first window of each text): each byte of the texts' streams with the five before it."""
+    """(windows, first window of each text): each byte of the texts' streams with the HISTORY before it."""
     start, end, first = spans
     words, length = np.diff(first), end - start
     letters = np.r_[0, np.cumsum(length)]
