@@ -119,7 +119,10 @@ class PhraseIndex:
 
     def alignments(self) -> DataFrame:
         """(key, item, diagonal) at which both rarest words of some window stand."""
-        rare = self.anchors.groupBy("item").agg(F.collect_set(F.struct("first", "second")).alias("pairs"))
+        # written first: a join of two scans is one whose hot items adaptive execution splits
+        rare = stage_table(
+            self.anchors.groupBy("item").agg(F.collect_set(F.struct("first", "second")).alias("pairs")), "rare"
+        )
         return (
             self.lists()
             .groupBy("key", "item", "diagonal")
