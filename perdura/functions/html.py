@@ -16,20 +16,24 @@ from pyspark.sql import functions as F
 
 # Possessive quantifiers keep the Java matcher from backtracking, and make it loop
 # where it would otherwise recurse, so a tag of any length cannot overflow the stack.
-_REST = r"""(?:[\s/](?:[^"'>]++|"[^"]*+"|'[^']*+')*+)?>"""
+# An opening without its end takes the rest of the page at once; else each of many such
+# openings would scan to the end, in time that grows with the square of the page.
+_REST = r"""(?:[\s/](?:[^"'>]++|"[^"]*+"|'[^']*+')*+)?(?:>|\z)"""
 
 
 def _attrs_before(name: str) -> str:
     """The attributes of a tag up to the first one called ``name``, and its name."""
     value = r"""(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
-    other = rf"""[\s/]+(?!{name}[\s=/>])[^\s"'>/=]++{value}"""
+    other = rf"""[\s/]+(?!{name}[\s=/>])[^\s"'<>/=]++{value}"""
     return rf"(?:{other})*+[\s/]+{name}"
 
 
 HIDDEN_RE = (
-    rf"(?is)<!--.*?-->|(<script{_REST}).*?</script\s*>|(<style{_REST}).*?</style\s*>"
+    r"(?is)<!--(?:.*?-->|.*+\z)"
+    rf"|(<script{_REST})(?:.*?</script\s*>|.*+\z)"
+    rf"|(<style{_REST})(?:.*?</style\s*>|.*+\z)"
 )
-TITLE_RE = r"(?is)<title(?:\s[^>]*)?>(.*?)</title"
+TITLE_RE = r"(?is)<title(?:\s[^<>]*+)?>(?:(.*?)</title|.*+\z)"
 ENTITY_RE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);"
 SCRIPT_SRC_RE = rf"(?i)<script{_attrs_before('src')}[\s=/>]"
 SCRIPT_HTTP_RE = rf"""(?i:<script{_attrs_before("src")})\s*=\s*["']?http"""

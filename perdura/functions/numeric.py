@@ -50,9 +50,10 @@ def linear_prediction(
 def hash_fraction(*keys: Column, seed: int = 77, method: str = "md5") -> Column:
     """A number in [0, 1) fixed by the keys and the seed alone.
 
-    ``md5`` can be repeated by other engines; ``xxhash64`` costs less.
+    ``md5`` can be repeated by other engines; ``xxhash64`` costs less. A null key
+    keeps its place, so (null, a) and (a, null) differ.
     """
-    text = F.concat_ws("|", *[k.cast("string") for k in keys], F.lit(str(seed)))
+    text = F.concat_ws("|", *[F.coalesce(k.cast("string"), F.lit("\0")) for k in keys], F.lit(str(seed)))
     if method == "xxhash64":
         return F.pmod(F.xxhash64(text), F.lit(1 << 52)) / F.lit(float(1 << 52))
     # 13 hex digits are 52 bits, exact in a double

@@ -69,12 +69,18 @@ def na_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _long(wide, [*columns, "total"], "column_name", "na_count")
 
 
+def present(column: str | Column) -> Column:
+    """The value as a double; NaN counts as missing, like null."""
+    x = (F.col(column) if isinstance(column, str) else column).cast("double")
+    return F.nullif(x, F.lit(float("nan")))
+
+
 def mean_trend(
     df: DataFrame, facet: str | None, x: str, metrics: Sequence[str]
 ) -> DataFrame:
     """Mean of each metric per x, within each facet."""
     keys = [x] if facet is None else [facet, x]
-    return df.groupBy(*keys).agg(*[F.avg(m).alias(f"mean_{m}") for m in metrics])
+    return df.groupBy(*keys).agg(*[F.avg(present(m)).alias(f"mean_{m}") for m in metrics])
 
 
 def group_mean_diff(
@@ -84,7 +90,7 @@ def group_mean_diff(
     wide = df.agg(
         *[
             F.round(
-                F.avg(F.when(flag, F.col(c))) - F.avg(F.when(~flag, F.col(c))), digits
+                F.avg(F.when(flag, present(c))) - F.avg(F.when(~flag, present(c))), digits
             ).alias(c)
             for c in features
         ]
@@ -134,8 +140,8 @@ def quantile_band(df: DataFrame, prediction: str, residual: str) -> DataFrame:
 
 def histogram(df: DataFrame, column: str, bins: int = 140) -> DataFrame:
     """Rows per equal-width bin between minimum and maximum; empty bins absent."""
-    x = F.col(column)
-    span = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
+    x = present(column)
+    span = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
     ends = span.select(F.struct("lo", "hi")).scalar()
     width = (ends["hi"] - ends["lo"]) / F.lit(float(bins))
     at = F.when(width > 0, F.least(F.floor((x - ends["lo"]) / width), F.lit(bins - 1)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from perdura.operators.aggregates import present
 from perdura.operators.quantiles import running_totals
 
 
@@ -28,7 +29,9 @@ def r2(y: Column, prediction: Column) -> Column:
 
 
 def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
+    y, p = present(label), present(prediction)
+    both = y.isNotNull() & p.isNotNull()
+    y, p = F.when(both, y), F.when(both, p)
     return df.agg(
         mse(y, p).alias("mse"),
         rmse(y, p).alias("rmse"),

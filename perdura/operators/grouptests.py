@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from perdura.operators.aggregates import present
 from perdura.functions.probability import chi_square_upper, t_two_sided
 from perdura.operators.moments import gram
 
@@ -76,8 +77,9 @@ def corr_with_target(df: DataFrame, target: str, columns: Sequence[str]) -> Data
 
 def welch_statistic(df: DataFrame, flag: Column, value: str) -> DataFrame:
     """t and degrees of freedom of the unequal-variance test, flagged less others."""
+    x = present(value)
     groups = df.groupBy(flag.alias("_flag")).agg(
-        F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v")
+        F.count(x).alias("n"), F.avg(x).alias("m"), F.var_samp(x).alias("v")
     )
 
     def part(name: str, wanted: bool) -> Column:
@@ -98,6 +100,7 @@ def welch_t_test(df: DataFrame, flag: Column, value: str) -> tuple[float, float,
 
 def chi_square_statistic(df: DataFrame, squared: Column) -> DataFrame:
     """Goodness of fit of non-negative values to a constant: sum((x - m)^2) / m."""
+    squared = present(squared)
     return df.agg(
         (F.var_pop(squared) * F.count(squared) / F.avg(squared)).alias("chi_square"),
         (F.count(squared) - 1).alias("df"),

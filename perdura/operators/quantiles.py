@@ -169,24 +169,27 @@ def running_totals(
 ) -> DataFrame:
     """Add ``cum_<c>``: totals up to and including each row in ``order``.
 
-    ``order`` must be unique in ``df``. Large inputs are cut into value bins;
-    each bin is summed on its own and shifted by the totals of earlier bins.
+    ``order`` must be unique in ``df``. Rows are cut into value bins of about
+    ``rows_per_bin``; each bin is summed on its own and shifted by the totals of
+    earlier bins. A null comes first and NaN last, the other way round when
+    descending, as Spark sorts them; each has a bin of its own.
     """
     def direction(name: str):
         return F.col(name).desc() if descending else F.col(name).asc()
 
-    if df.limit(rows_per_bin + 1).count() <= rows_per_bin:
-        # bounded by rows_per_bin, so one task is enough
-        w = Window.orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({f"cum_{c}": F.sum(c).over(w) for c in sums})
-
     # several passes follow, so the rows are computed once
     df = stage_table(df, "running-totals")
-    bins = min(math.ceil(df.count() / rows_per_bin), 1000)
-    cuts = df.approxQuantile(order, [i / bins for i in range(1, bins)], 1 / (4 * bins))
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    binned = Bucketizer(splits=splits, inputCol=order, outputCol="_bin").transform(df)
-    # at most 1000 rows from here to the broadcast
+    bins = max(1, math.ceil(df.count() / rows_per_bin))
+    value = F.col(order).cast("double")
+    finite = df.select(value.alias("x")).where(value.isNotNull() & ~F.isnan(value))
+    cuts = finite.approxQuantile("x", [i / bins for i in range(1, bins)], 1 / (4 * bins)) if bins > 1 else []
+    inner_cuts = sorted(set(cuts) - {float("-inf"), float("inf")}) or [0.0]  # any one cut will do
+    splits = [float("-inf"), *inner_cuts, float("inf")]
+    bucket = Bucketizer(splits=splits, inputCol="_x", outputCol="_bin", handleInvalid="keep")
+    binned = bucket.transform(df.withColumn("_x", value)).withColumn(
+        "_bin", F.when(F.col("_x").isNull(), -1.0).otherwise(F.col("_bin"))
+    )
+    # a row for each bin from here to the join
     before = Window.orderBy(direction("_bin")).rowsBetween(Window.unboundedPreceding, -1)
     totals = binned.groupBy("_bin").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     offsets = totals.select(
@@ -198,7 +201,7 @@ def running_totals(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
-        binned.join(F.broadcast(offsets), "_bin")
+        binned.join(offsets, "_bin")
         .withColumns({f"cum_{c}": F.sum(c).over(inner) + F.col(f"_o_{c}") for c in sums})
         .select(*df.columns, *[f"cum_{c}" for c in sums])
     )

@@ -227,14 +227,16 @@ class FrequencyEncoder(_Learner):
 
     def _fit(self, df: DataFrame) -> FrequencyEncoderModel:
         name = self.value("inputCol")
-        counts = df.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("_n"))
+        # keys are what Spark's cast makes of the category, here and in transform
+        key = F.col(name).cast("string").alias("_key")
+        counts = df.filter(F.col(name).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
         head = counts.limit(INLINE_CATEGORIES + 1).collect()
         if len(head) <= INLINE_CATEGORIES:
             total = sum(r["_n"] for r in head)
-            shares = {str(r[name]): r["_n"] / total for r in head}
+            shares = {r["_key"]: r["_n"] / total for r in head}
             return FrequencyEncoderModel(inputCol=name, shares=shares)
         total = counts.agg(F.sum("_n")).scalar()
-        table = counts.select(F.col(name).alias("_key"), (F.col("_n") / total).alias("_share"))
+        table = counts.select("_key", (F.col("_n") / total).alias("_share"))
         path = new_table_path(df.sparkSession, "frequencies")
         table.write.parquet(path)
         return FrequencyEncoderModel(inputCol=name, tablePath=path)

@@ -662,7 +662,7 @@ def residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frame(spark, sf_dir).select(*LINE_KEYS, F.round(gap, 6).alias("residual"))
 
 
-SCORE_CTE = """WITH s AS (SELECT l.quality AS y, floor(least(d.n_chars, 2000) / 20.0::DOUBLE) / 100 AS p
+SCORE_CTE = """WITH s AS (SELECT l.quality AS y, d.n_chars / (d.n_chars + 500.0::DOUBLE) AS p
     FROM documents d JOIN labels l USING (doc_id)),
   g AS (SELECT p, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg
     FROM s GROUP BY p),
@@ -672,7 +672,7 @@ SCORE_CTE = """WITH s AS (SELECT l.quality AS y, floor(least(d.n_chars, 2000) /
 
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    score = F.floor(F.least(F.col("n_chars"), F.lit(2000)) / 20) / 100
+    score = F.col("n_chars") / (F.col("n_chars") + F.lit(500.0))
     return docs.join(table(spark, sf_dir, "labels"), "doc_id").select(
         F.col("quality").alias("y"), score.alias("p"), (score >= 0.5).cast("int").alias("said")
     )

@@ -23,13 +23,13 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM events GROUP BY event_type""",
 )
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON files in, Parquet out; then all files arrive once more and add nothing."""
+    """JSON files in, Parquet out, in several triggers; then all arrive once more and add nothing."""
     source, target, state = (
         new_table_path(spark, name) for name in ("events-json", "events", "events-state")
     )
     for _ in range(2):
-        _events(spark, sf_dir).write.mode("append").json(source)
-        rows = jobs.stream_json(spark, source, EVENT_SCHEMA)
+        _events(spark, sf_dir).repartition(6).write.mode("append").json(source)
+        rows = jobs.stream_json(spark, source, EVENT_SCHEMA, files_per_trigger=4)
         jobs.ingest_stream(rows, target, state, "event_id", "ts").awaitTermination()
     return (
         spark.read.schema(EVENT_SCHEMA)

@@ -427,13 +427,17 @@ def citation_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("reference_id"), F.lit(1).alias("known")
     )
-    return (
-        paper.join(reference, "paper_id", "left")
-        .join(customer, "reference_id", "left")
+    # the reference side first: papers without references never meet under one null key
+    counts = (
+        reference.join(customer, "reference_id", "left")
         .groupBy("paper_id")
-        .agg(
-            F.count("reference_id").alias("reference_cnt"), F.count("known").alias("customer_cnt")
-        )
+        .agg(F.count("reference_id").alias("reference_cnt"), F.count("known").alias("customer_cnt"))
+    )
+    none = F.lit(0).cast("long")
+    return paper.select("paper_id").join(counts, "paper_id", "left").select(
+        "paper_id",
+        F.coalesce("reference_cnt", none).alias("reference_cnt"),
+        F.coalesce("customer_cnt", none).alias("customer_cnt"),
     )
 
 
@@ -583,8 +587,8 @@ def polarity_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").withColumn("polarity", polarity)
     return rows.groupBy("polarity", "l_linestatus").agg(
         F.count("*").alias("cnt"),
-        F.round(F.avg("l_quantity"), 6).alias("avg_quantity"),
-        F.round(F.avg("l_tax"), 6).alias("avg_tax"),
+        F.round(F.avg(agg.present("l_quantity")), 6).alias("avg_quantity"),
+        F.round(F.avg(agg.present("l_tax")), 6).alias("avg_tax"),
     )
 
 

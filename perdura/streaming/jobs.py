@@ -24,22 +24,39 @@ def ingest_stream(
     checkpoint: str,
     key: str,
     event_time: str,
-    delay: str = "10 minutes",
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Append to Parquet, dropping replays of a key.
+    """Append to Parquet, dropping replays of a key; no row is too late.
 
-    State is one entry per key of the last ``delay`` of event time. Rows older
-    than that are taken for replays, so ``delay`` must exceed the lateness of new
-    rows.
+    A replay is a row with the key and event day of a stored one, or of an earlier
+    row of its batch. Each batch is written to a folder of its own number, so one
+    that runs again replaces itself; it is compared with the stored rows of its
+    days only, the table being cut by day. Rows without a key are all kept.
     """
+    spark, schema = rows.sparkSession, rows.schema
+    day = F.coalesce(F.to_date(event_time).cast("string"), F.lit("none")).alias("day")
+    stored_schema = T.StructType([*schema.fields, T.StructField("batch", T.LongType()), T.StructField("day", T.StringType())])
+    # an empty table to compare the first batch with
+    spark.createDataFrame([], schema).write.mode("append").parquet(target)
+
+    def store(batch: DataFrame, number: int) -> None:
+        named = batch.select("*", day)
+        keyed = named.where(F.col(key).isNotNull()).dropDuplicates([key, "day"])
+        stored = (
+            batch.sparkSession.read.schema(stored_schema)
+            .parquet(target)
+            .where(F.col("batch") != number)
+            .select(key, "day")
+        )
+        fresh = keyed.join(stored, [key, "day"], "left_anti").select(named.columns)
+        fresh.unionByName(named.where(F.col(key).isNull())).write.mode("overwrite").partitionBy("day").parquet(
+            f"{target}/batch={number}"
+        )
+
     writer = (
-        rows.withWatermark(event_time, delay)
-        .dropDuplicatesWithinWatermark([key])
-        .writeStream.format("parquet")
-        .option("path", target)
+        rows.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
+        .foreachBatch(store)
     )
     if available_now:
         writer = writer.trigger(availableNow=True)
