@@ -27,11 +27,12 @@ doc_id is held out. Without training documents c, N and V are 0 and the base sco
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -182,14 +183,23 @@ def _settle(table: pa.Table) -> pa.Table:
 
 
 class Mixer:
-    """Slots, gated weights and refinement; the probability of each window's last byte."""
+    """Slots, gated weights and refinement; the probability of each window's last byte.
 
-    def __init__(self, odds: np.ndarray):
-        self.odds = odds
+    The slots do not change after they are filled, so they are broadcast once, packed;
+    the weights are small and go with each job.
+    """
+
+    def __init__(self, slots: Broadcast):
+        self.slots = slots
         self.by_node = np.full((256, CONTEXTS), 0.3)
         self.by_reach = np.zeros((8 * (CONTEXTS + 1), CONTEXTS))
         self.refined = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, LEVELS))), (256, 1))
 
+    def opened(self) -> Mixer:
+        """With its slots unpacked, in a task."""
+        self.odds = np.frombuffer(zlib.decompress(self.slots.value), dtype=np.int8).reshape(CONTEXTS, -1)
+        return self
+
     def inputs(self, contexts: list[np.ndarray], place: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = np.empty((CONTEXTS, len(node)), dtype=np.float32)
         reach = np.zeros(len(node), dtype=np.int64)
@@ -254,9 +264,9 @@ def _tuning(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         yield batch.column("window").to_numpy().view(U64), weight
 
 
-def _train(model):
+def _train(model: Mixer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, total = model.value, 0.0
+        mixer, total = model.opened(), 0.0
         for window, weight in _tuning(batches):
             mixer.learn(window, weight)
             total += weight.sum()
@@ -270,9 +280,10 @@ def _train(model):
     return run
 
 
-def _observe(model):
+def _observe(model: Mixer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = sum((model.value.outcomes(*t) for t in _tuning(batches)), np.zeros((2, 256 * LEVELS)))
+        mixer = model.opened()
+        total = sum((mixer.outcomes(*t) for t in _tuning(batches)), np.zeros((2, 256 * LEVELS)))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["seen"])
 
     return run
@@ -313,16 +324,16 @@ def train(docs: DataFrame) -> Mixer:
     size = 1 << BLOCK_BITS
     for r in blocks.collect():  # at most CONTEXTS * 2**SLOT_BITS bytes
         odds[r["context"], r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["odds"], dtype=np.int8)
-    mixer = Mixer(odds)
+    mixer = Mixer(spark.sparkContext.broadcast(zlib.compress(odds.tobytes(), 1)))
     tune = windows.where("tune > 0").select("window", "tune")
     for _ in range(ROUNDS):
-        rows = tune.mapInArrow(_train(spark.sparkContext.broadcast(mixer)), "total double, by_node binary, by_reach binary")
+        rows = tune.mapInArrow(_train(mixer), "total double, by_node binary, by_reach binary")
         rows = stage_table(rows, "weights")
         total = rows.agg(F.sum("total")).first()[0]
         if total:
             mixer.by_node = _added(rows, "by_node").reshape(mixer.by_node.shape) / total
             mixer.by_reach = _added(rows, "by_reach").reshape(mixer.by_reach.shape) / total
-    seen = _added(tune.mapInArrow(_observe(spark.sparkContext.broadcast(mixer)), "seen binary"), "seen")
+    seen = _added(tune.mapInArrow(_observe(mixer), "seen binary"), "seen")
     if seen is not None:
         zero, one = seen.reshape(2, 256, LEVELS)
         prior = 20.0
@@ -335,11 +346,11 @@ SCORED = (
 )
 
 
-def _score(model):
+def _score(model: Mixer):
     """A row for each text, and a row for each word of a slice with the texts it stands in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, part_id, number = model.value, TaskContext.get().partitionId(), 0
+        mixer, part_id, number = model.opened(), TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 block, number = (part_id << 32) | number, number + 1
@@ -393,7 +404,7 @@ def _base(table: pa.Table) -> pa.Table:
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability); one row per row of docs."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs))
+    model = train(docs)
     texts = docs.select(
         F.col("doc_id").cast("long"), fold().alias("fold"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
