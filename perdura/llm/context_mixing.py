@@ -47,7 +47,7 @@ END = 0x0A
 SCALE = 15.5  # of log odds in a signed byte
 LEVELS = 33
 RATE, STEP, ROUNDS = 0.15, 4096, 2
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 U64 = np.uint64
 SALT = U64(0x9E3779B97F4A7C15)
