@@ -61,7 +61,8 @@ def targets(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
         .withColumn("weight", values[(F.row_number().over(order) - 1) % len(weights)])
         .withColumn("cap", F.col("source_size") * float(limit))
     )
-    # fill in rising order of cap per weight: those before the first source that is not full are full
+    # in rising order of cap per weight, those before the first source that is not full are full;
+    # from that one on the level falls, so it is the greatest of the levels that fit
     filling = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source"))
     everything = Window.partitionBy()
     return (
@@ -69,7 +70,7 @@ def targets(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
         .withColumn("full_before", F.sum("cap").over(filling) - F.col("cap"))
         .withColumn("weight_left", F.sum("weight").over(everything) - F.sum("weight").over(filling) + F.col("weight"))
         .withColumn("level", (F.col("total") - F.col("full_before")) / F.col("weight_left"))
-        .withColumn("open_level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything))
+        .withColumn("open_level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything))
         .select(
             "source", "source_size",
             F.when(F.col("open_level").isNull(), F.col("cap"))

@@ -88,7 +88,7 @@ WITH rows AS (
   SELECT *, (total - sum(cap) OVER f + cap) / (sum(weight) OVER () - sum(weight) OVER f + weight) AS level
   FROM capped WINDOW f AS (ORDER BY cap / weight, source IS NULL, encode(source))
 ), goals AS (
-  SELECT *, coalesce(least(cap, weight * min(CASE WHEN level * weight <= cap THEN level END) OVER ()), cap) AS target
+  SELECT *, coalesce(least(cap, weight * max(CASE WHEN level * weight <= cap THEN level END) OVER ()), cap) AS target
   FROM levels
 ), parts AS (
   SELECT source, source_size, target,
