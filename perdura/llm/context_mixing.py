@@ -47,7 +47,7 @@ END = 0x0A
 SCALE = 15.5  # of log odds in a signed byte
 LEVELS = 33
 RATE, STEP, ROUNDS = 0.15, 4096, 2
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 U64 = np.uint64
 SALT = U64(0x9E3779B97F4A7C15)
@@ -67,8 +67,12 @@ def streams(data: np.ndarray, offsets: np.ndarray, spans: tuple) -> tuple[np.nda
     out = np.full(base[-1], 0x20, dtype=np.uint8)
     text = np.repeat(np.arange(len(words)), words)
     place = base[text] + HISTORY + letters[:-1] - letters[first[text]] + np.arange(len(start)) - first[text]
-    inner = np.arange(letters[-1]) - np.repeat(letters[:-1], length)
-    out[np.repeat(place, length) + inner] = data[np.repeat(start, length) + inner]
+    # the letters keep their order, so two masks of one byte a letter will do
+    source, target = np.zeros(len(data) + 1, np.int8), np.zeros(len(out) + 1, np.int8)
+    for edges, begin in ((source, start), (target, place)):
+        np.add.at(edges, begin, 1)
+        np.add.at(edges, begin + length, -1)
+    out[np.cumsum(target, dtype=np.int8)[:-1].astype(bool)] = data[np.cumsum(source, dtype=np.int8)[:-1].astype(bool)]
     head = np.add.outer(base[:-1], np.arange(HISTORY))
     out[head] = END
     out[base[1:] - 1] = END
