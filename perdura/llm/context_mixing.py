@@ -47,7 +47,9 @@ END = 0x0A
 SCALE = 15.5  # of log odds in a signed byte
 LEVELS = 33
 RATE, STEP, ROUNDS = 0.15, 4096, 2
-SLICE = 2 << 20
+SLICE = 2 << 20  # of windows
+WORD_SLICE = 16 << 20
+REMEMBERED = 1_500_000
 
 U64 = np.uint64
 SALT = U64(0x9E3779B97F4A7C15)
@@ -100,8 +102,7 @@ def context_hashes(window: np.ndarray) -> list[np.ndarray]:
 
 
 def slots(contexts: list[np.ndarray], node: np.ndarray, k: int) -> np.ndarray:
-    mask = U64((1 << SLOT_BITS) - 1)
-    return (mix(contexts[k] + node.astype(U64) * SALT) & mask).astype(np.int64)
+    return (((contexts[k] ^ node.astype(U64)) * SALT) >> U64(64 - SLOT_BITS)).astype(np.int64)
 
 
 def _merge(windows: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -186,6 +187,29 @@ def _settle(table: pa.Table) -> pa.Table:
     )
 
 
+class Remembered:
+    """Scores of the windows that a task has met, up to a fixed number."""
+
+    def __init__(self, mixer: Mixer):
+        self.mixer = mixer
+        self.window, self.value = np.zeros(0, U64), np.zeros(0)
+
+    def log2_of(self, window: np.ndarray) -> np.ndarray:
+        """Of distinct windows in rising order."""
+        at = np.minimum(np.searchsorted(self.window, window), max(0, len(self.window) - 1))
+        met = self.window[at] == window if len(self.window) else np.zeros(len(window), dtype=bool)
+        value = np.empty(len(window))
+        value[met] = self.value[at[met]]
+        value[~met] = self.mixer.log2_of(window[~met])
+        if len(self.window) + (~met).sum() > REMEMBERED:
+            self.window, self.value = window, value
+        else:
+            windows = np.concatenate([self.window, window[~met]])
+            order = np.argsort(windows, kind="stable")
+            self.window, self.value = windows[order], np.concatenate([self.value, value[~met]])[order]
+        return value
+
+
 class Mixer:
     """Slots, gated weights and refinement; the probability of each window's last byte.
 
@@ -354,27 +378,31 @@ def _score(model: Mixer):
     """A row for each text, and a row for each word of a slice with the texts it stands in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, part_id, number = model.opened(), TaskContext.get().partitionId(), 0
+        mixer, part_id, number = Remembered(model.opened()), TaskContext.get().partitionId(), 0
+        none = lambda kind, n: pa.nulls(n, kind)
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
+            for whole in slices(batch, "text", WORD_SLICE):
                 block, number = (part_id << 32) | number, number + 1
-                data, offsets = bytes_of(part.column("text"))
-                data = LOWER[data]
-                spans = word_spans(data, offsets)
-                window, first = streams(data, offsets, spans)
-                each, place = np.unique(window, return_inverse=True)
-                bits = np.add.reduceat(mixer.log2_of(each)[place], first[:-1])
-                words = np.diff(spans[2])
-                n, folds = part.num_rows, part.column("fold").to_numpy()
-                none = lambda kind, rows=n: pa.nulls(rows, kind)
+                n, folds = whole.num_rows, whole.column("fold").to_numpy()
+                scores, words, tokens = [], [], []
+                for part in slices(whole, "text", SLICE):
+                    data, offsets = bytes_of(part.column("text"))
+                    data = LOWER[data]
+                    spans = word_spans(data, offsets)
+                    window, first = streams(data, offsets, spans)
+                    each, place = np.unique(window, return_inverse=True)
+                    scores.append(np.add.reduceat(mixer.log2_of(each)[place], first[:-1]) * np.log10(2))
+                    words.append(np.diff(spans[2]))
+                    tokens.append(RollingHash(data).spans(spans[0], spans[1]) | U64(1))
+                words = np.concatenate(words)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), part.column("doc_id"),
-                     pa.array(folds == 0), pa.array(words + 1), pa.array(bits * np.log10(2)),
-                     none(pa.int64()), none(pa.int64()), none(pa.binary())],
+                    [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), whole.column("doc_id"),
+                     pa.array(folds == 0), pa.array(words + 1), pa.array(np.concatenate(scores)),
+                     none(pa.int64(), n), none(pa.int64(), n), none(pa.binary(), n)],
                     ["block", "place", "doc_id", "held_out", "n_tokens", "score", "word", "n_train", "texts"],
                 )
                 # the end token is the word of hash 0, once for each text
-                token = np.r_[RollingHash(data).spans(spans[0], spans[1]) | U64(1), np.zeros(n, U64)]
+                token = np.concatenate([*tokens, np.zeros(n, U64)])
                 text = np.r_[np.repeat(np.arange(n), words), np.arange(n)].astype(np.uint32)
                 order = np.argsort(token, kind="stable")
                 token, text = token[order], text[order]
