@@ -87,22 +87,26 @@ def streams(data: np.ndarray, offsets: np.ndarray, spans: tuple) -> tuple[np.nda
     return window[real[HISTORY:]], np.r_[0, np.cumsum(size)]
 
 
-def context_hashes(window: np.ndarray) -> list[np.ndarray]:
-    """The contexts of each window's last byte."""
+def context_hash(window: np.ndarray, k: int) -> np.ndarray:
+    """Context k of each window's last byte: the k + 1 bytes before it, or lastly the word's beginning."""
     before = window >> U64(8)
-    found = [mix((before & U64((1 << 8 * n) - 1)) * SALT + U64(n)) for n in range(1, HISTORY + 1)]
+    if k < HISTORY:
+        return mix((before & U64((1 << 8 * (k + 1)) - 1)) * SALT + U64(k + 1))
     word = np.zeros_like(before)
     inside = np.ones(len(before), dtype=bool)
-    for k in range(HISTORY):
-        byte = (before >> U64(8 * k)) & U64(0xFF)
+    for n in range(HISTORY):
+        byte = (before >> U64(8 * n)) & U64(0xFF)
         inside &= (byte != U64(0x20)) & (byte != U64(END))
-        word |= np.where(inside, byte << U64(8 * k), U64(0))
-    found.append(mix(word * SALT + U64(HISTORY + 1)))
-    return found
+        word |= np.where(inside, byte << U64(8 * n), U64(0))
+    return mix(word * SALT + U64(HISTORY + 1))
+
+
+def context_hashes(window: np.ndarray) -> list[np.ndarray]:
+    return [context_hash(window, k) for k in range(CONTEXTS)]
 
 
-def slots(contexts: list[np.ndarray], node: np.ndarray, k: int) -> np.ndarray:
-    return (((contexts[k] ^ node.astype(U64)) * SALT) >> U64(64 - SLOT_BITS)).astype(np.int64)
+def slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
+    return (((context ^ node.astype(U64)) * SALT) >> U64(64 - SLOT_BITS)).astype(np.int64)
 
 
 def _merge(windows: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -154,20 +158,18 @@ def _bits(window: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each slot met a 0 and a 1, in blocks of slots."""
     size, block = 1 << SLOT_BITS, 1 << BLOCK_BITS
-    total = np.zeros((CONTEXTS, 2, size), dtype=np.float32)
-    for batch in batches:
-        window = batch.column("window").to_numpy().view(U64)
-        weight = batch.column("fit").to_numpy().astype(np.float64)
-        contexts = context_hashes(window)
-        for _, node, bit in _bits(window):
-            for k in range(CONTEXTS):
-                at = slots(contexts, node, k)
+    parts = [(b.column("window").to_numpy().view(U64), b.column("fit").to_numpy().astype(np.float32)) for b in batches]
+    for k in range(CONTEXTS):  # one after the other: the counts of one fit beside the partition's windows
+        total = np.zeros((2, size), dtype=np.float32)
+        for window, weight in parts:
+            context = context_hash(window, k)
+            for _, node, bit in _bits(window):
+                at = slots(context, node)
                 for value in (0, 1):
                     mine = bit == value
-                    np.add.at(total[k, value], at[mine], weight[mine].astype(np.float32))
-    for k in range(CONTEXTS):
+                    np.add.at(total[value], at[mine], weight[mine])
         for b in range(size // block):
-            part = total[k, :, b * block : (b + 1) * block]
+            part = total[:, b * block : (b + 1) * block]
             if part.any():
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k], pa.int32()), pa.array([b], pa.int32()), pa.array([part.tobytes()], pa.binary())],
@@ -232,7 +234,7 @@ class Mixer:
         x = np.empty((CONTEXTS, len(node)), dtype=np.float32)
         reach = np.zeros(len(node), dtype=np.int64)
         for k in range(CONTEXTS):
-            x[k] = self.odds[k][slots(contexts, node, k)]
+            x[k] = self.odds[k][slots(contexts[k], node)]
             if k < HISTORY:
                 reach[x[k] != 0] = k + 1
         x /= SCALE
