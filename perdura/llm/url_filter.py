@@ -95,9 +95,13 @@ def ship(spark: SparkSession, rules: Mapping[str, str], blocked: Sequence[str])
     entries |= {rule: BLOCK if verdict == "block" else ALLOW for rule, verdict in rules.items()}
     data = pack(entries)
     name = f"url-digests-{hashlib.sha256(data).hexdigest()[:16]}.bin"
-    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="perdura-")), name)
-    with open(path, "wb") as out:
-        out.write(data)
+    # one place for each application and content: Spark refuses a second path for a name, and takes the same one again
+    folder = os.path.join(os.path.realpath(tempfile.gettempdir()), f"perdura-{spark.sparkContext.applicationId}")
+    path = os.path.join(folder, name)
+    if not os.path.exists(path):
+        os.makedirs(folder, exist_ok=True)
+        with open(path, "wb") as out:
+            out.write(data)
     spark.sparkContext.addFile(path)
     return name
 
