@@ -4,14 +4,13 @@
 without partitions sorts everything in one task. Here a rank is located by
 counting: rows inside a value bracket fall into equal-width bins, the bin holding
 the rank becomes the next bracket, and bins are exact counts combined before the
-shuffle. What reaches the driver is bounded whatever the number of rows.
+shuffle. Groups and brackets are tables, so there may be any number of them.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -22,142 +21,107 @@ from perdura.operators.caching import cached
 from perdura.sources.staging import stage_table
 
 MAX_BINS = 1024
-DRIVER_ROWS = 1_000_000  # most bins or values fetched in one pass
-COLLECT_ROWS = 50_000  # most rows of one bracket whose values are fetched
-MAX_GROUPS = 10_000
-MAX_PASSES = 100
-LARGEST = 1.7976931348623157e308
-
-
-@dataclass
-class _Bracket:
-    """Rows of a group with lo <= value <= hi, holding all the listed ranks."""
-
-    group: str | None
-    ranks: list[int]
-    lo: float
-    hi: float
-    below: int
-    inside: int
-    curved: bool = False  # bins on the asinh scale, for values of many magnitudes
-
-    def split(self, bins: list) -> list[_Bracket]:
-        """Brackets of the bins (ordered by value) that hold a rank."""
-        out: dict[int, _Bracket] = {}
-        for rank in self.ranks:
-            seen = self.below
-            for i, r in enumerate(bins):
-                if rank < seen + r["n"]:
-                    if i not in out:
-                        slow = r["n"] * 8 > self.inside and not self.curved
-                        out[i] = _Bracket(self.group, [], r["lo"], r["hi"], seen, r["n"], slow)
-                    out[i].ranks.append(rank)
-                    break
-                seen += r["n"]
-        return list(out.values())
+COLLECT_ROWS = 50_000  # a bracket of no more rows has a bin for each value
+INFINITE = float("inf")
 
 
 def _bin_of(bins: int) -> Column:
-    """Bin of ``v`` in its bracket; non-decreasing in ``v``."""
-
-    def place(v: Column, lo: Column, hi: Column) -> Column:
-        return F.floor((v - lo) / (hi - lo) * bins).cast("int")
+    """Bin of ``v`` in its bracket; non-decreasing in ``v``, and not the same for both ends unless curved.
 
+    Curved brackets have bins on a logarithmic scale, for values of many magnitudes.
+    """
     v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
-    curved = place(F.asinh(v), F.asinh(lo), F.asinh(hi))
-    return F.when(F.col("curved"), curved).otherwise(place(v, lo, hi))
+    half = F.when(hi - lo == INFINITE, 0.5).otherwise(1.0)  # the width must stay finite
+
+    def curve(x: Column) -> Column:
+        return F.signum(x) * F.log1p(F.abs(x))
+
+    curved = F.coalesce(F.try_divide(curve(v) - curve(lo), curve(hi) - curve(lo)), F.lit(0.0))
+    straight = (v * half - lo * half) / (hi * half - lo * half)
+    place = F.floor(F.when(F.col("curved"), curved).otherwise(straight) * bins).cast("double")
+    return F.when(F.col("inside") <= COLLECT_ROWS, v).otherwise(place)
 
 
 def rank_values(
     df: DataFrame,
     value: str,
     group: str | None,
-    ranks_of: Callable[[int], Sequence[int]],
-) -> dict[str | None, tuple[int, dict[int, float]]]:
-    """Per group its size n and the exact values at the 0-based ranks ``ranks_of(n)``."""
-    spark = df.sparkSession
+    ranks_of: Callable[[Column], Sequence[Column]],
+) -> DataFrame:
+    """(g, n, k, x): per group its size and the exact value x at its k-th asked rank.
+
+    ``ranks_of(n)`` lists 0-based ranks; those outside a group mean its first or last
+    row. Null and NaN values do not count, infinite ones do. Values are taken as doubles.
+    """
     key = F.col(group).cast("string") if group else F.lit("")
     v = F.col(value).cast("double")
-    finite = F.greatest(F.least(v, F.lit(LARGEST)), F.lit(-LARGEST))
-    base = cached(df.filter(~missing(v)).select(key.alias("g"), finite.alias("v")))
+    base = cached(df.filter(~missing(v)).select(key.alias("g"), v.alias("v")))
     try:
-        groups = (
-            base.groupBy("g")
-            .agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .limit(MAX_GROUPS + 1)
-            .collect()
+        finite = F.when(F.abs("v") < INFINITE, F.col("v"))
+        sizes = base.groupBy("g").agg(
+            F.count("v").alias("n"), F.min(finite).alias("lo"), F.max(finite).alias("hi"), F.count(finite).alias("inside"),
+            F.count_if(F.col("v") == -INFINITE).alias("under"),
         )
-        if len(groups) > MAX_GROUPS:
-            raise ValueError(f"more than {MAX_GROUPS} groups; order statistics need few groups")
-        found: dict[str | None, tuple[int, dict[int, float]]] = {}
-        todo = []
-        for r in groups:
-            found[r["g"]] = (r["n"], {})
-            ranks = sorted({min(max(k, 0), r["n"] - 1) for k in ranks_of(r["n"])})
-            todo.append(_Bracket(r["g"], ranks, r["lo"], r["hi"], 0, r["n"]))
-
-        def scan(brackets: list[_Bracket]) -> DataFrame:
-            table = spark.createDataFrame(
-                [
-                    (i, b.group, b.lo, b.hi, b.curved or math.isinf(b.hi - b.lo))
-                    for i, b in enumerate(brackets)
-                ],
-                "i int, bg string, lo double, hi double, curved boolean",
+        ranks = [F.greatest(F.lit(0), F.least(r, F.col("n") - 1)).cast("long") for r in ranks_of(F.col("n"))]
+        rank = F.col("rank") - F.col("under")
+        end = F.when(rank < 0, -INFINITE).when(rank >= F.col("inside"), INFINITE)
+        state = stage_table(
+            sizes.select("*", F.posexplode(F.array(*ranks)).alias("k", "rank")).select(
+                "g", "n", "k", rank.alias("rank"), F.coalesce(end, "lo").alias("lo"), F.coalesce(end, "hi").alias("hi"),
+                "inside", F.lit(False).alias("curved"),
+            ),
+            "ranks",
+        )
+        found = state.where("lo = hi")
+        # each second pass at least has straight bins, which part the ends of a bracket
+        while not (todo := state.where("lo < hi")).isEmpty():
+            brackets = todo.select(F.col("g").alias("of"), "lo", "hi", "inside", "curved").distinct()
+            running = Window.partitionBy("of", "lo", "hi").orderBy("bin")
+            bins = (
+                base.join(brackets, F.col("g").eqNullSafe(F.col("of")) & F.col("v").between(F.col("lo"), F.col("hi")))
+                .groupBy("of", "lo", "hi", _bin_of(MAX_BINS).alias("bin"))
+                .agg(F.count("*").alias("rows"), F.min("v").alias("low"), F.max("v").alias("high"))
+                .withColumn("upto", F.sum("rows").over(running))
+                .select("of", F.col("lo").alias("from"), F.col("hi").alias("to"), "rows", "low", "high", "upto")
             )
-            # at most one row per requested rank
-            inside = F.col("v").between(F.col("lo"), F.col("hi"))
-            return base.join(
-                F.broadcast(table), F.col("g").eqNullSafe(F.col("bg")) & inside
+            holds = (
+                F.col("g").eqNullSafe(F.col("of")) & (F.col("lo") == F.col("from")) & (F.col("hi") == F.col("to"))
+                & (F.col("rank") >= F.col("upto") - F.col("rows")) & (F.col("rank") < F.col("upto"))
             )
-
-        for _ in range(MAX_PASSES):
-            for b in todo:
-                if b.lo == b.hi:
-                    found[b.group][1].update({rank: b.lo for rank in b.ranks})
-            todo = [b for b in todo if b.lo < b.hi]
-            if not todo:
-                break
-            few = min(COLLECT_ROWS, DRIVER_ROWS // len(todo))
-            if all(b.inside <= few for b in todo):
-                bins = F.col("v")
-            else:
-                bins = _bin_of(max(8, min(MAX_BINS, DRIVER_ROWS // len(todo))))
-            rows = (
-                scan(todo)
-                .groupBy("i", bins.alias("bin"))
-                .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-                .collect()
+            state = stage_table(
+                todo.join(bins, holds).select(
+                    "g", "n", "k", (F.col("rank") - F.col("upto") + F.col("rows")).alias("rank"),
+                    F.col("low").alias("lo"), F.col("high").alias("hi"), F.col("rows").alias("inside"),
+                    ((F.col("rows") * 8 > F.col("inside")) & ~F.col("curved")).alias("curved"),
+                ),
+                "ranks",
             )
-            per: dict[int, list] = {}
-            for r in rows:
-                per.setdefault(r["i"], []).append(r)
-            todo = [
-                part
-                for i, some in per.items()
-                for part in todo[i].split(sorted(some, key=lambda r: r["bin"]))
-            ]
-        return found
+            found = found.unionByName(state.where("lo = hi"))
+        return found.select("g", "n", "k", F.col("lo").alias("x"))
     finally:
         base.unpersist()
 
 
+def quantile_table(df: DataFrame, value: str, probs: Sequence[float], group: str | None = None) -> DataFrame:
+    """(g, q): linear-interpolation quantiles per group, as ``percentile`` gives them."""
+    spots = [lambda n, p=p: (n - 1) * F.lit(float(p)) for p in probs]
+    ranks = rank_values(df, value, group, lambda n: [edge(s(n)) for s in spots for edge in (F.floor, F.ceil)])
+    found = ranks.groupBy("g").agg(
+        F.first("n").alias("n"), *[F.max(F.when(F.col("k") == i, F.col("x"))).alias(f"x{i}") for i in range(2 * len(probs))]
+    )
+
+    def between(i: int) -> Column:
+        spot, low, high = spots[i](F.col("n")), F.col(f"x{2 * i}"), F.col(f"x{2 * i + 1}")
+        return F.when(low == high, low).otherwise(low + (spot - F.floor(spot)) * (high - low))
+
+    return found.select("g", F.array(*[between(i) for i in range(len(probs))]).alias("q"))
+
+
 def exact_quantiles(
     df: DataFrame, value: str, probs: Sequence[float], group: str | None = None
 ) -> dict[str | None, list[float]]:
-    """Linear-interpolation quantiles per group, as ``percentile`` gives them."""
-
-    def ranks(n: int) -> list[int]:
-        spots = [(n - 1) * p for p in probs]
-        return sorted({math.floor(h) for h in spots} | {math.ceil(h) for h in spots})
-
-    out = {}
-    for g, (n, at) in rank_values(df, value, group, ranks).items():
-        out[g] = []
-        for p in probs:
-            spot = (n - 1) * p
-            low, high = at[math.floor(spot)], at[math.ceil(spot)]
-            out[g].append(low + (spot - math.floor(spot)) * (high - low))
-    return out
+    """``quantile_table`` on the driver, for groups known to be few."""
+    return {r["g"]: list(r["q"]) for r in quantile_table(df, value, probs, group).collect()}
 
 
 def running_totals(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -41,15 +40,10 @@ def stratified_split(
     """
     u = (hash_fraction(*[F.col(k) for k in keys], seed=seed) * F.lit(BITS)).alias("_u")
     ranked = df.select(F.col(stratum).cast("string").alias("_g"), u)
-    cuts = rank_values(ranked, "_u", "_g", lambda n: [math.ceil(round(n * train, 9)) - 1])
-    spark = df.sparkSession
-    table = spark.createDataFrame(
-        [(g, cut) for g, (_, ranks) in cuts.items() for cut in ranks.values()],
-        "_s string, _cut double",
-    )
+    cuts = rank_values(ranked, "_u", "_g", lambda n: [F.ceil(F.round(n * F.lit(float(train)), 9)) - 1])
     return (
         df.withColumn("_g", F.col(stratum).cast("string"))
-        .join(F.broadcast(table), F.col("_g").eqNullSafe(F.col("_s")), "left")
+        .join(cuts.select(F.col("g").alias("_s"), F.col("x").alias("_cut")), F.col("_g").eqNullSafe(F.col("_s")), "left")
         .withColumn("is_train", (u <= F.col("_cut")).cast("int"))
         .drop("_g", "_s", "_cut")
     )

@@ -538,8 +538,9 @@ def na_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
       PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1""",
 )
 def dedup_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("text", "doc_id", "lang", "n_chars")
-    first = rel.first_per_key(docs, ["text"], ["doc_id"])
+    # texts meet by digest: the texts themselves are neither shuffled nor sorted
+    docs = table(spark, sf_dir, "documents").select(F.md5("text").alias("digest"), "doc_id", "lang", "n_chars")
+    first = rel.first_per_key(docs, ["digest"], ["doc_id"])
     return first.select("doc_id", "lang", "n_chars")
 
 

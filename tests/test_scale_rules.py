@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from perdura.functions import html
 from perdura.operators import aggregates, evaluate, grouptests
-from perdura.operators.quantiles import running_totals
+from perdura.operators.quantiles import exact_quantiles, running_totals
+from perdura.operators.sampling import stratified_split
 from perdura.operators.transforms import FrequencyEncoder
 from perdura.streaming import jobs
 
@@ -74,3 +75,17 @@ def test_frequency_keys_are_those_of_the_cast(spark, kind, values):
     df = spark.createDataFrame([(v,) for v in values], f"c {kind}")
     got = FrequencyEncoder(inputCol="c").fit(df).transform(df)
     assert [r["c"] for r in got.collect()] == [0.75, 0.75, 0.25, 0.75]
+
+
+def test_quantiles_keep_infinite_values(spark):
+    v = [float("-inf"), -1e9, -5.0, 0.0, 2.0, 1e300, -1e300, float("inf"), float("inf"), None, float("nan")]
+    df = spark.createDataFrame([(x,) for x in v], "v double")
+    got = exact_quantiles(df, "v", [0.0, 0.125, 0.5, 0.9, 1.0])[""]
+    assert got == [float("-inf"), -1e300, 0.0, float("inf"), float("inf")]
+
+
+def test_any_number_of_strata(spark):
+    df = spark.range(40_000).select("id", (F.col("id") % 20_000).alias("k"))
+    split = stratified_split(df, "k", ["id"], 0.5)
+    counts = split.groupBy("k").agg(F.sum("is_train").alias("t"), F.count("*").alias("n"))
+    assert counts.count() == 20_000 and counts.where("t <> 1 or n <> 2").count() == 0
