@@ -10,7 +10,8 @@ Pairs are never all written out. A bucket first links its members to its least
 member, one confirmation for each node; then to the leaders of its other buckets
 if these still lie in another component; only the candidates that then remain
 between different components are compared, in blocks of bounded size, by
-signature, and those near enough are confirmed as well.
+signature, and those near enough are confirmed as well. After each of these
+steps only the links between components are joined up, not those within.
 
 Rows: a null or empty text, or one without words, has an empty set and is linked
 with nothing. Rows that share a doc_id count as one document. A row without
@@ -36,6 +37,7 @@ WORDS = 5
 ROWS, BANDS = 6, 32
 HASHES = ROWS * BANDS
 BLOCK = 512
+DEVIATIONS = 5  # by which a signature may fall below the similarity asked for before its pair is confirmed
 SEED = 20240601
 
 
@@ -94,12 +96,30 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets share at least percent/100 of their union."""
+    """The rows of pairs whose sets a and b share at least percent/100 of their union."""
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
     other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
     shared = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - shared
-    return pairs.join(other, "b").join(one, "a").where(100 * shared >= percent * union).select("a", "b")
+    return pairs.join(other, "b").join(one, "a").where(100 * shared >= percent * union).select(
+        *pairs.columns
+    )
+
+
+def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after links between them, as (at_a, at_b), have been added."""
+    into = stage_table(
+        connected_components(links, "at_a", "at_b").select(
+            F.col("node").alias("component"), F.col("component").alias("into")
+        ).where("component <> into"),
+        "into",
+    )
+    return stage_table(
+        component.join(into, "component", "left").select(
+            "node", F.coalesce("into", "component").alias("component")
+        ),
+        "component",
+    )
 
 
 def _block_pairs(near: int):
@@ -123,17 +143,15 @@ def _block_pairs(near: int):
             close = same.sum(axis=1) >= near
             first = same.reshape(len(q), BANDS, ROWS).all(axis=2).argmax(axis=1)
             q = q[close & (first == band)]
-            found.append(pd.DataFrame({"a": np.minimum(node[q], node[p]), "b": np.maximum(node[q], node[p])}))
-        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}).astype("int64")
+            found.append(pd.DataFrame({"a": node[p], "b": node[q], "at_a": comp[p], "at_b": comp[q]}))
+        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "at_a": [], "at_b": []}).astype("int64")
 
     return run
 
 
 def _remaining(buckets: DataFrame, nodes: DataFrame, component: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs between components, from the buckets in which several meet."""
-    placed = buckets.join(component, "node", "left").select(
-        "key", "band", "node", F.coalesce("component", "node").alias("component")
-    )
+    placed = buckets.join(component, "node").select("key", "band", "node", "component")
     mixed = stage_table(
         placed.groupBy("key").agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")
@@ -149,8 +167,10 @@ def _remaining(buckets: DataFrame, nodes: DataFrame, component: DataFrame, perce
         .withColumn("j", F.greatest("block", "other"))
     )
     share = percent / 100
-    near = int(HASHES * share - 3.5 * (HASHES * share * (1 - share)) ** 0.5)
-    return rows.groupBy("key", "band", "i", "j").applyInPandas(_block_pairs(near), "a long, b long")
+    near = int(HASHES * share - DEVIATIONS * (HASHES * share * (1 - share)) ** 0.5)
+    return rows.groupBy("key", "band", "i", "j").applyInPandas(
+        _block_pairs(near), "a long, b long, at_a long, at_b long"
+    )
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
@@ -183,28 +203,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
         buckets.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(),
         "stars",
     )
-    nearest = stars.groupBy("b").agg(F.min("a").alias("a"))
-    links = stage_table(confirm(nearest, sets, percent), "links")
-    component = stage_table(connected_components(links, "a", "b"), "component")
+    nearest = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b", F.col("a").alias("at_a"), F.col("b").alias("at_b"))
+    alone = classes.select("node", F.col("node").alias("component")).distinct()
+    component = _merged(alone, confirm(nearest, sets, percent))
 
     apart = (
-        stars.join(component.select(F.col("node").alias("a"), F.col("component").alias("at_a")), "a", "left")
-        .join(component.select(F.col("node").alias("b"), F.col("component").alias("at_b")), "b", "left")
-        .where(F.coalesce("at_a", "a") != F.coalesce("at_b", "b"))
-        .select("a", "b")
+        stars.join(component.select(F.col("node").alias("a"), F.col("component").alias("at_a")), "a")
+        .join(component.select(F.col("node").alias("b"), F.col("component").alias("at_b")), "b")
+        .where("at_a <> at_b")
     )
-    links = stage_table(links.unionByName(confirm(apart, sets, percent)), "links")
-    component = stage_table(connected_components(links, "a", "b"), "component")
+    component = _merged(component, confirm(apart, sets, percent))
 
     rest = _remaining(buckets.select("key", "band", "node"), nodes, component, percent)
-    links = links.unionByName(stage_table(confirm(rest, sets, percent), "links"))
-    component = connected_components(links, "a", "b")
+    component = _merged(component, confirm(rest, sets, percent))
 
     placed = stage_table(
-        classes.join(component, "node", "left").select(
-            "set_id", F.coalesce("component", "node").alias("component_id")
-        ),
-        "placed",
+        classes.join(component, "node").select("set_id", F.col("component").alias("component_id")), "placed"
     )
     return (
         signed.select("doc_id", "n_shingles", "set_id").join(placed, "set_id", "left")
