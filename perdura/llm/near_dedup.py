@@ -6,11 +6,11 @@ random linear hash functions; 32 bands of 6 minima make the candidate buckets, s
 a pair at the similarity bound is missed with a chance of 3e-7. Documents with
 equal sets are one node from the start. Links are confirmed on the full sets.
 
-Pairs are never all written out. A bucket first links its members to its least
-member, one confirmation for each node; then to the leaders of its other buckets
-if these still lie in another component; only the candidates that then remain
-between different components are compared, in blocks of bounded size, by
-signature, and those near enough are confirmed as well. After each of these
+Pairs are never all written out. Each node is first confirmed against the least
+member of its buckets. Then, twice, each bucket in which several components meet
+confirms one member of each against its least member. Only the candidates that
+then remain between different components are compared, in blocks of bounded size,
+by signature, and those near enough are confirmed as well. After each of these
 steps only the links between components are joined up, not those within.
 
 Rows: a null or empty text, or one without words, has an empty set and is linked
@@ -149,9 +149,29 @@ def _block_pairs(near: int):
     return run
 
 
-def _remaining(buckets: DataFrame, nodes: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+def _bands_of(buckets_of: DataFrame, component: DataFrame) -> DataFrame:
+    """(node, component, band, key) of every shared bucket of every node."""
+    return buckets_of.join(component, "node").select("node", "component", F.inline("buckets"))
+
+
+def _across(buckets_of: DataFrame, component: DataFrame) -> DataFrame:
+    """In each bucket of several components, the least node of each beside the least of all."""
+    least = stage_table(
+        _bands_of(buckets_of, component).groupBy("key", "component").agg(F.min("node").alias("node")), "least_of"
+    )
+    low = least.groupBy("key").agg(
+        F.min(F.struct("node", "component")).alias("low"), F.max("component").alias("last"),
+        F.min("component").alias("first"),
+    ).where("first <> last").select("key", "low")
+    return least.join(low, "key").where("component <> low.component").select(
+        F.col("low.node").alias("a"), F.col("node").alias("b"),
+        F.col("low.component").alias("at_a"), F.col("component").alias("at_b"),
+    ).distinct()
+
+
+def _remaining(buckets_of: DataFrame, nodes: DataFrame, component: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs between components, from the buckets in which several meet."""
-    placed = buckets.join(component, "node").select("key", "band", "node", "component")
+    placed = _bands_of(buckets_of, component)
     mixed = stage_table(
         placed.groupBy("key").agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")
@@ -159,7 +179,7 @@ def _remaining(buckets: DataFrame, nodes: DataFrame, component: DataFrame, perce
         "mixed",
     )
     rows = (
-        stage_table(placed, "placed").join(mixed, "key")
+        placed.join(mixed, "key")
         .join(nodes.select("node", "signature"), "node")
         .withColumn("block", F.expr("cast(pmod(xxhash64(node, key), blocks) as int)"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
@@ -191,31 +211,28 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
     leaders = bands.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where(
         "leader <> last"
     )
-    buckets = stage_table(bands.join(leaders, "key").select("key", "band", "node", "leader").distinct(), "buckets")
+    buckets_of = stage_table(  # at most BANDS buckets a node
+        bands.join(leaders, "key").groupBy("node").agg(
+            F.collect_set(F.struct("band", "key")).alias("buckets"),
+            F.min("leader").alias("leader"),
+        ),
+        "buckets",
+    )
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sets = stage_table(
-        texts.join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "leftsemi").mapInArrow(
+        texts.join(buckets_of.select(F.col("node").alias("doc_id")), "doc_id", "leftsemi").mapInArrow(
             _sets(words), "node long, shingles array<long>"
         ),
         "sets",
     )
-    stars = stage_table(
-        buckets.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(),
-        "stars",
+    first = buckets_of.where("leader <> node").select(
+        F.col("leader").alias("a"), F.col("node").alias("b"), F.col("leader").alias("at_a"), F.col("node").alias("at_b")
     )
-    nearest = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b", F.col("a").alias("at_a"), F.col("b").alias("at_b"))
-    alone = classes.select("node", F.col("node").alias("component")).distinct()
-    component = _merged(alone, confirm(nearest, sets, percent))
-
-    apart = (
-        stars.join(component.select(F.col("node").alias("a"), F.col("component").alias("at_a")), "a")
-        .join(component.select(F.col("node").alias("b"), F.col("component").alias("at_b")), "b")
-        .where("at_a <> at_b")
-    )
-    component = _merged(component, confirm(apart, sets, percent))
-
-    rest = _remaining(buckets.select("key", "band", "node"), nodes, component, percent)
-    component = _merged(component, confirm(rest, sets, percent))
+    component = classes.select("node", F.col("node").alias("component")).distinct()
+    component = _merged(component, confirm(first, sets, percent))
+    for _ in range(2):
+        component = _merged(component, confirm(_across(buckets_of, component), sets, percent))
+    component = _merged(component, confirm(_remaining(buckets_of, nodes, component, percent), sets, percent))
 
     placed = stage_table(
         classes.join(component, "node").select("set_id", F.col("component").alias("component_id")), "placed"
