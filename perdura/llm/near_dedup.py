@@ -10,7 +10,8 @@ Pairs are never all written out. Each node is first confirmed against the least
 member of its buckets. Then, twice, each bucket in which several components meet
 confirms one member of each against its least member. Only the candidates that
 then remain between different components are compared, in blocks of bounded size,
-by signature, and those near enough are confirmed as well. After each of these
+by signature, and those near enough are confirmed within the block on their full
+sets, so that pairs which are no links are never written out. After each of these
 steps only the links between components are joined up, not those within.
 
 Rows: a null or empty text, or one without words, has an empty set and is linked
@@ -36,7 +37,7 @@ from perdura.sources.staging import stage_table
 WORDS = 5
 ROWS, BANDS = 6, 32
 HASHES = ROWS * BANDS
-BLOCK = 512
+BLOCK, BLOCK_SHINGLES = 512, 2 << 20
 DEVIATIONS = 5  # by which a signature may fall below the similarity asked for before its pair is confirmed
 SEED = 20240601
 
@@ -122,36 +123,52 @@ def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def _block_pairs(near: int):
-    """Pairs of different components in a block pair whose signatures agree in `near` places or more.
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two rising arrays have in common."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    return int((large[at] == small).sum())
 
-    A pair that meets in several bands is given by the first of them only.
+
+def _block_links(near: int, percent: int):
+    """Links between components in a block pair, as many as join them up.
+
+    Pairs whose signatures agree in `near` places or more are confirmed on their full
+    sets. A pair that meets in several bands is taken in the first of them only.
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         _, band, i, j = key
         sign = np.stack([np.frombuffer(s, dtype=np.uint32) for s in rows["signature"]])
+        sets = [np.asarray(s, dtype=np.int64).view(np.uint64) for s in rows["shingles"]]
         node, comp = rows["node"].to_numpy(), rows["component"].to_numpy()
-        block = rows["block"].to_numpy()
+        block, size = rows["block"].to_numpy(), np.array([len(s) for s in sets])
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        _, at = np.unique(comp, return_inverse=True)  # components as far as joined in this block pair
         found = []
         for p in left:
-            q = right[(comp[right] != comp[p]) & ((node[right] > node[p]) | (i != j))]
+            q = right[(at[right] != at[p]) & ((node[right] > node[p]) | (i != j))]
+            q = q[100 * np.minimum(size[q], size[p]) >= percent * np.maximum(size[q], size[p])]
             if not len(q):
                 continue
             same = sign[q] == sign[p]
             close = same.sum(axis=1) >= near
             first = same.reshape(len(q), BANDS, ROWS).all(axis=2).argmax(axis=1)
-            q = q[close & (first == band)]
-            found.append(pd.DataFrame({"a": node[p], "b": node[q], "at_a": comp[p], "at_b": comp[q]}))
-        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "at_a": [], "at_b": []}).astype("int64")
+            for r in q[close & (first == band)]:
+                if at[r] == at[p]:
+                    continue
+                shared = _shared(sets[p], sets[r])
+                if 100 * shared >= percent * (size[p] + size[r] - shared):
+                    found.append((comp[p], comp[r]))
+                    at[at == at[r]] = at[p]
+        return pd.DataFrame(found, columns=["at_a", "at_b"], dtype="int64")
 
     return run
 
 
 def _bands_of(buckets_of: DataFrame, component: DataFrame) -> DataFrame:
     """(node, component, band, key) of every shared bucket of every node."""
-    return buckets_of.join(component, "node").select("node", "component", F.inline("buckets"))
+    return buckets_of.join(component, "node").select("node", "component", "size", F.inline("buckets"))
 
 
 def _across(buckets_of: DataFrame, component: DataFrame) -> DataFrame:
@@ -169,18 +186,25 @@ def _across(buckets_of: DataFrame, component: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _remaining(buckets_of: DataFrame, nodes: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs between components, from the buckets in which several meet."""
+def _remaining(
+    buckets_of: DataFrame, nodes: DataFrame, sets: DataFrame, component: DataFrame, percent: int
+) -> DataFrame:
+    """Links between components, from the buckets in which several meet.
+
+    Blocks are cut by members and by the size of their sets, so both bound a task's memory.
+    """
     placed = _bands_of(buckets_of, component)
     mixed = stage_table(
         placed.groupBy("key").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")
-        ).where("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")),
+            F.min("component").alias("low"), F.max("component").alias("high"),
+            F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"),
+        ).where("low <> high").select("key", "blocks"),
         "mixed",
     )
     rows = (
-        placed.join(mixed, "key")
+        placed.drop("size").join(mixed, "key")
         .join(nodes.select("node", "signature"), "node")
+        .join(sets, "node")
         .withColumn("block", F.expr("cast(pmod(xxhash64(node, key), blocks) as int)"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .withColumn("i", F.least("block", "other"))
@@ -188,9 +212,7 @@ def _remaining(buckets_of: DataFrame, nodes: DataFrame, component: DataFrame, pe
     )
     share = percent / 100
     near = int(HASHES * share - DEVIATIONS * (HASHES * share * (1 - share)) ** 0.5)
-    return rows.groupBy("key", "band", "i", "j").applyInPandas(
-        _block_pairs(near), "a long, b long, at_a long, at_b long"
-    )
+    return rows.groupBy("key", "band", "i", "j").applyInPandas(_block_links(near, percent), "at_a long, at_b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
@@ -202,19 +224,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
     )
     nodes = stage_table(
         signed.join(classes, (signed["doc_id"] == classes["node"]) & (signed["set_id"] == classes["set_id"]),
-                    "leftsemi").select(F.col("doc_id").alias("node"), "signature"),
+                    "leftsemi").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), "signature"),
         "nodes",
     )
     width = 4 * ROWS
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("signature", b * width + 1, width)) for b in range(BANDS)])
-    bands = nodes.select("node", F.posexplode(keys).alias("band", "key"))
+    bands = nodes.select("node", "size", F.posexplode(keys).alias("band", "key"))
     leaders = bands.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where(
         "leader <> last"
     )
     buckets_of = stage_table(  # at most BANDS buckets a node
         bands.join(leaders, "key").groupBy("node").agg(
             F.collect_set(F.struct("band", "key")).alias("buckets"),
-            F.min("leader").alias("leader"),
+            F.min("leader").alias("leader"), F.max("size").alias("size"),
         ),
         "buckets",
     )
@@ -232,7 +254,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
     component = _merged(component, confirm(first, sets, percent))
     for _ in range(2):
         component = _merged(component, confirm(_across(buckets_of, component), sets, percent))
-    component = _merged(component, confirm(_remaining(buckets_of, nodes, component, percent), sets, percent))
+    component = _merged(component, _remaining(buckets_of, nodes, sets, component, percent))
 
     placed = stage_table(
         classes.join(component, "node").select("set_id", F.col("component").alias("component_id")), "placed"
