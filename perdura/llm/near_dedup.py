@@ -15,7 +15,8 @@ sets, so that pairs which are no links are never written out. After each of thes
 steps only the links between components are joined up, not those within.
 
 Rows: a null or empty text, or one without words, has an empty set and is linked
-with nothing. Rows that share a doc_id count as one document. A row without
+with nothing. Rows that share a doc_id are judged each by its own text, and the
+filter drops a doc_id if one of its texts is a copy. A row without
 doc_id is linked with nothing; its component is null and it is kept.
 """
 

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from perdura.llm import context_mixing, quality, toxicity, url_filter
+from perdura.llm import context_mixing, near_dedup, quality, toxicity, url_filter
 from perdura.llm.components import connected_components
 from perdura.llm.decontaminate import PhraseIndex, clean_documents, decontaminate, keyed_texts
 from perdura.llm.embedding_dedup import near_duplicate_vectors
@@ -103,6 +103,31 @@ def test_near_duplicates(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_around_the_bound(spark, monkeypatch):
+    """A dense group with pairs on both sides of the bound, in blocks of four; two texts under one doc_id."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(60):
+        copy = list(base)
+        for at in rng.sample(range(120), rng.randint(1, 4)):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    sets = [shingles(t) for t in texts]
+    pairs = [
+        (a, b) for a, b in itertools.combinations(range(60), 2)
+        if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+    ]
+    want = roots(range(60), pairs)
+    assert 3 < len(set(want.values())) < 60
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)]
+    rows += [(100, texts[0], None, None, 0), (100, "quite another text of seven words", None, None, 0)]
+    got = [(r["doc_id"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, DOCS), 85).collect()]
+    assert sorted(r for r in got if r[0] < 100) == sorted(want.items())
+    assert sorted(r for r in got if r[0] == 100) == [(100, want[0]), (100, 100)]
+
+
 def strip_repeats(texts, length=400):
     data = [(t or "").encode() for t in texts]
     seen = collections.Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
