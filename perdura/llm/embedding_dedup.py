@@ -2,10 +2,12 @@
 
 Method: cells are fitted on at most `most` vectors (those with the least hash). Every
 vector has a home cell, the one with the nearest centre, and visits each later cell so
-close to its border that a partner may lie behind it: a partner y of x in cell B, with
-x at home in A, has x.u <= (x - y).u for u the direction from B's centre to A's. The
-visits go up to `sure` standard deviations of that product for a pair at the bound, at
-most to its greatest value, where none can be missed. Cosines are taken in double precision
+close to its border that a partner may lie behind it. With u the direction from B's centre
+to A's, the border is the plane through 0 across u. A partner of x, at home in A, that
+lies in B is no nearer than the border, and asin(x.u) is the angle from x to it; so
+x.u <= sqrt(1 - bound^2) for each pair at the bound, however the vectors are spread, and
+no pair is missed. The price: vectors without any direction of their own visit nearly all
+cells, and the work nears that of all pairs. Cosines are taken in double precision
 between the home vectors of a cell, and between them and its visitors, in blocks of
 bounded size, so a pair is met once and a cell may be of any size. A block gives link
 counts and a spanning link for each vector, not all pairs.
@@ -32,8 +34,10 @@ from perdura.llm.components import connected_components
 from perdura.sources.staging import stage_table
 
 MOST = 20_000
-CELL, MOST_CELLS = 500, 2_000
-BLOCK = 1_000
+CELL, MOST_CELLS = 2_000, 2_000
+BLOCK = 2_000
+PIECE = 20_000  # rows of a batch of visits
+SLACK = 1e-7  # over the rounding of distances to borders
 STEPS = 8
 
 
@@ -92,27 +96,31 @@ def fit_cells(classes: DataFrame, most: int = MOST, cell: int = CELL) -> dict[in
     return cells
 
 
-def _places(cells: dict[int, np.ndarray], bound: float, sure: float):
+def _places(cells: dict[int, np.ndarray], bound: float):
     """Home and visited cells of each vector. Lengths the sample has not seen have one cell."""
+    reach = np.sqrt(1 - bound * bound) if 0 < bound < 1 else float(bound <= 0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for size, rows in batch.groupby("size"):
-                x = _unit(_matrix(rows["body"]))
+                rows = rows[["node", "weight", "size", "body"]]
                 centres = cells.get(size, np.eye(1, size))
-                near = x @ centres.T
-                home = near.argmax(axis=1)
-                reach = np.sqrt(2 - 2 * bound) * min(1.0, sure / np.sqrt(size))
                 apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
-                best = near[np.arange(len(x)), home]
-                visits = best[:, None] - near <= reach * apart[home]
-                visits &= np.arange(len(centres))[None, :] > home[:, None]
-                row, cell = np.nonzero(visits)
-                row, cell = np.r_[np.arange(len(x)), row], np.r_[home, cell]
-                out = rows.iloc[row][["node", "weight", "size", "body"]].reset_index(drop=True)
-                out["cell"] = cell
-                out["visitor"] = np.arange(len(row)) >= len(x)
-                yield out
+                for start in range(0, len(rows), BLOCK):
+                    part = rows.iloc[start : start + BLOCK]
+                    near = _unit(_matrix(part["body"])) @ centres.T
+                    home = near.argmax(axis=1)
+                    best = near[np.arange(len(part)), home]
+                    visits = best[:, None] - near <= reach * apart[home] + SLACK
+                    visits &= np.arange(len(centres))[None, :] > home[:, None]
+                    row, cell = np.nonzero(visits)
+                    row, cell = np.r_[np.arange(len(part)), row], np.r_[home, cell]
+                    for begin in range(0, len(row), PIECE):
+                        end = begin + PIECE
+                        out = part.iloc[row[begin:end]].reset_index(drop=True)
+                        out["cell"] = cell[begin:end]
+                        out["visitor"] = np.arange(begin, begin + len(out)) >= len(part)
+                        yield out
 
     return run
 
@@ -152,7 +160,7 @@ def _compare(bound: float):
     return run
 
 
-def near_duplicate_vectors(vectors: DataFrame, bound: float = 0.9, sure: float = 4.0) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, bound: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id (least vec_id reachable by links), kept; one row per row of vectors."""
     rows = stage_table(
         vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(
@@ -171,7 +179,7 @@ def near_duplicate_vectors(vectors: DataFrame, bound: float = 0.9, sure: float =
     )
     placed = stage_table(
         classes.select("node", "weight", "size", "body").mapInPandas(
-            _places(fit_cells(classes), bound, sure),
+            _places(fit_cells(classes), bound),
             "node long, weight long, size int, body binary, cell int, visitor boolean",
         ),
         "placed",

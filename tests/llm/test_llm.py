@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import functools
 import hashlib
 import itertools
 import math
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from perdura.llm import context_mixing, near_dedup, quality, toxicity, url_filter
+from perdura.llm import context_mixing, embedding_dedup, near_dedup, quality, toxicity, url_filter
 from perdura.llm.components import connected_components
 from perdura.llm.decontaminate import PhraseIndex, clean_documents, decontaminate, keyed_texts
 from perdura.llm.embedding_dedup import near_duplicate_vectors
@@ -343,6 +344,22 @@ def test_vectors(spark):
     assert near_duplicate_vectors(frame.limit(0)).count() == 0
 
 
+def test_vectors_of_few_directions_in_small_cells(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    x = np.r_[rng.normal(size=(700, 4)) @ rng.normal(size=(4, 48)), rng.normal(size=(100, 48))]
+    shift = rng.normal(size=48)
+    copies = x[700:] + 0.38 * np.linalg.norm(x[700:], axis=1)[:, None] * shift / np.linalg.norm(shift)
+    x = np.r_[x, copies]
+    monkeypatch.setattr(embedding_dedup, "fit_cells", functools.partial(embedding_dedup.fit_cells, cell=25))
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 30)
+    frame = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = x @ x.T >= 0.9
+    np.fill_diagonal(linked, False)
+    got = {r["vec_id"]: r["n_links"] for r in near_duplicate_vectors(frame).collect()}
+    assert [got[i] for i in range(len(x))] == linked.sum(axis=1).tolist()
+
+
 def longest_match(word, starts, continuations):
     at = n = 0
     while at < len(word):
