@@ -2,20 +2,26 @@
 
 Method: a text is its words (A-Z lower-cased) with one space between and an end byte,
 so its probability is that of its token sequence. Each bit of a byte is predicted from
-the bytes before it: for orders 1 to 6 and for the current word's beginning, a hash of
-the context and of the byte's earlier bits names a slot that holds how often the bit
-was 0 and 1. The slots' log odds are added up with weights that two gates choose (the
-byte's earlier bits; the longest context seen and the bit's place), and the sum is
-refined by a table of what such sums came to, by the byte's earlier bits.
-
-Training: documents outside fold 0 (crc32 of doc_id modulo 10). Every distinct seven-byte
-window is counted over the whole corpus; folds 1 to 8 fill the slots, fold 9 trains the
-weights online, in small steps over its windows, and then the refinement, so that both
-see slots that have not met their text. Partitions train apart and are averaged after
-each round. The model's size is fixed by SLOT_BITS, so it can be broadcast. Scoring
-leaves the model as it is: a document's score does not depend on other documents, and a
-task that runs again gives the same. All bits of a byte depend on its window alone, so
-each distinct window of a slice is scored once.
+the bytes before it: for orders 1 to 6 and for the current word's beginning, from how
+often the bit was 0 and 1 after the same context and the byte's earlier bits. The log
+odds are added up with weights that two gates choose (the byte's earlier bits; the
+longest context seen and the bit's place), and the sum is refined by a table of what
+such sums came to, by the byte's earlier bits.
+
+Counts: every distinct seven-byte window of the corpus is a row, and so is each shorter
+string that ends one; these tables grow with the text, contexts are told apart by their
+bytes, and counts are whole numbers. Level by level, from one byte of context to six,
+the strings of a context (at most 256) come together and get the log odds of their bits,
+packed into a long, and each hands them to its at most 256 extensions by a byte in front.
+
+Training: documents outside fold 0 (crc32 of doc_id modulo 10). With the counts of folds
+1 to 8, fold 9 trains the weights online, in small steps over its windows, and then the
+refinement, so that both see counts that have not met their text. Partitions train apart
+and are averaged after each round. Scores use the counts of folds 1 to 9. All bits of a
+byte depend on its window alone, so each distinct window is scored once; the windows of
+a slice of documents are joined to their scores and come back by slice. A document's
+score does not depend on others outside the training folds, and a task that runs again
+gives the same.
 
 The base score is that of a smoothed unigram model of the same tokens; words are told
 apart by 64-bit hashes. Word lists of a slice of documents are joined to the corpus
@@ -27,32 +33,29 @@ doc_id is held out. Without training documents c, N and V are 0 and the base sco
 
 from __future__ import annotations
 
-import zlib
+import copy
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perdura.llm.textkit import LOWER, RollingHash, bytes_of, mix, slices, word_spans
+from perdura.llm.textkit import LOWER, RollingHash, bytes_of, slices, word_spans
 from perdura.sources.staging import stage_table
 
 FOLDS, TUNE = 10, 9
 HISTORY = 6
 CONTEXTS = HISTORY + 1  # orders 1 to 6, and the word's beginning
-SLOT_BITS, BLOCK_BITS = 22, 16
 END = 0x0A
 SCALE = 15.5  # of log odds in a signed byte
 LEVELS = 33
 RATE, STEP, ROUNDS = 0.15, 4096, 2
 SLICE = 2 << 20  # of windows
 WORD_SLICE = 16 << 20
-REMEMBERED = 1_500_000
 
 U64 = np.uint64
-SALT = U64(0x9E3779B97F4A7C15)
 
 
 def fold() -> Column:
@@ -87,28 +90,6 @@ def streams(data: np.ndarray, offsets: np.ndarray, spans: tuple) -> tuple[np.nda
     return window[real[HISTORY:]], np.r_[0, np.cumsum(size)]
 
 
-def context_hash(window: np.ndarray, k: int) -> np.ndarray:
-    """Context k of each window's last byte: the k + 1 bytes before it, or lastly the word's beginning."""
-    before = window >> U64(8)
-    if k < HISTORY:
-        return mix((before & U64((1 << 8 * (k + 1)) - 1)) * SALT + U64(k + 1))
-    word = np.zeros_like(before)
-    inside = np.ones(len(before), dtype=bool)
-    for n in range(HISTORY):
-        byte = (before >> U64(8 * n)) & U64(0xFF)
-        inside &= (byte != U64(0x20)) & (byte != U64(END))
-        word |= np.where(inside, byte << U64(8 * n), U64(0))
-    return mix(word * SALT + U64(HISTORY + 1))
-
-
-def context_hashes(window: np.ndarray) -> list[np.ndarray]:
-    return [context_hash(window, k) for k in range(CONTEXTS)]
-
-
-def slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return (((context ^ node.astype(U64)) * SALT) >> U64(64 - SLOT_BITS)).astype(np.int64)
-
-
 def _merge(windows: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     values = np.concatenate(windows)
     order = np.argsort(values, kind="stable")
@@ -130,11 +111,12 @@ def _count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             data, offsets = bytes_of(part.column("text"))
             data = LOWER[data]
             window, first = streams(data, offsets, word_spans(data, offsets))
-            tune = np.repeat(part.column("fold").to_numpy() == TUNE, np.diff(first))
-            for flag in (0, 1):
-                value, n = np.unique(window[tune == bool(flag)], return_counts=True)
+            fold_of = np.repeat(part.column("fold").to_numpy(), np.diff(first))
+            for column, mine in ((0, (fold_of != 0) & (fold_of != TUNE)), (1, fold_of == TUNE), (None, fold_of == 0)):
+                value, n = np.unique(window[mine], return_counts=True)
                 count = np.zeros((len(value), 2), dtype=np.int64)
-                count[:, flag] = n
+                if column is not None:  # of held-out windows only the names
+                    count[:, column] = n
                 windows.append(value)
                 counts.append(count)
                 held += len(value)
@@ -155,88 +137,121 @@ def _bits(window: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield place, (1 << place) | (byte >> (8 - place)), (byte >> (7 - place)) & 1
 
 
-def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each slot met a 0 and a 1, in blocks of slots."""
-    size, block = 1 << SLOT_BITS, 1 << BLOCK_BITS
-    parts = [(b.column("window").to_numpy().view(U64), b.column("fit").to_numpy().astype(np.float32)) for b in batches]
-    for k in range(CONTEXTS):  # one after the other: the counts of one fit beside the partition's windows
-        total = np.zeros((2, size), dtype=np.float32)
-        for window, weight in parts:
-            context = context_hash(window, k)
-            for _, node, bit in _bits(window):
-                at = slots(context, node)
-                for value in (0, 1):
-                    mine = bit == value
-                    np.add.at(total[value], at[mine], weight[mine])
-        for b in range(size // block):
-            part = total[:, b * block : (b + 1) * block]
-            if part.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k], pa.int32()), pa.array([b], pa.int32()), pa.array([part.tobytes()], pa.binary())],
-                    ["context", "block", "counts"],
-                )
-
-
-def _settle(table: pa.Table) -> pa.Table:
-    """Log odds of the summed counts of one block of slots, as signed bytes."""
-    counts = sum(np.frombuffer(b, dtype=np.float32).astype(np.float64) for b in table.column("counts").to_pylist())
-    zero, one = counts.reshape(2, -1)
-    odds = np.clip(np.log((one + 0.4) / (zero + 0.4)), -8, 8)
-    return pa.table(
-        [table.column("context").slice(0, 1), table.column("block").slice(0, 1),
-         pa.array([np.round(odds * SCALE).astype(np.int8).tobytes()], pa.binary())],
-        names=["context", "block", "odds"],
-    )
+def _odds(string: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Log odds of the eight bits of each string's last byte after the bytes before it, as signed bytes in a long.
+
+    string: distinct and rising, with all strings of a context; count: how often each was met.
+    """
+    met = []
+    for place in range(9):  # strings with the same context and the same first bits
+        prefix = string >> U64(8 - place)
+        begin = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]])[: len(string)]
+        met.append(np.repeat(np.add.reduceat(count, begin), np.diff(np.r_[begin, len(string)])))
+    out = np.empty((len(string), 8), dtype=np.int8)
+    for place, _, bit in _bits(string):
+        same, other = met[place + 1], met[place] - met[place + 1]
+        odds = np.clip(np.log((same + 0.4) / (other + 0.4)), -8, 8) * np.where(bit == 1, 1, -1)
+        out[:, place] = np.round(odds * SCALE)
+    return out.view(np.int64).ravel()
+
+
+def _word_odds(string: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """_odds when the space or end before a word's beginning counts as one."""
+    each, place = np.unique(string, return_inverse=True)
+    total = np.zeros(len(each), dtype=np.int64)
+    np.add.at(total, place, count)
+    return _odds(each, total)[place]
+
+
+def _level(order: int):
+    """Adds the log odds of one order, from rows that come by context: of folds 1 to 8 (f) and of all that train (a)."""
+    kinds = ("f", "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settled(table: pa.Table) -> pa.Table:
+            string = table.column("string").to_numpy().view(U64)
+            rise = np.argsort(string, kind="stable")
+            table, string = table.take(pa.array(rise)), string[rise]
+            fit, tune = table.column("fit").to_numpy(), table.column("tune").to_numpy()
+            inside = np.ones(len(string), dtype=bool)
+            for n in range(1, order + 1):
+                byte = (string >> U64(8 * n)) & U64(0xFF)
+                inside &= (byte != U64(0x20)) & (byte != U64(END))
+            oldest = string >> U64(8 * order + 8)
+            begins = inside & ((oldest == U64(0x20)) | (oldest == U64(END)))
+            plain = string & U64((1 << 8 * (order + 1)) - 1)
+            columns = {n: table.column(n) for n in table.column_names if n != "key"}
+            for kind, count in zip(kinds, (fit, fit + tune)):
+                odds = _odds(string, count)
+                word = columns[f"{kind}w"].to_numpy().copy()
+                if begins.any():
+                    word[begins] = _word_odds(plain[begins], count[begins])
+                if order == HISTORY - 1:  # six letters: the order says the same
+                    whole = inside & ~begins
+                    word[whole] = odds[whole]
+                columns[f"{kind}{order}"], columns[f"{kind}w"] = pa.array(odds), pa.array(word)
+            return pa.table([columns[n] for n in _columns(order)], names=_columns(order))
+
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            key = table.column("key").to_numpy()
+            whole = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last context may go on
+            rest = table.slice(whole)
+            if whole:
+                yield from settled(table.slice(0, whole)).combine_chunks().to_batches()
+        if rest is not None and rest.num_rows:
+            yield from settled(rest).combine_chunks().to_batches()
+
+    return run
 
 
-class Remembered:
-    """Scores of the windows that a task has met, up to a fixed number."""
+def _columns(order: int) -> list[str]:
+    return ["string", "fit", "tune", *[f"{kind}{k}" for kind in "fa" for k in [*range(order + 1), "w"]]]
 
-    def __init__(self, mixer: Mixer):
-        self.mixer = mixer
-        self.window, self.value = np.zeros(0, U64), np.zeros(0)
 
-    def log2_of(self, window: np.ndarray) -> np.ndarray:
-        """Of distinct windows in rising order."""
-        at = np.minimum(np.searchsorted(self.window, window), max(0, len(self.window) - 1))
-        met = self.window[at] == window if len(self.window) else np.zeros(len(window), dtype=bool)
-        value = np.empty(len(window))
-        value[met] = self.value[at[met]]
-        value[~met] = self.mixer.log2_of(window[~met])
-        if len(self.window) + (~met).sum() > REMEMBERED:
-            self.window, self.value = window, value
+def context_odds(windows: DataFrame) -> DataFrame:
+    """string (the window), fit, tune, and the packed log odds of its contexts by both counts."""
+    known = None
+    for order in range(HISTORY):
+        strings = windows.groupBy(F.col("window").bitwiseAND((1 << 8 * (order + 2)) - 1).alias("string")).agg(
+            F.sum("fit").alias("fit"), F.sum("tune").alias("tune")
+        ) if order < HISTORY - 1 else windows.withColumnRenamed("window", "string")
+        if known is None:
+            rows = strings.select("*", *[F.lit(0).cast("long").alias(f"{kind}w") for kind in "fa"])
         else:
-            windows = np.concatenate([self.window, window[~met]])
-            order = np.argsort(windows, kind="stable")
-            self.window, self.value = windows[order], np.concatenate([self.value, value[~met]])[order]
-        return value
+            rows = strings.withColumn("end", F.col("string").bitwiseAND((1 << 8 * (order + 1)) - 1)).join(
+                known.drop("fit", "tune").withColumnRenamed("string", "end"), "end"
+            ).drop("end")
+        # strings that differ in a space or end as the oldest byte come together
+        context, oldest = F.shiftright("string", 8), F.shiftright("string", 8 * order + 8)
+        key = F.when(oldest == END, context + ((0x20 - END) << 8 * order)).otherwise(context)
+        known = rows.withColumn("key", key).repartition("key").sortWithinPartitions("key").mapInArrow(
+            _level(order), ", ".join(f"{n} long" for n in _columns(order))
+        )
+    return known
 
 
-class Mixer:
-    """Slots, gated weights and refinement; the probability of each window's last byte.
+def _unpacked(batch: pa.RecordBatch, kind: str) -> np.ndarray:
+    """(context, row, place) log odds."""
+    names = [f"{kind}{k}" for k in [*range(HISTORY), "w"]]
+    return np.stack([np.ascontiguousarray(batch.column(n).to_numpy()).view(np.int8).reshape(-1, 8) for n in names])
 
-    The slots do not change after they are filled, so they are broadcast once, packed;
-    the weights are small and go with each job.
-    """
 
-    def __init__(self, slots: Broadcast):
-        self.slots = slots
+class Mixer:
+    """Gated weights and refinement; the probability of each window's last byte from its contexts' log odds."""
+
+    def __init__(self):
         self.by_node = np.full((256, CONTEXTS), 0.3)
         self.by_reach = np.zeros((8 * (CONTEXTS + 1), CONTEXTS))
         self.refined = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, LEVELS))), (256, 1))
 
-    def opened(self) -> Mixer:
-        """With its slots unpacked, in a task."""
-        self.odds = np.frombuffer(zlib.decompress(self.slots.value), dtype=np.int8).reshape(CONTEXTS, -1)
-        return self
-
-    def inputs(self, contexts: list[np.ndarray], place: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = np.empty((CONTEXTS, len(node)), dtype=np.float32)
-        reach = np.zeros(len(node), dtype=np.int64)
-        for k in range(CONTEXTS):
-            x[k] = self.odds[k][slots(contexts[k], node)]
-            if k < HISTORY:
-                reach[x[k] != 0] = k + 1
+    def inputs(self, odds: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray]:
+        x = odds[:, :, place].astype(np.float32)
+        reach = np.zeros(x.shape[1], dtype=np.int64)
+        for k in range(HISTORY):
+            reach[x[k] != 0] = k + 1
         x /= SCALE
         return x, reach * 8 + place
 
@@ -254,51 +269,49 @@ class Mixer:
         table = self.refined
         return 0.5 / (1 + np.exp(-total)) + 0.5 * (table[node, low] * (1 - part) + table[node, low + 1] * part)
 
-    def log2_of(self, window: np.ndarray) -> np.ndarray:
-        contexts = context_hashes(window)
+    def log2_of(self, window: np.ndarray, odds: np.ndarray) -> np.ndarray:
         total = np.zeros(len(window))
         for place, node, bit in _bits(window):
-            x, gate = self.inputs(contexts, place, node)
+            x, gate = self.inputs(odds, place)
             one = self.refine(self.mixed(x, node, gate), node)
             total += np.log2(np.where(bit == 1, one, 1 - one))
         return total
 
-    def learn(self, window: np.ndarray, weight: np.ndarray) -> None:
+    def learn(self, window: np.ndarray, weight: np.ndarray, whole: np.ndarray) -> None:
         """One online pass: after each small step the weights move against its errors."""
         for start in range(0, len(window), STEP):
             part, n = window[start : start + STEP], weight[start : start + STEP]
-            contexts = context_hashes(part)
+            odds = whole[:, start : start + STEP]
             for place, node, bit in _bits(part):
-                x, gate = self.inputs(contexts, place, node)
+                x, gate = self.inputs(odds, place)
                 error = (bit - 1 / (1 + np.exp(-self.mixed(x, node, gate)))) * n
                 for weights, chosen in ((self.by_node, node), (self.by_reach, gate)):
                     seen = np.bincount(chosen, n, len(weights)) + 1e-9
                     for k in range(CONTEXTS):
                         weights[:, k] += RATE * np.bincount(chosen, error * x[k], len(weights)) / np.maximum(seen, n.mean())
 
-    def outcomes(self, window: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    def outcomes(self, window: np.ndarray, weight: np.ndarray, odds: np.ndarray) -> np.ndarray:
         """(node, level, bit) counts of what mixes came to."""
         seen = np.zeros((2, 256 * LEVELS))
-        contexts = context_hashes(window)
         for place, node, bit in _bits(window):
-            x, gate = self.inputs(contexts, place, node)
+            x, gate = self.inputs(odds, place)
             level = np.rint((self.mixed(x, node, gate) + 8) * (LEVELS - 1) / 16).astype(np.int64)
             for value in (0, 1):
                 seen[value] += np.bincount(node * LEVELS + level, weight * (bit == value), 256 * LEVELS)
         return seen
 
 
-def _tuning(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _tuning(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     for batch in batches:
         weight = batch.column("tune").to_numpy().astype(np.float64)
-        yield batch.column("window").to_numpy().view(U64), weight
+        yield batch.column("string").to_numpy().view(U64), weight, _unpacked(batch, "f")
 
 
 def _train(model: Mixer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, total = model.opened(), 0.0
-        for window, weight in _tuning(batches):
-            mixer.learn(window, weight)
+        mixer, total = copy.deepcopy(model), 0.0
+        for window, weight, odds in _tuning(batches):
+            mixer.learn(window, weight, odds)
             total += weight.sum()
         if total:
             yield pa.RecordBatch.from_arrays(
@@ -312,8 +325,7 @@ def _train(model: Mixer):
 
 def _observe(model: Mixer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = model.opened()
-        total = sum((mixer.outcomes(*t) for t in _tuning(batches)), np.zeros((2, 256 * LEVELS)))
+        total = sum((model.outcomes(*t) for t in _tuning(batches)), np.zeros((2, 256 * LEVELS)))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["seen"])
 
     return run
@@ -338,31 +350,21 @@ def _added(rows: DataFrame, column: str) -> np.ndarray | None:
     return sum(np.frombuffer(r[column], dtype=np.float64) for r in parts) if parts else None
 
 
-def train(docs: DataFrame) -> Mixer:
-    spark = docs.sparkSession
-    windows = stage_table(
-        docs.where(fold() != 0).select(fold().alias("fold"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        .mapInArrow(_count_windows, "window long, fit long, tune long")
-        .groupBy("window").agg(F.sum("fit").alias("fit"), F.sum("tune").alias("tune")),
-        "windows",
-    )
-    odds = np.zeros((CONTEXTS, 1 << SLOT_BITS), dtype=np.int8)
-    blocks = (
-        windows.where("fit > 0").mapInArrow(_fill, "context int, block int, counts binary")
-        .groupBy("context", "block").applyInArrow(_settle, "context int, block int, odds binary")
-    )
-    size = 1 << BLOCK_BITS
-    for r in blocks.collect():  # at most CONTEXTS * 2**SLOT_BITS bytes
-        odds[r["context"], r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["odds"], dtype=np.int8)
-    mixer = Mixer(spark.sparkContext.broadcast(zlib.compress(odds.tobytes(), 1)))
-    tune = windows.where("tune > 0").select("window", "tune")
+def train(odds: DataFrame) -> Mixer:
+    """From context_odds."""
+    mixer = Mixer()
+    tune = odds.where("tune > 0").select("string", "tune", *[f"f{k}" for k in [*range(HISTORY), "w"]])
+    # small steps want windows of all kinds side by side
+    draw = F.xxhash64("string")
+    tune = stage_table(tune.repartition(draw).sortWithinPartitions(draw), "tune")
     for _ in range(ROUNDS):
         rows = tune.mapInArrow(_train(mixer), "total double, by_node binary, by_reach binary")
         rows = stage_table(rows, "weights")
         total = rows.agg(F.sum("total")).first()[0]
         if total:
-            mixer.by_node = _added(rows, "by_node").reshape(mixer.by_node.shape) / total
-            mixer.by_reach = _added(rows, "by_reach").reshape(mixer.by_reach.shape) / total
+            by_node, by_reach = _added(rows, "by_node"), _added(rows, "by_reach")
+            mixer.by_node = by_node.reshape(mixer.by_node.shape) / total
+            mixer.by_reach = by_reach.reshape(mixer.by_reach.shape) / total
     seen = _added(tune.mapInArrow(_observe(mixer), "seen binary"), "seen")
     if seen is not None:
         zero, one = seen.reshape(2, 256, LEVELS)
@@ -371,57 +373,105 @@ def train(docs: DataFrame) -> Mixer:
     return mixer
 
 
-SCORED = (
-    "block long, place int, doc_id long, held_out boolean, n_tokens long, score double, word long, n_train long, texts binary"
-)
-
-
-def _score(model: Mixer):
-    """A row for each text, and a row for each word of a slice with the texts it stands in."""
-
+def _window_scores(model: Mixer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, part_id, number = Remembered(model.opened()), TaskContext.get().partitionId(), 0
-        none = lambda kind, n: pa.nulls(n, kind)
         for batch in batches:
-            for whole in slices(batch, "text", WORD_SLICE):
-                block, number = (part_id << 32) | number, number + 1
-                n, folds = whole.num_rows, whole.column("fold").to_numpy()
-                scores, words, tokens = [], [], []
-                for part in slices(whole, "text", SLICE):
-                    data, offsets = bytes_of(part.column("text"))
-                    data = LOWER[data]
-                    spans = word_spans(data, offsets)
-                    window, first = streams(data, offsets, spans)
-                    each, place = np.unique(window, return_inverse=True)
-                    scores.append(np.add.reduceat(mixer.log2_of(each)[place], first[:-1]) * np.log10(2))
-                    words.append(np.diff(spans[2]))
-                    tokens.append(RollingHash(data).spans(spans[0], spans[1]) | U64(1))
-                words = np.concatenate(words)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), whole.column("doc_id"),
-                     pa.array(folds == 0), pa.array(words + 1), pa.array(np.concatenate(scores)),
-                     none(pa.int64(), n), none(pa.int64(), n), none(pa.binary(), n)],
-                    ["block", "place", "doc_id", "held_out", "n_tokens", "score", "word", "n_train", "texts"],
-                )
-                # the end token is the word of hash 0, once for each text
-                token = np.concatenate([*tokens, np.zeros(n, U64)])
-                text = np.r_[np.repeat(np.arange(n), words), np.arange(n)].astype(np.uint32)
-                order = np.argsort(token, kind="stable")
-                token, text = token[order], text[order]
-                begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-                known = np.add.reduceat((folds[text] != 0).astype(np.int64), begin)
-                edges = pa.array(np.r_[begin, len(token)].astype(np.int32) * 4)
-                texts = pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, edges.buffers()[1], pa.py_buffer(text.tobytes())])
-                m = len(begin)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(m, block)), none(pa.int32(), m), none(pa.int64(), m), none(pa.bool_(), m),
-                     none(pa.int64(), m), none(pa.float64(), m), pa.array(token[begin].view(np.int64)), pa.array(known), texts],
-                    ["block", "place", "doc_id", "held_out", "n_tokens", "score", "word", "n_train", "texts"],
-                )
+            window = batch.column("string")
+            value = model.log2_of(window.to_numpy().view(U64), _unpacked(batch, "a"))
+            yield pa.RecordBatch.from_arrays([window, pa.array(value)], ["window", "value"])
 
     return run
 
 
+def window_scores(texts: DataFrame) -> DataFrame:
+    """window, value: log2 of the chance of each window's last byte."""
+    windows = stage_table(
+        texts.select("fold", "text").mapInArrow(_count_windows, "window long, fit long, tune long")
+        .groupBy("window").agg(F.sum("fit").alias("fit"), F.sum("tune").alias("tune")),
+        "windows",
+    )
+    odds = context_odds(windows)
+    tuned = [F.when(F.col("tune") > 0, F.col(n)).alias(n) for n in odds.columns if n.startswith("f") and n != "fit"]
+    odds = stage_table(
+        odds.select("string", "tune", *tuned, *[n for n in odds.columns if n.startswith("a")]), "context_odds"
+    )
+    rows = odds.select("string", *[f"a{k}" for k in [*range(HISTORY), "w"]])
+    return rows.mapInArrow(_window_scores(train(odds)), "window long, value double")
+
+
+LISTED = "block long, place int, doc_id long, held_out boolean, n_tokens long, text string, word long, n_train long, texts binary"
+KINDS = {
+    "block": pa.int64(), "place": pa.int32(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(),
+    "text": pa.string(), "word": pa.int64(), "n_train": pa.int64(), "texts": pa.binary(),
+}
+
+
+def _listed(block: int, n: int, **columns: pa.Array) -> pa.RecordBatch:
+    columns["block"] = pa.array(np.full(n, block))
+    return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, kind)).cast(kind) for c, kind in KINDS.items()], list(KINDS))
+
+
+def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each slice a row for each text, and one for each word with the texts it stands in."""
+    part_id, number = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        for whole in slices(batch, "text", WORD_SLICE):
+            block, number = (part_id << 32) | number, number + 1
+            n, folds = whole.num_rows, whole.column("fold").to_numpy()
+            words, tokens = [], []
+            for part in slices(whole, "text", SLICE):
+                data, offsets = bytes_of(part.column("text"))
+                data = LOWER[data]
+                spans = word_spans(data, offsets)
+                words.append(np.diff(spans[2]))
+                tokens.append(RollingHash(data).spans(spans[0], spans[1]) | U64(1))
+            words = np.concatenate(words)
+            yield _listed(
+                block, n, place=pa.array(np.arange(n, dtype=np.int32)), doc_id=whole.column("doc_id"),
+                held_out=pa.array(folds == 0), n_tokens=pa.array(words + 1), text=whole.column("text"),
+            )
+            # the end token is the word of hash 0, once for each text
+            token = np.concatenate([*tokens, np.zeros(n, U64)])
+            text = np.r_[np.repeat(np.arange(n), words), np.arange(n)].astype(np.uint32)
+            order = np.argsort(token, kind="stable")
+            token, text = token[order], text[order]
+            begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            known = np.add.reduceat((folds[text] != 0).astype(np.int64), begin)
+            edges = pa.array(np.r_[begin, len(token)].astype(np.int32) * 4)
+            texts = pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, edges.buffers()[1], pa.py_buffer(text.tobytes())])
+            yield _listed(block, len(begin), word=pa.array(token[begin].view(np.int64)), n_train=pa.array(known), texts=texts)
+
+
+def _slice_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of each slice; one may come again if the slice was read in pieces."""
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        for value in np.unique(block):
+            windows = []
+            for part in slices(batch.filter(pa.array(block == value)), "text", SLICE):
+                data, offsets = bytes_of(part.column("text"))
+                data = LOWER[data]
+                windows.append(np.unique(streams(data, offsets, word_spans(data, offsets))[0]))
+            window = np.unique(np.concatenate(windows)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(window), value)), pa.array(window)], ["slice", "window"])
+
+
+def _score(texts: pa.Table, values: pa.Table) -> pa.Table:
+    """Log10 probabilities of the texts of one slice from the scores of its windows."""
+    known = values.column("window").to_numpy().view(U64)
+    order = np.argsort(known)
+    known, value = known[order], values.column("value").to_numpy()[order]
+    scores = []
+    for batch in texts.combine_chunks().to_batches():
+        for part in slices(batch, "text", SLICE):
+            data, offsets = bytes_of(part.column("text"))
+            data = LOWER[data]
+            window, first = streams(data, offsets, word_spans(data, offsets))
+            each, place = np.unique(window, return_inverse=True)
+            scores.append(np.add.reduceat(value[np.searchsorted(known, each)][place], first[:-1]) * np.log10(2))
+    return texts.drop_columns(["text"]).append_column("score", pa.array(np.concatenate(scores)))
+
+
 def _base(table: pa.Table) -> pa.Table:
     """Sums of the word scores of one slice by text."""
     data, offsets = bytes_of(table.column("texts"))
@@ -438,11 +488,10 @@ def _base(table: pa.Table) -> pa.Table:
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability); one row per row of docs."""
-    model = train(docs)
     texts = docs.select(
         F.col("doc_id").cast("long"), fold().alias("fold"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
-    rows = stage_table(texts.mapInArrow(_score(model), SCORED), "scored")
+    rows = stage_table(texts.mapInArrow(_list, LISTED), "listed")
     words = rows.where("word is not null").select("block", "word", "n_train", "texts")
     counts = stage_table(words.groupBy("word").agg(F.sum("n_train").alias("c")).where("c > 0"), "word_counts")
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -454,6 +503,13 @@ def score(docs: DataFrame) -> DataFrame:
         .select("block", "texts", value.alias("value"), (c > 0).cast("double").alias("known"))
         .groupBy("block").applyInArrow(_base, "block long, place int, n_known long, base_score double")
     )
-    return rows.where("word is null").join(base, ["block", "place"]).select(
+    lines = rows.where("place is not null").select("block", "place", "doc_id", "held_out", "n_tokens", "text")
+    values = lines.select("block", "text").mapInArrow(_slice_windows, "slice long, window long").join(
+        window_scores(texts), "window"
+    )
+    scored = lines.groupBy("block").cogroup(values.groupBy("slice")).applyInArrow(
+        _score, "block long, place int, doc_id long, held_out boolean, n_tokens long, score double"
+    )
+    return scored.join(base, ["block", "place"]).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"
     )

@@ -316,6 +316,35 @@ def test_context_mixing(spark):
     assert context_mixing.score(docs.limit(0)).count() == 0
 
 
+def test_context_odds_are_those_of_exact_counts(spark):
+    rng = random.Random(12)
+    streams_of = [b"\n" * 6 + bytes(rng.choice(b"ab d\n") for _ in range(400)) for _ in range(20)]
+    seen = collections.Counter(s[i : i + 7] for n, s in enumerate(streams_of) for i in range(len(s) - 6))
+    tuned = {w: rng.randint(0, 2) for w in seen}
+    name = lambda w: int.from_bytes(w, "big")
+    frame = spark.createDataFrame([(name(w), n, tuned[w]) for w, n in seen.items()], "window long, fit long, tune long").repartition(5)
+    got = {r["string"]: r for r in context_mixing.context_odds(frame).collect()}
+    assert got.keys() == {name(w) for w in seen}
+
+    def word(w):  # the letters since the last space or end
+        at = max([i for i in range(6) if w[i] in b" \n"], default=-1)
+        return w[at + 1 : 6]
+
+    for kind, count in (("f", seen), ("a", {w: n + tuned[w] for w, n in seen.items()})):
+        met = collections.Counter()
+        for w, n in count.items():
+            contexts = [w[5 - k : 6] for k in range(6)] + [word(w)]
+            for k, c in enumerate(contexts):
+                for place in range(8):
+                    met[k, c, place, w[6] >> (7 - place)] += n
+        for w in random.Random(1).sample(sorted(seen), 300):
+            for k, c in enumerate([w[5 - k : 6] for k in range(6)] + [word(w)]):
+                head = [(w[6] >> (8 - place)) << 1 for place in range(8)]
+                odds = [math.log((met[k, c, p, h | 1] + 0.4) / (met[k, c, p, h] + 0.4)) for p, h in enumerate(head)]
+                packed = np.array([got[name(w)][f"{kind}{'w' if k == 6 else k}"]]).view(np.int8)
+                assert np.abs(packed - np.clip(odds, -8, 8) * context_mixing.SCALE).max() <= 0.51
+
+
 def test_streams_hold_the_words():
     data = np.frombuffer(b"ab  c\n\nd", dtype=np.uint8)
     offsets = np.array([0, 6, 7, 8])
