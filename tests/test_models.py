@@ -8,11 +8,12 @@ import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
-from perdura.operators import evaluate, grouptests, linear, tobit, trees
+from perdura.operators import evaluate, grouptests, linear, logistic, tobit, trees
 from perdura.operators import transforms as t
 from perdura.operators.moments import gram
 from perdura.operators.quantiles import running_totals  # noqa: F401
 from perdura.plans.recipe import RECIPES, build_recipe
+from perdura.plans import catalog_models
 from perdura.plans.catalog_models import study_rows
 
 NAMES = ["a", "b", "c"]
@@ -353,3 +354,47 @@ def test_custom_stages_fit_in_a_pipeline(spark, frames):
     out = model.transform(frames["free"])
     back = model.stages[0].inverse(out, "prediction")
     assert abs(back.agg(F.avg("prediction")).first()[0] - 1) < 0.1
+
+
+def test_logistic_grid_against_scipy_free_newton(spark, data):
+    x, noise = data
+    x, y = x[:600], (noise[:600] > 1).astype(float)
+    fold = np.arange(600) % 7 % 3  # folds of unequal size
+    pdf = pd.DataFrame(x, columns=NAMES).assign(label=y, fold=fold)
+    rows = spark.createDataFrame(pdf).repartition(3)
+    stored = rows.select(*[F.col(n).alias(f"x{i}") for i, n in enumerate(NAMES)], "label", F.col("fold").cast("long"))
+    settings = [(0.01, 0.0, 50), (0.01, 1.0, 50), (0.1, 0.3, 50)]
+    held = np.tile(np.arange(3), 3)
+    theta = logistic.fit(stored, 3, [s for s in settings for _ in range(3)], held)
+    aucs = []
+    for (c, ratio, _), h, b in zip([s for s in settings for _ in range(3)], held, theta):
+        mine = fold != h
+        chance = 1 / (1 + np.exp(-(b[0] + x[mine] @ b[1:])))
+        slope = c * x[mine].T @ (chance - y[mine]) + (1 - ratio) * b[1:]
+        assert abs((chance - y[mine]).sum()) < 1e-5  # the intercept is free
+        zero = b[1:] == 0
+        assert np.abs(slope + ratio * np.sign(b[1:]))[~zero].max(initial=0) < 1e-6
+        assert (np.abs(slope[zero]) <= ratio + 1e-6).all()
+        score = x[~mine] @ b[1:]
+        up, down = score[y[~mine] == 1], score[y[~mine] == 0]
+        aucs.append(((up[:, None] > down).mean() + (up[:, None] == down).mean() / 2))
+    got = logistic.grid_auc(rows, NAMES, "label", settings, F.col("fold"), 3)
+    assert got == pytest.approx(np.reshape(aucs, (3, 3)).mean(axis=1))
+
+
+def test_registered_searches_have_the_size_of_the_study(spark):
+    assert len(catalog_models.LOGISTIC_GRID) == 240
+    assert catalog_models.logistic(spark, SF).count() == 240
+    assert catalog_models.tobit_grid_cv(spark, SF).count() == 399
+
+
+def test_registered_forests_are_those_of_the_study(spark, monkeypatch):
+    made = []
+    plain = trees.forest
+    monkeypatch.setattr(trees, "forest", lambda **more: made.append(plain(**more)) or made[-1])
+    catalog_models.feature_importance(spark, SF)
+    catalog_models.permutation_importance(spark, SF)
+    assert [(m.getNumTrees(), m.getMaxDepth()) for m in made] == [(30, 11)] * 2
+    made.clear()
+    assert catalog_models.grid_search_verbose(spark, SF).count() == 12
+    assert {m.getNumTrees() for m in made} == {30} and (11, 232) in {(m.getMaxDepth(), m.getMinInstancesPerNode()) for m in made}
