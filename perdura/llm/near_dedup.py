@@ -15,8 +15,8 @@ sets, so that pairs which are no links are never written out. After each of thes
 steps only the links between components are joined up, not those within.
 
 Rows: a null or empty text, or one without words, has an empty set and is linked
-with nothing. Rows that share a doc_id are judged each by its own text, and the
-filter drops a doc_id if one of its texts is a copy. A row without
+with nothing. Rows that share a doc_id are judged each by its own text, links count for
+the doc_id; the filter drops the texts that are copies, not the doc_id. A row without
 doc_id is linked with nothing; its component is null and it is kept.
 """
 
@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perdura.llm.components import connected_components
@@ -271,13 +271,60 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
     )
 
 
+def _named_texts(several: DataFrame, docs: DataFrame) -> DataFrame:
+    """(real, text_key, node): a node of its own for each text of an id; the first text keeps the id."""
+    texts = several.select(F.col("doc_id").cast("long").alias("real"), _text_key().alias("text_key")).distinct()
+    texts = texts.join(texts.groupBy("real").agg(F.min("text_key").alias("first")), "real")
+    ends = docs.agg(F.min(F.col("doc_id").cast("long")).alias("low"), F.max(F.col("doc_id").cast("long")).alias("high")).first()
+    fresh = F.monotonically_increasing_id() + 1
+    if ends["high"] is not None and ends["high"] >= 1 << 62:
+        fresh = F.lit(ends["low"]) - fresh
+    else:
+        fresh = F.lit(ends["high"] or 0) + fresh
+    return stage_table(
+        texts.select("real", "text_key", F.when(F.col("text_key") == F.col("first"), F.col("real")).otherwise(fresh).alias("node")), "named"
+    )
+
+
+def _text_key() -> Column:
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def keep_one_of_each_group(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of docs without near copies of a kept row; rows that share a doc_id give one row."""
-    gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "leftanti")
+    """The rows of docs without near copies of a kept row, by least doc_id.
+
+    Rows that share a doc_id and a text give one row, the least as JSON; different texts under one id are each judged.
+    """
     again = stage_table(
         docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again"
     )
-    single = left.join(again, "doc_id", "leftanti")
-    several = left.join(again, "doc_id", "leftsemi")
-    return single.unionByName(several.dropDuplicates(["doc_id"])).select(*docs.columns)
+    if not again.limit(1).count():
+        gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "leftanti").select(*docs.columns)
+    several = docs.join(again, "doc_id", "leftsemi").select(*docs.columns)
+    named = _named_texts(several, docs)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = several.select(
+        F.col("doc_id").cast("long").alias("real"), _text_key().alias("text_key"), row.alias("row"),
+        F.to_json(row, {"ignoreNullFields": "false"}).alias("order"),
+    )
+    whole = stage_table(
+        whole.groupBy("real", "text_key").agg(F.min_by("row", "order").alias("row")).join(named, ["real", "text_key"])
+        .select("node", "row"),
+        "several",
+    )
+    single = docs.join(again, "doc_id", "leftanti")
+    judged = near_duplicates(
+        single.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+        .unionByName(whole.select(F.col("node").alias("doc_id"), F.col("row.text").cast("string").alias("text"))),
+        percent,
+    )
+    members = stage_table(
+        judged.where("doc_id is not null").select(F.col("doc_id").alias("node"), "component_id").join(named, "node", "left")
+        .select("component_id", "node", F.coalesce("real", "node").alias("real"), F.coalesce("text_key", F.lit("")).alias("text_key")),
+        "members",
+    )
+    least = members.groupBy("component_id").agg(F.min(F.struct("real", "text_key", "node")).alias("least"))
+    gone = stage_table(members.join(least, "component_id").where("node <> least.node").select("node"), "gone")
+    single = single.join(gone.select(F.col("node").alias("doc_id")), "doc_id", "leftanti").select(*docs.columns)
+    return single.unionByName(whole.join(gone, "node", "leftanti").select("row.*"))

@@ -104,6 +104,18 @@ def test_near_duplicates(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_different_texts_under_one_id_are_each_judged(spark):
+    rng = random.Random(13)
+    x, y, z, u = (" ".join(f"{c}{rng.randint(0, 999)}" for _ in range(60)) for c in "xyzu")
+    rows = [(7, x, "b"), (7, y, "b"), (7, x, "a"), (9, y, "c"), (9, z, "c"), (5, z + " end", "d"), (8, u, "e"), (None, u, "f"), (7, "", "g"), (7, "", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("node", F.lit("mine"))
+    want = [(7, x, "a"), (7, y, "b"), (5, z + " end", "d"), (8, u, "e"), (None, u, "f"), (7, "", "g")]
+    for part in (docs, docs.orderBy(F.desc("source"))):
+        kept = keep_one_of_each_group(part, 80)
+        assert kept.columns == docs.columns
+        assert sorted(map(str, (tuple(r)[:3] for r in kept.collect()))) == sorted(map(str, want))
+
+
 def test_near_duplicates_around_the_bound(spark, monkeypatch):
     """A dense group with pairs on both sides of the bound, in blocks of four; two texts under one doc_id."""
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
