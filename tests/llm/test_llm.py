@@ -357,6 +357,17 @@ def test_context_odds_are_those_of_exact_counts(spark):
                 assert np.abs(packed - np.clip(odds, -8, 8) * context_mixing.SCALE).max() <= 0.51
 
 
+def test_counts_past_float32_are_exact(spark):
+    x, p = 0x2078, 0x2070  # a space and x; a space and p
+    rare = spark.range(2_000_000).select((F.shiftleft(F.col("id") + 1, 16) + x).alias("window"), F.lit(1).cast("long").alias("fit"))
+    many = spark.createDataFrame([((1 << 50) + x, 1 << 24), ((1 << 50) + p, 1 << 24)], "window long, fit long")
+    windows = many.coalesce(1).unionByName(rare.coalesce(1)).coalesce(1).withColumn("tune", F.lit(0).cast("long"))
+    row = context_mixing.context_odds(windows).where(F.col("string") == (1 << 50) + x).first()
+    place = 4  # where x and p part: 2**24 + 2,000,000 to 2**24
+    odds = np.array([row["f0"]]).view(np.int8)[place]
+    assert odds == round(math.log(((1 << 24) + 2_000_000) / (1 << 24)) * context_mixing.SCALE) == 2
+
+
 def test_streams_hold_the_words():
     data = np.frombuffer(b"ab  c\n\nd", dtype=np.uint8)
     offsets = np.array([0, 6, 7, 8])
