@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from perdura.llm import context_mixing, quality, toxicity, url_filter
+from perdura.llm import bpe, context_mixing, quality, toxicity, url_filter
 from perdura.llm.decontaminate import decontaminate
 from perdura.llm.embedding_dedup import near_duplicate_vectors
 from perdura.llm.mixing import mix
@@ -14,6 +15,7 @@ from perdura.llm.token_counts import count_tokens, sentencepiece_vocabulary
 from perdura.plans.registry import query, table
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 @query("op1_toxicity")
@@ -174,3 +176,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str, vocabulary: str = PIECES) -> DataFrame:
     """Greedy word-piece counts of all documents."""
     return count_tokens(table(spark, sf_dir, "documents"), sentencepiece_vocabulary(vocabulary))
+
+
+@query("op13_bpe")
+def op13(spark: SparkSession, sf_dir: str, vocabulary: str = BYTE_BPE) -> DataFrame:
+    """Ids of all documents and the texts they decode to, as digests."""
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")
+    )
