@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from perdura.llm import bpe, context_mixing, quality, toxicity, url_filter
 from perdura.llm.decontaminate import decontaminate
 from perdura.llm.embedding_dedup import near_duplicate_vectors
+from perdura.llm.hard_negatives import mine_hard_negatives
 from perdura.llm.mixing import mix
 from perdura.llm.near_dedup import near_duplicates
 from perdura.llm.suffix_dedup import removed_passages
@@ -178,6 +179,37 @@ def op10(spark: SparkSession, sf_dir: str, vocabulary: str = PIECES) -> DataFram
     return count_tokens(table(spark, sf_dir, "documents"), sentencepiece_vocabulary(vocabulary))
 
 
+OP12_SQL = r"""
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM (SELECT DISTINCT vec_id, label, embedding FROM embeddings)
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+    list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM vectors a JOIN vectors b ON a.vec_id % 100 = 0 AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id,
+  row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INT AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) <= 5
+"""
+
+
+@query("op12_hard_negatives", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector among all embeddings."""
+    moved = F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")
+    return mine_hard_negatives(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 100 = 0"), moved)
+
+
 @query("op13_bpe")
 def op13(spark: SparkSession, sf_dir: str, vocabulary: str = BYTE_BPE) -> DataFrame:
     """Ids of all documents and the texts they decode to, as digests."""
