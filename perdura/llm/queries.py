@@ -11,6 +11,7 @@ from perdura.llm.embedding_dedup import near_duplicate_vectors
 from perdura.llm.hard_negatives import mine_hard_negatives
 from perdura.llm.mixing import mix
 from perdura.llm.near_dedup import near_duplicates
+from perdura.llm.prefix_trie import prefix_trie
 from perdura.llm.suffix_dedup import removed_passages
 from perdura.llm.token_counts import count_tokens, sentencepiece_vocabulary
 from perdura.plans.registry import query, table
@@ -179,6 +180,53 @@ def op10(spark: SparkSession, sf_dir: str, vocabulary: str = PIECES) -> DataFram
     return count_tokens(table(spark, sf_dir, "documents"), sentencepiece_vocabulary(vocabulary))
 
 
+OP11_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS own FROM turns GROUP BY conv_id
+), hashed AS (
+  SELECT conv_id, own, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+        lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+      lambda a, b: xor(xor(a, b) >> 1, CASE WHEN xor(a, b) % 2 = 1 THEN 3988292384::BIGINT ELSE 0 END)
+    ), 4294967295::BIGINT) % 9 AS h
+  FROM own
+), rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.own, [])[1:a.h], a.own[a.h + 1:]) AS seq
+  FROM hashed a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5
+), prefixes AS (
+  SELECT conv_id, d, seq[1:d] AS path, d = len(seq) AS ends
+  FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT d, path, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ends
+  FROM prefixes GROUP BY d, path
+), above AS (
+  SELECT p.conv_id AS member, n.d, n.conv_id FROM prefixes p JOIN nodes n USING (d, path)
+), linked AS (
+  SELECT n.*, q.conv_id AS parent_conv_id, CASE WHEN n.d = 0 THEN 0 ELSE (n_convs - 1) * strlen(path[n.d].text) END AS spared
+  FROM nodes n LEFT JOIN above q ON q.member = n.conv_id AND q.d = n.d - 1
+), kids AS (
+  SELECT d - 1 AS d, parent_conv_id AS conv_id, count(*) AS n_children FROM linked WHERE d > 0 GROUP BY ALL
+), subtrees AS (
+  SELECT a.d, a.conv_id, sum(spared) AS saved_tokens, count(*) FILTER (WHERE k.n_children IS NULL) AS n_leaves
+  FROM linked n JOIN above a ON a.member = n.conv_id AND a.d <= n.d
+  LEFT JOIN kids k ON k.d = n.d AND k.conv_id = n.conv_id
+  GROUP BY a.d, a.conv_id
+)
+SELECT n.conv_id, n.d AS depth, parent_conv_id, n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves,
+  saved_tokens::BIGINT AS saved_tokens, sha256(ends) AS ends_sha256
+FROM linked n JOIN subtrees s USING (d, conv_id) LEFT JOIN kids USING (d, conv_id)
+"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations with their subtree totals."""
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 OP12_SQL = r"""
 WITH vectors AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
