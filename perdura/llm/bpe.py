@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from perdura.llm.textkit import SLICE_BYTES, slices
 
-REMEMBERED = 600_000  # words and border tests a worker keeps
+REMEMBERED = 250_000  # words, and border tests, that a worker keeps
 LONG = 200
 PIECE = 200_000
 NEVER = 1 << 60
@@ -289,8 +289,12 @@ class Bpe:
         return self.encode_all([text])[0]
 
     def decode(self, packed: bytes) -> str:
-        ids = np.frombuffer(packed, dtype="<u4").tolist()
-        return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8", "replace")
+        return decode_ids(self.tokens, packed)
+
+
+def decode_ids(tokens: list[bytes], packed: bytes) -> str:
+    ids = np.frombuffer(packed, dtype="<u4").tolist()
+    return b"".join(map(tokens.__getitem__, ids)).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=4)
@@ -331,14 +335,10 @@ def _of(shared) -> Bpe:
     return _ready[shared.value[0]]
 
 
-def _share(frame: DataFrame, path: str):
-    vocabulary = read_vocabulary(path)
-    return frame.sparkSession.sparkContext.broadcast((hash((path, len(vocabulary[0]))), vocabulary))
-
-
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers); one row per row of docs."""
-    shared = _share(docs, path)
+    vocabulary = read_vocabulary(path)
+    shared = docs.sparkSession.sparkContext.broadcast((hash((path, len(vocabulary[0]))), vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _of(shared)
@@ -356,13 +356,13 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The rows of `encode` with the text of their ids; a null `ids` gives an empty text."""
-    shared = _share(encoded, path)
+    shared = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(path)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _of(shared)
+        tokens = shared.value
         for batch in batches:
             for part in slices(batch, "ids"):
-                texts = [coder.decode(ids or b"") for ids in part.column("ids").to_pylist()]
+                texts = [decode_ids(tokens, ids or b"") for ids in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()

@@ -48,7 +48,7 @@ from perdura.llm.textkit import BASE, U64, mix
 from perdura.sources.staging import stage_table
 
 HEADS = 8  # a conversation takes over fewer turns than this plus one
-SMALL = 1_000
+SMALL = 64
 MEMORY = 200_000
 BLOCK = 4_096
 READ = 4_096
