@@ -41,10 +41,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perdura.llm.textkit import SLICE_BYTES, slices
+from perdura.llm.textkit import slices
 
-REMEMBERED = 250_000  # words, and border tests, that a worker keeps
+REMEMBERED = 300_000  # words, and border tests, that a worker keeps
 LONG = 200
+SLICE = 1 << 20  # bytes of texts whose words are taken together
 PIECE = 200_000
 NEVER = 1 << 60
 
@@ -110,8 +111,7 @@ class Bpe:
         parts = {c: (a, b, m) for m, (a, b, c) in enumerate(merges)}
         if len(parts) != len(merges):
             raise ValueError("a token is the result of two merges")
-        self.left = {i: [(i, NEVER)] for i in range(len(tokens))}  # edges, each with the rank that ends it
-        self.right = {i: [(i, NEVER)] for i in range(len(tokens))}
+        self.parts = parts
         whole = set(range(len(tokens))) - set(parts)  # tokens that are their own encoding
         whole -= set(special.values())
         if {tokens[i] for i in whole} < {bytes([b]) for b in range(256)}:
@@ -121,8 +121,6 @@ class Bpe:
             if not made.issuperset((a, b)):
                 raise ValueError("a merge comes before those of its parts")
             made.add(c)
-            self.left[c] = [(c, NEVER), (a, m), *self.left[a][1:]]
-            self.right[c] = [(c, NEVER), (b, m), *self.right[b][1:]]
             if a in whole and b in whole and self._apart(a, b, m):
                 whole.add(c)
         self._build(sorted(whole))
@@ -167,11 +165,21 @@ class Bpe:
     def from_file(cls, path: str) -> Bpe:
         return cls(*read_vocabulary(path))
 
+    def _edges(self, token: int, side: int) -> Iterator[tuple[int, int]]:
+        """The tokens once at an edge of token (side 0: left, 1: right), each with the rank that ends it."""
+        end = NEVER
+        while True:
+            yield token, end
+            if token not in self.parts:
+                return
+            end = self.parts[token][2]
+            token = self.parts[token][side]
+
     def _apart(self, u: int, t: int, but: int = -1) -> bool:
         """Whether no merge, other than the one of rank `but`, crosses the border of u and t."""
-        rank = self.rank
-        for x, end_x in self.right[u]:
-            for y, end_y in self.left[t]:
+        rank, left = self.rank, list(self._edges(t, 0))
+        for x, end_x in self._edges(u, 1):
+            for y, end_y in left:
                 m = rank.get((x << 24) | y)
                 if m is not None and m != but and m < end_x and m <= end_y:
                     return False
@@ -269,7 +277,7 @@ class Bpe:
 
         The distinct words of all texts share one trie, unless the texts are long together.
         """
-        if sum(map(len, texts)) > SLICE_BYTES:
+        if sum(map(len, texts)) > SLICE:
             return [b"".join(self._encode_pieces(text)) for text in texts]
         pieces = [list(self._pieces(text)) for text in texts]
         self._prepare({w for text in pieces for piece in text if not isinstance(piece, int) for w in piece})
@@ -343,7 +351,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _of(shared)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 ids = coder.encode_all([text or "" for text in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
@@ -361,7 +369,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = shared.value
         for batch in batches:
-            for part in slices(batch, "ids"):
+            for part in slices(batch, "ids", SLICE):
                 texts = [decode_ids(tokens, ids or b"") for ids in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "text"])
 
