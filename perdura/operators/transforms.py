@@ -37,7 +37,19 @@ class _Persisted(DefaultParamsReadable, DefaultParamsWritable):
 
 
 class _Stage(_Persisted, Transformer):
-    """A stage with nothing to fit."""
+    """A stage with nothing to fit.
+
+    ``reads`` names the columns it needs. A stage that treats columns one by one gives
+    instead its form beside a join key, which it leaves alone (``beside_key``).
+    """
+
+    selects = False  # whether it also decides which columns stay
+
+    def reads(self) -> list[str]:
+        raise NotImplementedError
+
+    def beside_key(self, key: str) -> Transformer | None:
+        return None
 
 
 class _Fitted(_Persisted, Model):
@@ -54,6 +66,9 @@ class _Learner(_Persisted, Estimator):
 class TobitLabel(_Stage):
     """label = last known year - 1990."""
 
+    def reads(self) -> list[str]:
+        return ["last_available_timestamp", "id"]
+
     def _transform(self, df: DataFrame) -> DataFrame:
         label = dates.tobit_label(F.col("last_available_timestamp"), F.col("id"))
         return df.withColumn("label", label)
@@ -62,6 +77,9 @@ class TobitLabel(_Stage):
 class AgeLabel(_Stage):
     """label = years between first and last appearance; negative ages dropped."""
 
+    def reads(self) -> list[str]:
+        return ["first_appear", "last_available_timestamp", "id"]
+
     def _transform(self, df: DataFrame) -> DataFrame:
         label = dates.age_label(
             F.col("first_appear"), F.col("last_available_timestamp"), F.col("id")
@@ -70,6 +88,9 @@ class AgeLabel(_Stage):
 
 
 class Chronology(_Stage):
+    def reads(self) -> list[str]:
+        return ["last_available_timestamp", "id"]
+
     def _transform(self, df: DataFrame) -> DataFrame:
         year = dates.last_year(F.col("last_available_timestamp"), F.col("id"))
         return df.withColumn("timestamp_coef", year)
@@ -78,6 +99,9 @@ class Chronology(_Stage):
 class UrlFeatures(_Stage):
     """All URL features; hosts without a dot or with a malformed TLD are dropped."""
 
+    def reads(self) -> list[str]:
+        return ["url"]
+
     def _transform(self, df: DataFrame) -> DataFrame:
         return url.url_features(df).filter(url.is_valid_tld(F.col("suffix_idx")))
 
@@ -85,6 +109,9 @@ class UrlFeatures(_Stage):
 class PageShape(_Stage):
     """code_size and is_html5, which need the markup as it is."""
 
+    def reads(self) -> list[str]:
+        return ["html_text"]
+
     def _transform(self, df: DataFrame) -> DataFrame:
         text = F.col("html_text")
         return df.withColumns(
@@ -93,16 +120,25 @@ class PageShape(_Stage):
 
 
 class PageFeatures(_Stage):
+    def reads(self) -> list[str]:
+        return ["html_text"]
+
     def _transform(self, df: DataFrame) -> DataFrame:
         return html.default_registry().apply(df)
 
 
 class EmptyHtmlFilter(_Stage):
+    def reads(self) -> list[str]:
+        return ["html_text"]
+
     def _transform(self, df: DataFrame) -> DataFrame:
         return df.dropna(subset=["html_text"])
 
 
 class ContentType(_Stage):
+    def reads(self) -> list[str]:
+        return ["header"]
+
     def _transform(self, df: DataFrame) -> DataFrame:
         return df.withColumn("content_type", html.content_type(F.col("header")))
 
@@ -110,6 +146,9 @@ class ContentType(_Stage):
 class RenameColumns(_Stage):
     mapping = _param("mapping", "old name -> new name")
 
+    def beside_key(self, key: str) -> RenameColumns:
+        return RenameColumns(mapping={k: v for k, v in self.value("mapping").items() if k != key})
+
     def _transform(self, df: DataFrame) -> DataFrame:
         return rename_existing(df, self.value("mapping"))
 
@@ -117,6 +156,9 @@ class RenameColumns(_Stage):
 class PresenceFlags(_Stage):
     columns = _param("columns", "columns to flag when present", TypeConverters.toListString)
 
+    def beside_key(self, key: str) -> PresenceFlags:
+        return PresenceFlags(columns=[c for c in self.value("columns") if c != key])
+
     def _transform(self, df: DataFrame) -> DataFrame:
         found = [c for c in self.value("columns") if c in df.columns]
         return df.withColumns({f"has_{c}": (~missing_for(df, c)).cast("int") for c in found})
@@ -126,6 +168,9 @@ class MapValues(_Stage):
     inputCol = _param("inputCol", "column to map", TypeConverters.toString)
     pairs = _param("pairs", "list of [from, to]; other values become null")
 
+    def reads(self) -> list[str]:
+        return [self.value("inputCol")]
+
     def _transform(self, df: DataFrame) -> DataFrame:
         name = self.value("inputCol")
         mapping = {k: v for k, v in self.value("pairs")}
@@ -135,6 +180,9 @@ class MapValues(_Stage):
 class NanToZero(_Stage):
     columns = _param("columns", "columns to fill", TypeConverters.toListString)
 
+    def beside_key(self, key: str) -> NanToZero:
+        return NanToZero(columns=[c for c in self.value("columns") if c != key])
+
     def _transform(self, df: DataFrame) -> DataFrame:
         return df.fillna(0, [c for c in self.value("columns") if c in df.columns])
 
@@ -142,6 +190,9 @@ class NanToZero(_Stage):
 class LogFeatures(_Stage):
     columns = _param("columns", "columns to take the log of", TypeConverters.toListString)
 
+    def reads(self) -> list[str]:
+        return list(self.value("columns"))
+
     def _transform(self, df: DataFrame) -> DataFrame:
         return df.withColumns(
             {c: numeric.shifted_log(F.col(c)) for c in self.value("columns")}
@@ -151,6 +202,11 @@ class LogFeatures(_Stage):
 class PickColumns(_Stage):
     columns = _param("columns", "columns to keep", TypeConverters.toListString)
 
+    selects = True
+
+    def beside_key(self, key: str) -> PickColumns:
+        return PickColumns(columns=list(dict.fromkeys([key, *self.value("columns")])))
+
     def _transform(self, df: DataFrame) -> DataFrame:
         return pick_existing(df, self.value("columns"))
 
@@ -158,6 +214,11 @@ class PickColumns(_Stage):
 class DropColumns(_Stage):
     columns = _param("columns", "columns to drop", TypeConverters.toListString)
 
+    selects = True
+
+    def beside_key(self, key: str) -> DropColumns:
+        return DropColumns(columns=[c for c in self.value("columns") if c != key])
+
     def _transform(self, df: DataFrame) -> DataFrame:
         return df.drop(*self.value("columns"))
 

@@ -9,7 +9,7 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perdura.functions.numeric import linear_prediction
+from perdura.functions.numeric import LOG_SHIFT, linear_prediction
 from perdura.operators import evaluate, grouptests, search, tobit, trees
 from perdura.operators import transforms as t
 from perdura.operators.caching import cached
@@ -23,12 +23,13 @@ from perdura.operators.linear import (
 )
 from perdura.operators.logistic import grid_auc
 from perdura.operators.moments import gram
-from perdura.operators.relational import extract_study_rows, stack_tagged
+from perdura.operators.relational import stack_tagged, study_sides
 from perdura.operators.sampling import fold_column, train_test_split
+from perdura.operators.sides import JoinSides
 from perdura.operators.stages import DeviationCrossValidator, DeviationEvaluator
 from perdura.plans import standins
 from perdura.plans.catalog_tables import hash_sql
-from perdura.plans.recipe import RECIPES, build_recipe
+from perdura.plans.recipe import PAGE_COLUMNS, RECIPES, URL_COLUMNS, Recipe, StudyRecipe, picked_columns
 from perdura.plans.registry import query, table
 from perdura.plans.standins import HTML_SQL, LINE_X, STUDY_SQL, URL_SQL, line_frame
 from perdura.sources.schemas import PUBLICATION_FEATURES
@@ -176,8 +177,8 @@ def low_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.LowVarianceFilter(threshold=0.005).fit(rows).transform(rows)
 
 
-def study_rows(spark: SparkSession, sf_dir: str, truncated: bool = False) -> DataFrame:
-    return extract_study_rows(
+def sides_of_study(spark: SparkSession, sf_dir: str, truncated: bool = False) -> JoinSides:
+    return study_sides(
         standins.resources(spark, sf_dir),
         standins.bridge(spark, sf_dir),
         standins.paper(spark, sf_dir),
@@ -186,6 +187,10 @@ def study_rows(spark: SparkSession, sf_dir: str, truncated: bool = False) -> Dat
     )
 
 
+def study_rows(spark: SparkSession, sf_dir: str, truncated: bool = False) -> DataFrame:
+    return sides_of_study(spark, sf_dir, truncated).joined()
+
+
 def _recipe_sql(truncated: bool, scaled: bool, with_url: bool) -> str:
     """The recipe over the stand-in tables, step by step in SQL."""
     flags = ["protocol_type", "has_www", "has_iframe", *t.url.DUMMY_SUFFIXES]
@@ -238,8 +243,7 @@ def _recipe_sql(truncated: bool, scaled: bool, with_url: bool) -> str:
 def _recipe_query(name: str, recipe: str, truncated: bool, sql: str | None) -> None:
     @query(name, sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = study_rows(spark, sf_dir, truncated)
-        out = build_recipe(RECIPES[recipe]).fit(rows).transform(rows)
+        out = StudyRecipe(RECIPES[recipe]).fit_transform(sides_of_study(spark, sf_dir, truncated))
         whole = [c for c, kind in out.dtypes if kind == "double" and c != "first_appear"]
         return out.withColumns({c: F.round(c, 6) for c in whole})
 
@@ -268,10 +272,10 @@ def _editions_sql() -> str:
 @query("recipe_editions", _editions_sql())
 def recipe_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and label mean of every edition of the recipe."""
-    rows = stage_table(study_rows(spark, sf_dir), "study")
+    sides = sides_of_study(spark, sf_dir)
     out = None
     for name in sorted(r for r in RECIPES if r.startswith("edition")):
-        made = build_recipe(RECIPES[name]).fit(rows).transform(rows)
+        made = StudyRecipe(RECIPES[name]).fit_transform(sides)
         line = made.agg(
             F.lit(name).alias("edition"),
             F.count("*").alias("row_cnt"),
@@ -281,6 +285,66 @@ def recipe_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _edition_sql(name: str, columns: Sequence[str]) -> str:
+    """An edition's rows, step by step in SQL; ``columns`` are those its variance filter leaves."""
+    r = RECIPES[name]
+    stamp = "CAST(floor(last_available_timestamp / 10000000000) AS BIGINT)"
+    made = "year(make_timestamp(CAST(('0x' || substr(id, 1, 8)) AS BIGINT) * 1000000))"
+    age = f"coalesce({stamp}, {made}) - first_appear"
+    urls = URL_SQL.replace("FROM res)", "FROM study)", 1)
+    pages = HTML_SQL.replace("FROM res)", "FROM parts)", 1)
+    share = "count({0}) OVER (PARTITION BY {0}) / CAST(count({0}) OVER () AS DOUBLE)"
+    raw = {c: c for c in (*URL_COLUMNS, *PAGE_COLUMNS, "is_port_access", "first_appear")}
+    raw |= {c: f"coalesce({c}, 0)" for c in PUBLICATION_FEATURES}
+    raw |= {s: f"CAST(suffix_idx = '{s}' AS INTEGER)" for s in t.url.DUMMY_SUFFIXES}
+    raw["protocol_type"] = "CASE scheme WHEN 'http' THEN 1 WHEN 'https' THEN 0 END"
+    raw["suffix"] = share.format("suffix")
+    if r.encode:
+        raw[r.encode] = share.format("scheme" if r.encode == "protocol_type" else r.encode)
+    quoted = {c: f'"{c}"' for c in columns}
+
+    def z(c: str) -> str:
+        q = quoted[c]
+        few = f"count(DISTINCT {q}) OVER () + max(CASE WHEN {q} IS NULL THEN 1 ELSE 0 END) OVER () < 3"
+        return (
+            f"round(CASE WHEN {few} THEN CAST({q} AS DOUBLE) ELSE "
+            f"({q} - avg({q}) OVER ()) / nullif(stddev_pop({q}) OVER (), 0) END, 6) AS {q}"
+        )
+
+    base = ", ".join(f"{raw[c]} AS {quoted[c]}" for c in columns)
+    logged = ", ".join(f"CASE WHEN {c} + {LOG_SHIFT} > 0 THEN ln({c} + {LOG_SHIFT}::DOUBLE) END AS {c}" if c in r.log_columns else q for c, q in quoted.items())
+    return f"""WITH {STUDY_SQL}, {urls}, {pages},
+      base AS (SELECT {base}, {age} AS label FROM marks
+        WHERE regexp_matches(suffix_idx, '^[a-zA-Z]{{2,63}}$') AND {age} >= 0
+        {"AND html_text IS NOT NULL" if r.drop_empty_html else ""}),
+      logged AS (SELECT {logged}, label FROM base)
+      SELECT {", ".join(map(z, columns))}, CAST(label AS DOUBLE) AS label FROM logged"""
+
+
+# The first edition's columns over the variance bound.
+EDITION_1 = ("url_depth", "has_www", "subdomain_level", "suffix")
+
+
+def _edition_columns(r: Recipe) -> list[str]:
+    """Output columns of a recipe without a variance filter, but for the label."""
+    names = []
+    for c in picked_columns(r):
+        names += t.url.DUMMY_SUFFIXES if c == "suffix_idx" else [c]
+    return [c for c in names if c not in (*r.drop, "label")]
+
+
+def _edition_query(name: str, columns: Sequence[str]) -> None:
+    @query(f"recipe_{name}", _edition_sql(name, columns))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = StudyRecipe(RECIPES[name]).fit_transform(sides_of_study(spark, sf_dir))
+        return out.select(*(F.round(F.col(c).cast("double"), 6).alias(c) for c in out.columns))
+
+
+for _name, _recipe in RECIPES.items():
+    if _name.startswith("edition"):
+        _edition_query(_name, _edition_columns(_recipe) if _recipe.low_variance is None else EDITION_1)
+
+
 # ---------------------------------------------------------------- Tobit
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.sql import DataFrame
 
 from perdura.operators import transforms as t
+from perdura.operators.sides import JoinSides, joined_features
 from perdura.sources.schemas import PUBLICATION_FEATURES
 
 # Feature names of the recipes, in output order.
@@ -45,6 +47,7 @@ class Recipe:
     only_present_suffixes: bool = False
 
 
+# The options of each edition.
 RECIPES: dict[str, Recipe] = {
     "untruncated": Recipe(),
     "truncated": Recipe(keep_url=False),
@@ -95,6 +98,7 @@ def build_recipe(r: Recipe, extra: tuple[str, ...] = ()) -> Pipeline:
     """``extra`` columns (a row key, say) ride along unscaled."""
     stages: list = [t.TobitLabel() if r.label == "tobit" else t.AgeLabel(), t.UrlFeatures()]
     stages.append(t.RenameColumns(mapping={"scheme": "protocol_type"}))
+    stages.append(t.ContentType())
     stages.append(t.PresenceFlags(columns=["content_type"]))
     if r.drop_empty_html:
         stages.append(t.EmptyHtmlFilter())
@@ -125,3 +129,43 @@ def build_recipe(r: Recipe, extra: tuple[str, ...] = ()) -> Pipeline:
         raw = ["first_appear"] if r.scale == "tobit" else []
         stages.append(t.PopulationScaler(passCols=passed, keepRaw=raw))
     return Pipeline(stages=stages)
+
+
+@dataclass(frozen=True)
+class StudyRecipe:
+    """A recipe fitted on the sides of the extract, its stateless stages run below the join.
+
+    ``fit`` learns from the sides it is given; ``refit=True`` in ``transform`` learns again
+    from the rows to transform, as the study does with its test rows.
+    """
+
+    recipe: Recipe
+    extra: tuple[str, ...] = ()
+
+    def _split(self) -> tuple[list[Transformer], list]:
+        stages = build_recipe(self.recipe, self.extra).getStages()
+        first = next(i for i, s in enumerate(stages) if isinstance(s, t.StagedRows))
+        return stages[:first], stages[first:]
+
+    def features(self, sides: JoinSides) -> DataFrame:
+        """The unfitted features of the joined rows."""
+        return joined_features(self._split()[0], sides)
+
+    def fit(self, sides: JoinSides) -> StudyRecipeModel:
+        return StudyRecipeModel(self, Pipeline(stages=self._split()[1]).fit(self.features(sides)))
+
+    def fit_transform(self, sides: JoinSides) -> DataFrame:
+        return self.fit(sides).transform(sides)
+
+
+@dataclass(frozen=True)
+class StudyRecipeModel:
+    """``fitted`` is a saved pipeline's worth of statistics, over ``StudyRecipe.features``."""
+
+    plan: StudyRecipe
+    fitted: PipelineModel
+
+    def transform(self, sides: JoinSides, refit: bool = False) -> DataFrame:
+        if refit:
+            return self.plan.fit_transform(sides)
+        return self.fitted.transform(self.plan.features(sides))
