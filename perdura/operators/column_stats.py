@@ -22,57 +22,56 @@ class ColumnStats:
         return self.variance**0.5
 
 
-def _cells(df: DataFrame, columns: Sequence[str], **more: dict[str, float]) -> DataFrame:
-    """(name, v, ...) rows, one per cell, ``v`` null where missing.
+HEAD = 100  # rows in which a column's anchor is looked for
 
-    The aggregates stay a handful whatever the number of columns; one per column
-    would outgrow what Spark compiles.
-    """
-    cells = []
-    for c in columns:
-        v = F.when(~missing_for(df, c), F.col(c).cast("double"))
-        extra = [F.lit(values[c]).cast("double").alias(k) for k, values in more.items()]
-        cells.append(F.struct(F.lit(c).alias("name"), v.alias("v"), *extra))
-    return df.select(F.inline(F.array(*cells)))
+
+def _values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.select(
+        *(F.when(~missing_for(df, c), F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(columns))
+    )
+
+
+def _strictly_between(values: DataFrame, bounds: dict[str, tuple[float, float]]) -> dict[str, bool]:
+    """Which columns have a value strictly between two bounds."""
+    if not bounds:
+        return {}
+    inside = [F.bool_or((F.col(v) > lo) & (F.col(v) < hi)).alias(v) for v, (lo, hi) in bounds.items()]
+    return {v: bool(found) for v, found in values.agg(*inside).first().asDict().items()}
 
 
 def column_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, ColumnStats]:
-    """Mean, population variance and whether a column has 1, 2 or more values.
+    """Mean, population variance and whether a column has 1, 2 or more values, in one scan.
 
-    Two scans: the second counts values strictly between minimum and maximum,
-    which tells two-valued columns apart without a distinct count.
+    Any value of a column, found among the first rows, is its anchor. The least and the greatest
+    of the values that differ from the anchor tell one, two and more values apart: there are
+    none, they are equal, or they differ. A column with no value in the first rows has no
+    anchor; only for such columns a second scan looks between minimum and maximum.
     """
     if not columns:
         return {}
-    rows = (
-        _cells(df, columns)
-        .groupBy("name")
-        .agg(
-            F.avg("v").alias("mean"),
-            F.var_pop("v").alias("var"),
-            F.min("v").alias("lo"),
-            F.max("v").alias("hi"),
-            F.count_if(F.col("v").isNull()).alias("gone"),
-        )
-        .collect()
-    )
-    first = {r["name"]: r for r in rows}
-    known = [c for c in columns if c in first and first[c]["lo"] is not None]
-    between = {}
-    if known:
-        lo = {c: first[c]["lo"] for c in known}
-        hi = {c: first[c]["hi"] for c in known}
-        inside = (F.col("v") > F.col("lo")) & (F.col("v") < F.col("hi"))
-        counts = _cells(df, known, lo=lo, hi=hi).groupBy("name").agg(F.count_if(inside).alias("n"))
-        between = {r["name"]: r["n"] for r in counts.collect()}
+    values = _values(df, columns)
+    head = values.limit(HEAD).collect()
+    anchors = [next((r[i] for r in head if r[i] is not None), None) for i in range(len(columns))]
+    sums = []
+    for i, anchor in enumerate(anchors):
+        v = F.col(f"v{i}")
+        other = v if anchor is None else F.when(v != F.lit(anchor), v)
+        sums += [F.avg(v), F.var_pop(v), F.min(other), F.max(other), F.count_if(v.isNull()), F.count(v)]
+    row = values.agg(*(c.alias(f"s{i}") for i, c in enumerate(sums))).first()
+    found = [tuple(row[6 * i : 6 * i + 6]) for i in range(len(columns))]
+    loose = {f"v{i}": found[i][2:4] for i, a in enumerate(anchors) if a is None and found[i][5] and found[i][2] < found[i][3]}
+    between = _strictly_between(values, loose)
     out = {}
-    for c in columns:
-        if c not in known:
+    for i, c in enumerate(columns):
+        mean, variance, lo, hi, gone, n = found[i]
+        if not n:
             out[c] = ColumnStats(float("nan"), float("nan"), 1)
             continue
-        s = first[c]
-        distinct = 3 if between[c] else (1 if s["lo"] == s["hi"] else 2)
-        out[c] = ColumnStats(s["mean"], s["var"], min(distinct + (1 if s["gone"] else 0), 3))
+        if anchors[i] is None:
+            distinct = 1 if lo == hi else 3 if between[f"v{i}"] else 2
+        else:
+            distinct = 1 if lo is None else 2 if lo == hi else 3
+        out[c] = ColumnStats(mean, variance, min(distinct + (1 if gone else 0), 3))
     return out
 
 

@@ -62,7 +62,7 @@ def stream_count(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.col("ts").cast("timestamp").alias("ts"))
     )
     jobs.table_of_counts(jobs.windowed_counts(rows, "ts"), target, state).awaitTermination()
-    return _by_start(spark.read.parquet(target))
+    return _by_start(jobs.read_counts(spark, target))
 
 
 @query("windowed_count_batch", HOURS_SQL)

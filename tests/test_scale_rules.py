@@ -1,12 +1,13 @@
 """No rows lost to triggers, nulls or NaN; no pattern whose time grows with the square of a page."""
 
+import math
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from perdura.functions import html
-from perdura.operators import aggregates, evaluate, grouptests
+from perdura.operators import aggregates, column_stats, evaluate, grouptests
 from perdura.operators.quantiles import exact_quantiles, running_totals
 from perdura.operators.sampling import stratified_split
 from perdura.operators.transforms import FrequencyEncoder
@@ -89,3 +90,25 @@ def test_any_number_of_strata(spark):
     split = stratified_split(df, "k", ["id"], 0.5)
     counts = split.groupBy("k").agg(F.sum("is_train").alias("t"), F.count("*").alias("n"))
     assert counts.count() == 20_000 and counts.where("t <> 1 or n <> 2").count() == 0
+
+
+def test_column_stats_in_one_scan_tell_one_two_and_more_values(spark, monkeypatch):
+    nan, n = float("nan"), 300
+    columns = {
+        "one": [7.0] * n, "two": [1.0, 2.0] * (n // 2), "three": [1.0, 3.0] * (n // 2 - 1) + [2.0, 1.0],
+        "one_gone": [7.0] * (n - 1) + [None], "two_gone": [1.0] * (n - 2) + [2.0, nan], "none": [None] * n,
+        "late_two": [None] * (n - 2) + [5.0, 6.0], "late_one": [nan] * (n - 1) + [5.0],
+        "late_many": [None] * (n - 3) + [5.0, 6.0, 7.0], "zeros": [0.0, -0.0] * (n // 2), "far": [1e300, -1e300] * (n // 2),
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns)).coalesce(1)
+    scans = []
+    between = column_stats._strictly_between
+    monkeypatch.setattr(column_stats, "_strictly_between", lambda v, b: scans.append(sorted(b)) or between(v, b))
+    got = column_stats.column_stats(df, list(columns))
+    want = {"one": 1, "two": 2, "three": 3, "one_gone": 2, "two_gone": 3, "none": 1, "late_two": 3, "late_one": 2,
+            "late_many": 3, "zeros": 1, "far": 2}
+    assert {c: s.distinct for c, s in got.items()} == want
+    assert scans == [["v6", "v8"]]
+    assert got["three"].mean == sum(columns["three"]) / n and math.isclose(got["two"].variance, 0.25)
+    assert math.isnan(got["none"].mean)
+    assert column_stats.column_stats(df.limit(0), ["one"])["one"].distinct == 1
