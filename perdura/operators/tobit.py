@@ -31,6 +31,7 @@ from perdura.functions.numeric import hash_fraction, linear_prediction
 from perdura.functions.probability import LOG_SQRT_2PI, log_ndtr, log_ndtr_and_mills
 from perdura.operators.caching import cached
 from perdura.operators.moments import sum_over_rows
+from perdura.operators.resampling import stratified_places
 
 CELLS_PER_BLOCK = 32_768  # arrays of this size stay in the processor's cache
 SMALLEST_SIGMA = 1e-15
@@ -359,9 +360,13 @@ class TobitRows:
     def _products(self, df: DataFrame, rows: bool, weights: Weighting | None = None) -> np.ndarray:
         return cross_products(df if rows else None, self.features, self.label, self.extra, weights)
 
+    def whole_products(self) -> np.ndarray:
+        """Cross products of all rows, the censored among them."""
+        return (self._plain + self._products(self.censored, self.any_censored))[0]
+
     def start(self) -> np.ndarray:
         """Least squares with the population deviation of its residuals."""
-        whole = (self._plain + self._products(self.censored, self.any_censored))[0]
+        whole = self.whole_products()
         xx, xy, yy = whole[:-1, :-1], whole[:-1, -1], whole[-1, -1]
         b = np.linalg.lstsq(xx, xy, rcond=None)[0]
         variance = max(yy - 2 * b @ xy + b @ xx @ b, 0.0) / whole[0, 0]
@@ -525,6 +530,66 @@ def bootstrap(
     return out
 
 
+@dataclass(frozen=True)
+class Replicate:
+    """A refit, and how it does on the rows as they are."""
+
+    fit: TobitFit
+    pseudo_r2: float
+    rmse: float
+    loglik: float
+
+
+def fit_quality(rows: TobitRows, fits: Sequence[TobitFit]) -> list[Replicate]:
+    """Pseudo R2 and RMSE of each fit, from the cross products of all rows, and their log-likelihood."""
+    whole = rows.whole_products()
+    n, theta = whole[0, 0], np.array([f.theta for f in fits])
+    b = theta[:, :-1]
+    xx, xy, yy = whole[:-1, :-1], whole[:-1, -1], whole[-1, -1]
+    fitted, both, squares = b @ xx[0], b @ xy, np.einsum("ki,ij,kj->k", b, xx, b)
+    mse = np.maximum(yy - 2 * both + squares, 0) / n
+    covariance, spread = both / n - fitted / n * xy[0] / n, squares / n - (fitted / n) ** 2
+    of_label = yy / n - (xy[0] / n) ** 2
+    with np.errstate(invalid="ignore", divide="ignore"):
+        pseudo = np.where((spread > 0) & (of_label > 0), covariance**2 / (spread * of_label), np.nan)
+    loglik = rows.sums(theta, rows.products()).value
+    return [Replicate(*r) for r in zip(fits, map(float, pseudo), map(float, np.sqrt(mse)), map(float, loglik))]
+
+
+def stratified_bootstrap(
+    df: DataFrame,
+    features: Sequence[str],
+    label: str,
+    limits: Censoring,
+    keys: Sequence[str],
+    stratum: Column | None = None,
+    replicates: int = 1000,
+    setting: tuple[float, float] = (49.8, 1.0),
+    seed: int = 77,
+    batch: int = 250,
+) -> list[Replicate]:
+    """Refits on resamples with replacement in which each stratum (by default each label) has its number of rows.
+
+    Fixed by seed whatever the partitioning; rows with a missing value take no part.
+    """
+    narrow = df.select(*dict.fromkeys([*keys, *features, label]), *([] if stratum is None else [stratum.alias("_by")]))
+    kept = narrow.na.drop(subset=[*features, label])
+    by = F.col("_by" if stratum is not None else label)
+    places, draw = stratified_places(kept, by, keys, seed)
+    extra = {c: F.col(c) for c in ("_stratum", "_bucket", "_place")}
+    fits: list[TobitFit] = []
+    with TobitRows(places, features, label, limits, extra) as rows:
+        start = rows.fit([setting])[0].theta
+        for first in range(0, replicates, batch):
+            size = min(batch, replicates - first)
+
+            def weigh(more: np.ndarray, numbers: np.ndarray, first: int = first, held: dict = {}) -> np.ndarray:  # noqa: B006
+                return draw.weigh(more, numbers + first, held)
+
+            fits += rows.fit([setting] * size, start, Weighting(weigh, np.arange(size)))
+        return fit_quality(rows, fits)
+
+
 def row_loglik(prediction: Column, label: Column, sigma: float, limits: Censoring) -> Column:
     """Log-likelihood of each row, given its linear prediction."""
 

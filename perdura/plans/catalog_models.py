@@ -525,6 +525,18 @@ def bootstrap_tobit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tobit_rows(spark, fits)
 
 
+@query("bootstrap_tobit_stratified")
+def bootstrap_tobit_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1000 refits on resamples exact in each label, with their quality on the rows as they are."""
+    found = tobit.stratified_bootstrap(scaled_lines(spark, sf_dir), LINE_X, "label", LIMITS, LINE_KEYS)
+    lines = [
+        (i, r.fit.intercept, *map(float, r.fit.coef), r.fit.sigma, r.pseudo_r2, r.rmse, r.loglik)
+        for i, r in enumerate(found)
+    ]
+    numbers = ", ".join(f"{c} double" for c in ("intercept", *LINE_X, "sigma", "pseudo_r2", "rmse", "loglik"))
+    return spark.createDataFrame(lines, f"replicate int, {numbers}")
+
+
 @query("aic")
 def aic(spark: SparkSession, sf_dir: str) -> DataFrame:
     with tobit.TobitRows(scaled_lines(spark, sf_dir), LINE_X, "label", LIMITS) as rows:
