@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perdura.functions.dates import missing
-from perdura.operators.quantiles import exact_quantiles
+from perdura.operators.quantiles import flat_quantiles
 
 # What the label codes stand for.
 LABEL_NAMES = {-1: "Dead", 0: "From Wayback Machine", 1: "Alive"}
@@ -98,20 +98,11 @@ def group_mean_diff(
     return _long(wide, features, "feature", "mean_diff")
 
 
-def stack_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, value) rows, one per cell."""
-    pairs = [
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
-        for c in columns
-    ]
-    return df.select(F.inline(F.array(*pairs)))
-
-
 def box_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Exact quartiles per column, highest median first."""
-    found = exact_quantiles(stack_columns(df, columns), "value", [0.25, 0.5, 0.75], "feature")
+    """Exact quartiles per column, highest median first; a column of no values is left out."""
+    found = flat_quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75])
     return df.sparkSession.createDataFrame(
-        sorted(((f, *q) for f, q in found.items()), key=lambda r: -r[2]),
+        sorted(((f, *q) for f, q in found.items() if q), key=lambda r: -r[2]),
         "feature string, q1 double, median double, q3 double",
     )
 
@@ -125,16 +116,17 @@ def mode_value(df: DataFrame, column: str) -> DataFrame:
 
 def quantile_band(df: DataFrame, prediction: str, residual: str) -> DataFrame:
     """10 % and 90 % residual quantiles at low, middle and high predictions."""
-    cuts = exact_quantiles(df, prediction, [0.0, 0.01, 0.35, 0.75, 0.9, 1.0])[""]
+    p, r = F.col(prediction), F.col(residual)
+    cuts = flat_quantiles(df, {prediction: p}, [0.0, 0.01, 0.35, 0.75, 0.9, 1.0])[prediction]
+    schema = "band string, at double, lower double, upper double"
+    if cuts is None:
+        return df.sparkSession.createDataFrame([], schema)
     low, p01, p35, p75, p90, high = cuts
-    p = F.col(prediction)
-    band = F.when(p < p01, "low").when((p > p35) & (p < p75), "middle").when(p > p90, "high")
-    banded = df.select(band.alias("_band"), residual).filter(F.col("_band").isNotNull())
-    found = exact_quantiles(banded, residual, [0.1, 0.9], "_band")
+    bands = {"low": p < p01, "middle": (p > p35) & (p < p75), "high": p > p90}
+    found = flat_quantiles(df, {b: F.when(inside, r) for b, inside in bands.items()}, [0.1, 0.9])
     at = {"low": low, "middle": mode_value(df, prediction).first()["mode"], "high": high}
     return df.sparkSession.createDataFrame(
-        [(b, float(at[b]), *q) for b, q in found.items()],
-        "band string, at double, lower double, upper double",
+        [(b, float(at[b]), *q) for b, q in found.items() if q], schema
     )
 
 

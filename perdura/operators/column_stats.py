@@ -23,6 +23,7 @@ class ColumnStats:
 
 
 HEAD = 100  # rows in which a column's anchor is looked for
+SIDE = 8
 
 
 def _values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -31,6 +32,38 @@ def _values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def _sums(values: DataFrame, anchors: Sequence[float | None]) -> list[tuple]:
+    """mean, variance, least and greatest value besides the anchor, missing and known rows of each column.
+
+    One scan. Columns are aggregated side by side, SIDE of them at most, as more would outgrow
+    what Spark compiles well; a row gives one line for each further SIDE columns.
+    """
+    sides = [range(i, min(i + SIDE, len(anchors))) for i in range(0, len(anchors), SIDE)]
+    lines = [
+        F.struct(F.lit(k).alias("side"), *(
+            part
+            for j in range(SIDE) for i in [side[j] if j < len(side) else None]
+            for part in (
+                (F.lit(None).cast("double") if i is None else F.col(f"v{i}")).alias(f"x{j}"),
+                F.lit(None if i is None else anchors[i]).cast("double").alias(f"a{j}"),
+            )
+        ))
+        for k, side in enumerate(sides)
+    ]
+    sums = []
+    for j in range(SIDE):
+        v, anchor = F.col(f"x{j}"), F.col(f"a{j}")
+        other = F.when(anchor.isNull() | (v != anchor), v)
+        sums += [F.avg(v), F.var_pop(v), F.min(other), F.max(other), F.count_if(v.isNull()), F.count(v)]
+    cut = values.select(F.inline(F.array(*lines))) if len(lines) > 1 else values.select(lines[0].alias("l")).select("l.*")
+    rows = cut.groupBy("side").agg(*(c.alias(f"s{n}") for n, c in enumerate(sums))).collect()
+    found: list[tuple] = [(None, None, None, None, 0, 0)] * len(anchors)
+    for r in rows:
+        for j, i in enumerate(sides[r["side"]]):
+            found[i] = tuple(r[f"s{6 * j + m}"] for m in range(6))
+    return found
+
+
 def _strictly_between(values: DataFrame, bounds: dict[str, tuple[float, float]]) -> dict[str, bool]:
     """Which columns have a value strictly between two bounds."""
     if not bounds:
@@ -52,13 +85,7 @@ def column_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, ColumnStats
     values = _values(df, columns)
     head = values.limit(HEAD).collect()
     anchors = [next((r[i] for r in head if r[i] is not None), None) for i in range(len(columns))]
-    sums = []
-    for i, anchor in enumerate(anchors):
-        v = F.col(f"v{i}")
-        other = v if anchor is None else F.when(v != F.lit(anchor), v)
-        sums += [F.avg(v), F.var_pop(v), F.min(other), F.max(other), F.count_if(v.isNull()), F.count(v)]
-    row = values.agg(*(c.alias(f"s{i}") for i, c in enumerate(sums))).first()
-    found = [tuple(row[6 * i : 6 * i + 6]) for i in range(len(columns))]
+    found = _sums(values, anchors)
     loose = {f"v{i}": found[i][2:4] for i, a in enumerate(anchors) if a is None and found[i][5] and found[i][2] < found[i][3]}
     between = _strictly_between(values, loose)
     out = {}

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +24,8 @@ from perdura.sources.staging import stage_table
 MAX_BINS = 1024
 COLLECT_ROWS = 50_000  # a bracket of no more rows has a bin for each value
 INFINITE = float("inf")
+FARTHEST = 1.7e308
+ACCURACY = 10_000  # of a sketch: its ranks are off by a share of 1 / ACCURACY at most
 
 
 def _bin_of(bins: int) -> Column:
@@ -124,6 +127,110 @@ def exact_quantiles(
     return {r["g"]: list(r["q"]) for r in quantile_table(df, value, probs, group).collect()}
 
 
+@dataclass
+class _Rank:
+    """A rank looked for in a column: it lies among the ``inside`` rows of [lo, hi], ``below`` rows lie under lo."""
+
+    column: str
+    rank: int
+    lo: float
+    hi: float
+    below: int
+    inside: int
+    trial: tuple[float, float]
+    missed: bool = False
+
+    def settle(self, under: int, within: int, low: float | None, high: float | None) -> None:
+        """Take what was counted for the trial: it holds the rank, or the rank lies beside it."""
+        a, b = self.trial
+        self.missed = not under <= self.rank < under + within
+        if self.rank < under:
+            self.hi, self.inside = math.nextafter(a, -INFINITE), under - self.below
+        elif self.rank >= under + within:
+            self.inside -= under + within - self.below
+            self.lo, self.below = math.nextafter(b, INFINITE), under + within
+        else:
+            self.lo, self.hi, self.below, self.inside = low, high, under, within
+
+    def narrow(self, a: float | None, b: float | None) -> None:
+        """Try [a, b], or the lower half of the values where that is no narrower or the last trial missed."""
+        a, b = max(self.lo, self.lo if a is None else a), min(self.hi, self.hi if b is None else b)
+        if self.missed or a > b or (a, b) == (self.lo, self.hi):
+            a, b = self.lo, max(self.lo, -FARTHEST) / 2 + min(self.hi, FARTHEST) / 2
+        self.trial = (a, min(b, math.nextafter(self.hi, -INFINITE)))
+
+
+def flat_quantiles(
+    df: DataFrame, columns: dict[str, Column], probs: Sequence[float], accuracy: int = ACCURACY
+) -> dict[str, list[float] | None]:
+    """Linear-interpolation quantiles of several columns of the same rows, as ``percentile`` gives them.
+
+    Wide scans only, all columns in each: a sketch brackets every rank, a count puts the bracket in
+    its place, and where it holds COLLECT_ROWS rows at most the value at the rank is picked from
+    it; a larger one is sketched again. Three scans do up to COLLECT_ROWS * accuracy / 4 rows. The
+    sketch only guides: a bracket that misses is seen by its count. None for a column of no values;
+    null and NaN do not count, infinite values do.
+    """
+    names = list(columns)
+    values = df.select(*(F.when(~missing(c.cast("double")), c.cast("double")).alias(f"v{i}") for i, c in enumerate(columns.values())))
+    slack = 2 / accuracy
+
+    def around(v: Column, spots: Sequence[float]) -> Column:
+        ends = [min(1.0, max(0.0, spot + side)) for spot in spots for side in (-slack, slack)]
+        return F.percentile_approx(v, ends, accuracy)
+
+    first = values.agg(*(
+        c.alias(f"{kind}{i}") for i in range(len(names)) for v in [F.col(f"v{i}")]
+        for kind, c in (("n", F.count(v)), ("lo", F.min(v)), ("hi", F.max(v)), ("q", around(v, probs)))
+    )).first()
+    ranks: dict[tuple[int, int], _Rank] = {}
+    for i in range(len(names)):
+        n = first[f"n{i}"]
+        for j, p in enumerate(probs):
+            for edge in (math.floor, math.ceil) if n else ():
+                k = edge((n - 1) * p)
+                r = ranks.setdefault((i, k), _Rank(f"v{i}", k, first[f"lo{i}"], first[f"hi{i}"], 0, n, (0.0, 0.0)))
+                r.narrow(*first[f"q{i}"][2 * j : 2 * j + 2])
+    while todo := [r for r in ranks.values() if r.lo < r.hi]:
+        if tried := [r for r in todo if r.inside > COLLECT_ROWS]:
+            # neighbouring ranks share their bracket
+            trials = list(dict.fromkeys((r.column, *r.trial) for r in tried))
+            counts = []
+            for column, a, b in trials:
+                v = F.col(column)
+                held = F.when(v.between(a, b), v)
+                counts += [F.count_if(v < a), F.count(held), F.min(held), F.max(held)]
+            row = values.agg(*(c.alias(str(i)) for i, c in enumerate(counts))).first()
+            for r in tried:
+                i = 4 * trials.index((r.column, *r.trial))
+                r.settle(*row[i : i + 4])
+        wanted = [r for r in todo if r.lo < r.hi]
+        picks = []
+        for r in wanted:
+            spot = (r.rank - r.below + 0.5) / r.inside
+            inside = F.when(F.col(r.column).between(r.lo, r.hi), F.col(r.column))
+            picks.append(_at_share(r.column, r.lo, r.hi, spot) if r.inside <= COLLECT_ROWS else around(inside, [spot]))
+        row = values.agg(*(c.alias(str(i)) for i, c in enumerate(picks))).first() if picks else []
+        for found, r in zip(row, wanted):
+            if r.inside <= COLLECT_ROWS:
+                r.lo = r.hi = found
+            else:
+                r.narrow(*found)
+
+    def value(i: int, p: float) -> float:
+        spot = (first[f"n{i}"] - 1) * p
+        low, high = ranks[i, math.floor(spot)].lo, ranks[i, math.ceil(spot)].lo
+        return low if low == high else low + (spot - math.floor(spot)) * (high - low)
+
+    return {c: [value(i, p) for p in probs] if first[f"n{i}"] else None for i, c in enumerate(names)}
+
+
+def _at_share(column: str, lo: float, hi: float, share: float) -> Column:
+    """The least value of [lo, hi] with at least this share of its rows at or below; an entry per distinct value."""
+    between = f"{column} BETWEEN CAST('{lo!r}' AS DOUBLE) AND CAST('{hi!r}' AS DOUBLE)"
+    return F.expr(f"percentile_disc({share!r}D) WITHIN GROUP (ORDER BY CASE WHEN {between} THEN {column} END)")
+
+
 def running_totals(
     df: DataFrame,
     order: str,

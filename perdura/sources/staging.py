@@ -21,9 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="perdura-")
-    spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="perdura-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:

@@ -47,6 +47,37 @@ def test_quantiles_leave_missing_values_out(spark):
     assert quantiles.exact_quantiles(df, "v", [0.5])[""] == [2.0]
 
 
+@pytest.mark.parametrize("most, accuracy", [(50_000, 10_000), (300, 100)])
+def test_flat_quantiles_equal_percentiles(spark, monkeypatch, most, accuracy):
+    """Several columns at once, with ties, infinite and missing values, through one and many narrowings."""
+    monkeypatch.setattr(quantiles, "COLLECT_ROWS", most)
+    rng, n, inf = np.random.default_rng(most), 3000, float("inf")
+    columns = {
+        "smooth": rng.normal(size=n), "ties": rng.integers(0, 3, n).astype(float), "two": np.repeat([1.0, 2.0], n // 2),
+        "wide": rng.lognormal(0, 30, n), "ends": np.r_[[inf] * 500, [-inf] * 500, rng.normal(size=n - 1000)],
+        "same": np.full(n, 4.0), "near": 1.0 + rng.integers(0, 9, n) * 2.0**-52,
+    }
+    rows = [(i, *map(float, r)) for i, r in enumerate(zip(*columns.values()))]
+    rows += [(n, *[float("nan")] * len(columns)), (n + 1, *[None] * len(columns))]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} double" for c in columns)).repartition(4)
+    probs = [0.0, 0.25, 0.999, 1.0] if most > 1000 else [0.3]
+    got = quantiles.flat_quantiles(df, {c: F.col(c) for c in [*columns]} | {"none": F.lit(None)}, probs, accuracy)
+    assert got.pop("none") is None
+    for c, values in columns.items():
+        values = np.sort(values)
+        for p, q in zip(probs, got[c]):
+            spot = (n - 1) * p
+            low, high = values[int(np.floor(spot))], values[int(np.ceil(spot))]
+            assert q == (low if low == high else low + (spot - np.floor(spot)) * (high - low)), (c, p)
+
+
+def test_flat_quantiles_see_a_sketch_that_misses(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "COLLECT_ROWS", 100)
+    monkeypatch.setattr(quantiles.F, "percentile_approx", lambda v, ends, a: F.array(*[F.max(v) for _ in ends]))
+    df = spark.range(500).select(F.col("id").cast("double").alias("v"))
+    assert quantiles.flat_quantiles(df, {"v": F.col("v")}, [0.1, 0.5])["v"] == pytest.approx([49.9, 249.5])
+
+
 @pytest.mark.parametrize("descending", [True, False])
 def test_running_totals_in_bins_equal_one_window(spark, descending):
     rng = np.random.default_rng(1)
