@@ -286,7 +286,7 @@ def recipe_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edition_sql(name: str, columns: Sequence[str]) -> str:
-    """An edition's rows, step by step in SQL; ``columns`` are those its variance filter leaves."""
+    """An edition's rows, step by step in SQL; a column that the variance filter drops is null."""
     r = RECIPES[name]
     stamp = "CAST(floor(last_available_timestamp / 10000000000) AS BIGINT)"
     made = "year(make_timestamp(CAST(('0x' || substr(id, 1, 8)) AS BIGINT) * 1000000))"
@@ -305,9 +305,12 @@ def _edition_sql(name: str, columns: Sequence[str]) -> str:
 
     def z(c: str) -> str:
         q = quoted[c]
-        few = f"count(DISTINCT {q}) OVER () + max(CASE WHEN {q} IS NULL THEN 1 ELSE 0 END) OVER () < 3"
+        distinct = f"(count(DISTINCT {q}) OVER () + max(CASE WHEN {q} IS NULL THEN 1 ELSE 0 END) OVER ())"
+        few, low = f"{distinct} < 3", ""
+        if (p := r.low_variance) is not None:
+            low = f"WHEN var_pop({q}) OVER () < CASE WHEN {distinct} = 2 THEN {p * (1 - p)} ELSE {p} END THEN NULL "
         return (
-            f"round(CASE WHEN {few} THEN CAST({q} AS DOUBLE) ELSE "
+            f"round(CASE {low}WHEN {few} THEN CAST({q} AS DOUBLE) ELSE "
             f"({q} - avg({q}) OVER ()) / nullif(stddev_pop({q}) OVER (), 0) END, 6) AS {q}"
         )
 
@@ -321,12 +324,8 @@ def _edition_sql(name: str, columns: Sequence[str]) -> str:
       SELECT {", ".join(map(z, columns))}, CAST(label AS DOUBLE) AS label FROM logged"""
 
 
-# The first edition's columns over the variance bound.
-EDITION_1 = ("url_depth", "has_www", "subdomain_level", "suffix")
-
-
 def _edition_columns(r: Recipe) -> list[str]:
-    """Output columns of a recipe without a variance filter, but for the label."""
+    """Output columns of a recipe before its variance filter, but for the label."""
     names = []
     for c in picked_columns(r):
         names += t.url.DUMMY_SUFFIXES if c == "suffix_idx" else [c]
@@ -337,12 +336,13 @@ def _edition_query(name: str, columns: Sequence[str]) -> None:
     @query(f"recipe_{name}", _edition_sql(name, columns))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = StudyRecipe(RECIPES[name]).fit_transform(sides_of_study(spark, sf_dir))
-        return out.select(*(F.round(F.col(c).cast("double"), 6).alias(c) for c in out.columns))
+        made = {c: F.col(c) if c in out.columns else F.lit(None) for c in (*columns, "label")}
+        return out.select(*(F.round(v.cast("double"), 6).alias(c) for c, v in made.items()))
 
 
 for _name, _recipe in RECIPES.items():
     if _name.startswith("edition"):
-        _edition_query(_name, _edition_columns(_recipe) if _recipe.low_variance is None else EDITION_1)
+        _edition_query(_name, _edition_columns(_recipe))
 
 
 # ---------------------------------------------------------------- Tobit
