@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from perdura.llm.names import unused
 from perdura.sources.staging import stage_table
 
 WINDOW = 10
@@ -216,6 +217,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     matches = stage_table(
         PhraseIndex(keyed_texts(docs), benchmark, window).phrases().select("key").distinct(), "contaminated"
     )
-    return docs.withColumn("_key", digest(F.col("text"))).join(
-        matches.withColumnRenamed("key", "_key"), "_key", "leftanti"
-    ).select(*docs.columns)
+    key = unused(docs.columns, "_key")
+    return docs.withColumn(key, digest(F.col("text"))).join(
+        matches.withColumnRenamed("key", key), key, "leftanti"
+    ).select(*[F.col(f"`{c}`") for c in docs.columns])

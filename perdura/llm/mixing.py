@@ -24,6 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from perdura.llm.names import unused
 from perdura.sources.staging import stage_table
 
 WEIGHTS = (3, 1, 2)
@@ -143,9 +144,10 @@ def _plan(rows: DataFrame, weights: Sequence[float], share: float, limit: float)
     )
 
 
-def _copies(limit: float) -> Column:
-    again = F.when((F.col("hash") < F.col("below")) & (F.col("times") < limit), 1).otherwise(0)
-    return (F.col("times") + again).cast("long")
+def _copies(limit: float, hash_: str = "hash", plan: str = "") -> Column:
+    below, times = F.col(f"{plan}below"), F.col(f"{plan}times")
+    again = F.when((F.col(hash_) < below) & (times < limit), 1).otherwise(0)
+    return (times + again).cast("long")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
@@ -160,12 +162,20 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 def mixed_documents(
     docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, limit: float = LIMIT
 ) -> DataFrame:
-    """The rows of docs that the mix takes, with mix_size, mix_target and mix_copies beside their columns."""
-    plan = _plan(sized(docs), weights, share, limit).select("of", F.col("target").alias("mix_target"), "times", "below")
-    rows = docs.withColumns({"mix_size": size_of(F.col("text")), "hash": row_hash()})
+    """The rows of docs that the mix takes, with mix_size, mix_target and mix_copies beside their columns.
+
+    Columns of docs that have one of these three names are replaced; all others stay.
+    """
+    made = ("mix_size", "mix_target", "mix_copies")
+    kept = [c for c in docs.columns if c.lower() not in made]
+    found, name = unused(docs.columns, "_plan"), unused(docs.columns, "_hash")
+    plan = _plan(sized(docs), weights, share, limit).select(F.struct("of", "target", "times", "below").alias(found))
+    rows = docs.withColumn(name, row_hash())
     return (
-        rows.join(plan, _same(F.col("source").cast("string"), F.col("of")))
-        .withColumn("mix_copies", _copies(limit))
-        .where("mix_copies > 0")
-        .select(*docs.columns, "mix_size", "mix_target", "mix_copies")
+        rows.join(plan, _same(F.col("source").cast("string"), F.col(f"{found}.of")))
+        .where(_copies(limit, name, f"{found}.") > 0)
+        .select(
+            *[F.col(f"`{c}`") for c in kept], size_of(F.col("text")).alias("mix_size"),
+            F.col(f"{found}.target").alias("mix_target"), _copies(limit, name, f"{found}.").alias("mix_copies"),
+        )
     )

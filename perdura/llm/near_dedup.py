@@ -39,6 +39,7 @@ WORDS = 5
 ROWS, BANDS = 6, 32
 HASHES = ROWS * BANDS
 BLOCK, BLOCK_SHINGLES = 512, 2 << 20
+PART_BYTES = 512 << 10  # of text hashed at once
 DEVIATIONS = 5  # by which a signature may fall below the similarity asked for before its pair is confirmed
 SEED = 20240601
 
@@ -63,7 +64,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 def _sign(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 sizes, ids, signs = [], [], []
                 for shingles in shingle_hashes(*bytes_of(part.column("text")), words):
                     sizes.append(len(shingles))
@@ -81,7 +82,7 @@ def _sign(words: int):
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 sets = [s.view(np.int64) for s in shingle_hashes(*bytes_of(part.column("text")), words)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"]

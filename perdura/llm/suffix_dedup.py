@@ -32,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from perdura.llm.names import unused
 from perdura.llm.textkit import RollingHash, bytes_of, mix, slices
 from perdura.sources.staging import stage_table
 
 LENGTH, SAMPLE = 400, 32
 CELLS = (48, 6, 1)
-PART_BYTES = 2 << 20
+PART_BYTES = 512 << 10  # a dozen arrays of 8 bytes a byte are held at once
 
 U64 = np.uint64
 LOW = U64(0xFFFFFFFF)
@@ -66,17 +67,19 @@ def sampled_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, sa
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     at = (np.minimum(back[:count], ahead[width - 1 : width - 1 + count]) & LOW).astype(np.int64)
+    del place, ranked, blocks, ahead, back
     edges = np.zeros(count + 1, np.int64)
     long = np.flatnonzero(np.diff(offsets) >= length)
     np.add.at(edges, offsets[long], 1)
     np.add.at(edges, offsets[long + 1] - length + 1, -1)
     inside = np.cumsum(edges)[:count] > 0
-    owner = np.searchsorted(offsets, np.arange(count), side="right") - 1
-    changed = (at[1:] != at[:-1]) | (owner[1:] != owner[:-1]) | (inside[1:] != inside[:-1])
+    changed = (at[1:] != at[:-1]) | (inside[1:] != inside[:-1])
+    changed[offsets[(offsets > 0) & (offsets < count)] - 1] = True
     lo = np.flatnonzero(inside & np.r_[True, changed])
     hi = np.flatnonzero(inside & np.r_[changed, True])
     at = at[lo]
-    return hashes[at], _full(rolling, at, lo, hi, length), at, lo, hi, owner[lo]
+    owner = np.searchsorted(offsets, lo, side="right") - 1
+    return hashes[at], _full(rolling, at, lo, hi, length), at, lo, hi, owner
 
 
 def _full(rolling: RollingHash, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> np.ndarray:
@@ -109,15 +112,16 @@ def _bodies(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                text = row["text"].encode()
-                places = row["runs"]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["k1"]] * len(places), pa.int64()), pa.array([row["k2"]] * len(places), pa.int64()),
-                     *(pa.array([p[c] for p in places], pa.int32()) for c in ("at", "lo", "hi")),
-                     pa.array([text[p["lo"] : p["hi"] + length] for p in places], pa.binary())],
-                    ["k1", "k2", "at", "lo", "hi", "body"],
-                )
+            for part in slices(batch, "text", PART_BYTES):
+                for row in part.to_pylist():
+                    text = row["text"].encode()
+                    places = row["runs"]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([row["k1"]] * len(places), pa.int64()), pa.array([row["k2"]] * len(places), pa.int64()),
+                         *(pa.array([p[c] for p in places], pa.int32()) for c in ("at", "lo", "hi")),
+                         pa.array([text[p["lo"] : p["hi"] + length] for p in places], pa.binary())],
+                        ["k1", "k2", "at", "lo", "hi", "body"],
+                    )
 
     return run
 
@@ -246,23 +250,26 @@ def without_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     without repeated bytes, null ones among them, are as before.
     """
     names = docs.columns
+    k1, k2, cuts = (unused(names, c) for c in ("_k1", "_k2", "_ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            cut = [
-                t if not r else _kept(t.encode(), r)[0].decode("utf-8", "ignore")
-                for t, r in zip(texts, batch.column("_ranges").to_pylist())
-            ]
-            columns = [pa.array(cut, pa.string()) if n == "text" else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            for part in slices(batch, "text", PART_BYTES):
+                texts = part.column("text").to_pylist()
+                cut = [
+                    t if not r else _kept(t.encode(), r)[0].decode("utf-8", "ignore")
+                    for t, r in zip(texts, part.column(cuts).to_pylist())
+                ]
+                columns = [pa.array(cut, pa.string()) if n == "text" else part.column(n) for n in names]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     found = repeated_ranges(docs, length).select(
-        F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("ranges").alias("_ranges")
+        F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("ranges").alias(cuts)
     )
     one, two = text_key()
     cleaned = (
-        docs.withColumns({"_k1": one, "_k2": two}).join(found, ["_k1", "_k2"], "left").select(*names, "_ranges")
+        docs.withColumns({k1: one, k2: two}).join(found, [k1, k2], "left")
+        .select(*[F.col(f"`{n}`") for n in names], cuts)
         .mapInArrow(run, docs.schema)
     )
     if "n_chars" in names:

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from perdura.llm import context_mixing, embedding_dedup, near_dedup, quality, toxicity, url_filter
+from perdura.llm import context_mixing, embedding_dedup, near_dedup, quality, suffix_dedup, toxicity, url_filter
 from perdura.llm.components import connected_components
 from perdura.llm.decontaminate import PhraseIndex, clean_documents, decontaminate, keyed_texts
 from perdura.llm.embedding_dedup import near_duplicate_vectors
@@ -453,3 +453,34 @@ def test_pipeline_stages_keep_the_columns(spark, tmp_path):
     ids = [r["doc_id"] for r in now.collect()]
     assert 3 not in ids and len(set(ids)) == len(ids)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(ids)
+
+
+CLASHING = ("hash", "times", "below", "of", "target", "_k1", "_K2", "_ranges", "_key", "_plan", "_hash", "mix_target")
+
+
+def test_pipeline_stages_keep_columns_with_names_of_their_own(spark, tmp_path):
+    texts = some_texts(12)
+    docs = documents(spark, texts).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHING})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, texts[3])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        rows = now.where("doc_id is not null").collect()
+        assert rows
+        for c in CLASHING[: None if name != "mix" else -1]:
+            assert c in now.columns and all(r[c] == f"{c}{r['doc_id']}" for r in rows)
+    assert all(isinstance(r["mix_target"], float) for r in rows) and len(set(now.columns)) == len(now.columns)
+
+
+def test_repeated_passages_where_a_text_exceeds_a_part(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 1 << 10)
+    rng = random.Random(21)
+    passage = "".join(rng.choice("abc ") for _ in range(700))
+    noise = lambda n: "".join(rng.choice("defghi ") for _ in range(n))
+    texts = [noise(9000) + passage + noise(3000), noise(500), passage, "", noise(50) + passage[:399], noise(4000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["n_removed"] for r in removed_passages(docs).collect()}
+    assert got == {0: 700, 1: 0, 2: 700, 3: 0, 4: 0, 5: 0}
