@@ -98,17 +98,47 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     )
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows of pairs whose sets a and b share at least percent/100 of their union."""
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
-    other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
+def _close(near: int, columns: list[str]):
+    """The pairs whose signatures agree in `near` places or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, other = (
+                bytes_of(batch.column(c))[0].view(np.uint32).reshape(-1, HASHES) for c in ("sign_a", "sign_b")
+            )
+            yield batch.select(columns).filter(pa.array((one == other).sum(axis=1) >= near))
+
+    return run
+
+
+def confirm(pairs: DataFrame, signs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of pairs whose sets a and b share at least percent/100 of their union.
+
+    Pairs with distant signatures go first; of the sets only those of the pairs left are moved.
+    """
+    schema = ", ".join(f"{c} long" for c in pairs.columns)
+    near = stage_table(
+        pairs.join(signs.toDF("b", "sign_b"), "b").join(signs.toDF("a", "sign_a"), "a")
+        .select(*pairs.columns, "sign_a", "sign_b").mapInArrow(_close(_near(percent), pairs.columns), schema),
+        "near",
+    )
+    ends = stage_table(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    few = sets.join(ends, "node", "leftsemi")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - shared
-    return pairs.join(other, "b").join(one, "a").where(100 * shared >= percent * union).select(
-        *pairs.columns
+    return (
+        near.join(few.select("node", "shingles").toDF("b", "set_b"), "b")
+        .join(few.select("node", "shingles").toDF("a", "set_a"), "a")
+        .where(100 * shared >= percent * union).select(*pairs.columns)
     )
 
 
+def _near(percent: int) -> int:
+    """In how many places the signatures of a pair must agree before its sets are compared."""
+    share = percent / 100
+    return int(HASHES * share - DEVIATIONS * (HASHES * share * (1 - share)) ** 0.5)
+
+
 def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
     """The components after links between them, as (at_a, at_b), have been added."""
     into = stage_table(
@@ -189,7 +219,7 @@ def _across(buckets_of: DataFrame, component: DataFrame) -> DataFrame:
 
 
 def _remaining(
-    buckets_of: DataFrame, nodes: DataFrame, sets: DataFrame, component: DataFrame, percent: int
+    buckets_of: DataFrame, signs: DataFrame, sets: DataFrame, component: DataFrame, percent: int
 ) -> DataFrame:
     """Links between components, from the buckets in which several meet.
 
@@ -205,16 +235,16 @@ def _remaining(
     )
     rows = (
         placed.drop("size").join(mixed, "key")
-        .join(nodes.select("node", "signature"), "node")
+        .join(signs, "node")
         .join(sets, "node")
         .withColumn("block", F.expr("cast(pmod(xxhash64(node, key), blocks) as int)"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .withColumn("i", F.least("block", "other"))
         .withColumn("j", F.greatest("block", "other"))
     )
-    share = percent / 100
-    near = int(HASHES * share - DEVIATIONS * (HASHES * share * (1 - share)) ** 0.5)
-    return rows.groupBy("key", "band", "i", "j").applyInPandas(_block_links(near, percent), "at_a long, at_b long")
+    return rows.groupBy("key", "band", "i", "j").applyInPandas(
+        _block_links(_near(percent), percent), "at_a long, at_b long"
+    )
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
@@ -243,20 +273,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
         "buckets",
     )
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    wanted = stage_table(buckets_of.select("node"), "wanted")  # ids alone: 8 bytes a node
+    # repeated rows are one node: one signature and one set of it
+    signs = stage_table(nodes.join(wanted, "node", "leftsemi").select("node", "signature").distinct(), "signs")
     sets = stage_table(
-        texts.join(buckets_of.select(F.col("node").alias("doc_id")), "doc_id", "leftsemi").mapInArrow(
-            _sets(words), "node long, shingles array<long>"
-        ),
+        texts.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "leftsemi")
+        .mapInArrow(_sets(words), "node long, shingles array<long>")
+        .groupBy("node", F.xxhash64("shingles").alias("set_key")).agg(F.first("shingles").alias("shingles"))
+        .drop("set_key"),
         "sets",
     )
     first = buckets_of.where("leader <> node").select(
         F.col("leader").alias("a"), F.col("node").alias("b"), F.col("leader").alias("at_a"), F.col("node").alias("at_b")
     )
     component = classes.select("node", F.col("node").alias("component")).distinct()
-    component = _merged(component, confirm(first, sets, percent))
+    component = _merged(component, confirm(first, signs, sets, percent))
     for _ in range(2):
-        component = _merged(component, confirm(_across(buckets_of, component), sets, percent))
-    component = _merged(component, _remaining(buckets_of, nodes, sets, component, percent))
+        component = _merged(component, confirm(_across(buckets_of, component), signs, sets, percent))
+    component = _merged(component, _remaining(buckets_of, signs, sets, component, percent))
 
     placed = stage_table(
         classes.join(component, "node").select("set_id", F.col("component").alias("component_id")), "placed"

@@ -484,3 +484,23 @@ def test_repeated_passages_where_a_text_exceeds_a_part(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     got = {r["doc_id"]: r["n_removed"] for r in removed_passages(docs).collect()}
     assert got == {0: 700, 1: 0, 2: 700, 3: 0, 4: 0, 5: 0}
+
+
+def test_repeated_rows_are_one_node(spark, monkeypatch):
+    most = []
+    confirm = near_dedup.confirm
+
+    def counted(pairs, signs, sets, percent):
+        most.append((signs.count(), sets.count()))
+        return confirm(pairs, signs, sets, percent)
+
+    monkeypatch.setattr(near_dedup, "confirm", counted)
+    words = [f"w{i}" for i in range(300)]
+    near, far = [*words[:299], "other"], [f"v{i}" for i in range(300)]
+    texts = {1: " ".join(words), 2: " ".join(near), 3: " ".join(far)}
+    rows = [(1, texts[1])] * 5000 + [(2, texts[2])] * 5000 + [(3, texts[3])]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85)
+    counts = {(r["doc_id"], r["component_id"], r["kept"]): r["count"]
+              for r in got.groupBy("doc_id", "component_id", "kept").count().collect()}
+    assert counts == {(1, 1, True): 5000, (2, 1, False): 5000, (3, 3, True): 1}
+    assert set(most) == {(2, 2)}
