@@ -11,17 +11,36 @@ from pyspark.sql import functions as F
 
 from perdura.operators.aggregates import present
 from perdura.functions.probability import chi_square_upper, t_two_sided
-from perdura.operators.moments import gram
+from perdura.operators.moments import sum_over_rows
 
 
-def correlations(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, float]:
-    """Pearson matrix over complete rows, NaN for constant columns, and the rows."""
-    stats = gram(df, columns[:-1], columns[-1])[0]
-    c = stats.centred
-    spread = np.sqrt(np.diag(c))
+NOISE = 1e-13  # spread below this share of the squares summed is rounding, so the column is constant
+
+
+def correlations(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Pearson matrix and rows of each pair, over the rows in which both values are present.
+
+    One scan sums the masked cross products. NaN where one of the two is constant in the pair's rows.
+    """
+    names = list(columns)
+    size = len(names)
+    doubles = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+    means = doubles.agg(*[F.avg(present(c)).alias(c) for c in doubles.columns]).first()
+    shift = np.array([m if m is not None and math.isfinite(m) else 0.0 for m in means])
+    if all(m is None for m in means):
+        return np.full((size, size), np.nan), np.zeros((size, size))
+
+    def kernel(rows: np.ndarray) -> np.ndarray:
+        here = ~np.isnan(rows)
+        v, mask = np.where(here, rows - shift, 0.0), here.astype(float)
+        return np.concatenate([x.ravel() for x in (mask.T @ mask, v.T @ mask, (v * v).T @ mask, v.T @ v)])[None, :]
+
+    n, first, second, cross = sum_over_rows(doubles, doubles.columns, kernel)[0].reshape(4, size, size)
     with np.errstate(divide="ignore", invalid="ignore"):
-        r = c / np.outer(spread, spread)
-    return np.clip(r, -1.0, 1.0), stats.n
+        spread = second - first * first / n  # of x in the rows of (x, y)
+        spread[~(spread > NOISE * second)] = np.nan
+        r = (cross - first * first.T / n) / np.sqrt(spread * spread.T)
+    return np.clip(r, -1.0, 1.0), n
 
 
 def corr_p_value(r: float, n: float) -> float:
@@ -58,7 +77,7 @@ def corr_pairs(
             if compat:
                 p = corr_p_value(float(np.corrcoef(r[i], r[j])[0, 1]), len(columns))
             else:
-                p = corr_p_value(float(r[i, j]), n)
+                p = corr_p_value(float(r[i, j]), float(n[i, j]))
             if level is None or p <= level / 2:
                 rows.append((a, columns[j], float(r[i, j]), p))
     return df.sparkSession.createDataFrame(rows, "x string, y string, r double, p double")
@@ -68,7 +87,7 @@ def corr_with_target(df: DataFrame, target: str, columns: Sequence[str]) -> Data
     """r and its p-value (4 decimals) of each column with the target, lowest r first."""
     r, n = correlations(df, [*columns, target])
     rows = sorted(
-        (c, float(r[i, -1]), round(corr_p_value(float(r[i, -1]), n), 4))
+        (c, float(r[i, -1]), round(corr_p_value(float(r[i, -1]), float(n[i, -1])), 4))
         for i, c in enumerate(columns)
     )
     rows.sort(key=lambda row: row[1])

@@ -398,3 +398,24 @@ def test_registered_forests_are_those_of_the_study(spark, monkeypatch):
     made.clear()
     assert catalog_models.grid_search_verbose(spark, SF).count() == 12
     assert {m.getNumTrees() for m in made} == {30} and (11, 232) in {(m.getMaxDepth(), m.getMinInstancesPerNode()) for m in made}
+
+
+def test_correlations_leave_out_missing_values_pair_by_pair(spark):
+    rng = np.random.default_rng(5)
+    whole = rng.normal(size=(400, 4)) @ rng.normal(size=(4, 4)) + 1e4
+    holes = [(0, slice(0, 90)), (1, slice(60, 200)), (2, slice(390, 400))]
+    for c, rows in holes:
+        whole[rows, c] = np.nan
+    frame = pd.DataFrame(whole, columns=list("abcd")).assign(flat=7.1, none=np.nan)
+    rows = [tuple(None if i % 2 and math.isnan(x) else float(x) for x in r) for i, r in enumerate(frame.to_numpy())]
+    names = list(frame.columns)
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(3)
+    r, n = grouptests.correlations(df, names)
+    here = frame.notna().to_numpy().astype(int)
+    assert (n == here.T @ here).all()
+    np.testing.assert_allclose(r[:4, :4], frame[list("abcd")].corr().to_numpy(), atol=1e-10)
+    assert np.isnan(r[4:]).all() and np.isnan(r[:, 4:]).all()
+    pair = grouptests.corr_pairs(df.select("a", "b"), ["a", "b"], None).first()
+    assert math.isclose(pair["p"], grouptests.corr_p_value(frame["a"].corr(frame["b"]), 200), abs_tol=1e-9)
+    empty, none = grouptests.correlations(df.limit(0), names)
+    assert np.isnan(empty).all() and not none.any()
