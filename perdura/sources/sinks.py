@@ -49,6 +49,8 @@ def cached_table(
     """Read the table at ``path``, computing and writing it when it is absent."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         compute().write.mode("errorifexists").parquet(path)
         return spark.read.parquet(path)

@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from perdura.operators import aggregates as agg
@@ -188,6 +189,12 @@ def test_cache_computes_once(spark):
     assert len(calls) == 1
 
 
+def test_cache_computes_only_where_nothing_is_stored(spark, tmp_path):
+    (tmp_path / "unfinished").mkdir()
+    with pytest.raises(AnalysisException):
+        sinks.cached_table(spark, str(tmp_path / "unfinished"), lambda: pytest.fail("computed"))
+
+
 def test_shared_folder_is_required_on_a_cluster(monkeypatch):
     from types import SimpleNamespace
 
