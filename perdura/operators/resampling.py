@@ -26,6 +26,7 @@ MOST_STRATA = 10_000
 MOST_CELLS = 1 << 21  # strata by buckets, sent to every task
 BLOCK = 50  # replicates drawn by one generator
 HELD = 8  # buckets whose draws a task keeps
+RUN = 64  # neighbouring buckets that one task holds, for they share most of their draws' path
 
 
 @dataclass(frozen=True)
@@ -35,29 +36,41 @@ class ExactDraw:
     upto: np.ndarray
     seed: int
 
-    def drawn(self, stratum: int, bucket: int, block: int) -> np.ndarray:
-        """Draws that fall into a bucket of a stratum, by replicate of the block."""
+    def drawn(self, stratum: int, bucket: int, block: int, path: dict | None = None) -> np.ndarray:
+        """Draws that fall into a bucket of a stratum, by replicate of the block.
+
+        ``path`` keeps the nodes on the way to the last bucket, for one nearby.
+        """
+        path = {} if path is None else path
+        kept = {}
         upto = self.upto[stratum]
         low, high = 0, len(upto) - 1
         count = np.full(BLOCK, upto[-1], dtype=np.int64)
         while high - low > 1:
             middle = (low + high) // 2
             whole, left = upto[high] - upto[low], upto[middle] - upto[low]
-            rng = np.random.default_rng([self.seed, block, stratum, low, high])
-            to_left = rng.binomial(count, left / whole if whole else 0.0)
+            node = (stratum, block, low, high)
+            to_left = path.get(node)
+            if to_left is None:
+                rng = np.random.default_rng([self.seed, block, stratum, low, high])
+                to_left = rng.binomial(count, left / whole if whole else 0.0)
+            kept[node] = to_left
             if bucket < middle:
                 count, high = to_left, middle
             else:
                 count, low = count - to_left, middle
+        path.clear()
+        path.update(kept)
         return count
 
-    def copies(self, stratum: int, bucket: int, block: int) -> np.ndarray:
+    def copies(self, stratum: int, bucket: int, block: int, path: dict | None = None) -> np.ndarray:
         """How often each row of a bucket is drawn: [replicates of the block, rows]."""
         rows = int(self.upto[stratum, bucket + 1] - self.upto[stratum, bucket])
         rng = np.random.default_rng([self.seed, block, stratum, bucket])
-        return np.stack(
-            [np.bincount(rng.integers(0, rows, n), minlength=rows) for n in self.drawn(stratum, bucket, block)]
-        ).astype(np.uint16 if rows < 1 << 16 else np.uint32)
+        drawn = self.drawn(stratum, bucket, block, path)
+        spots = rng.integers(0, rows, int(drawn.sum())) + np.repeat(np.arange(BLOCK) * rows, drawn)
+        counts = np.bincount(spots, minlength=BLOCK * rows).reshape(BLOCK, rows)
+        return counts.astype(np.uint16 if rows < 1 << 16 else np.uint32)
 
     def weigh(self, places: np.ndarray, numbers: np.ndarray, held: dict) -> np.ndarray:
         """[rows, numbers]: copies of rows, given (stratum, bucket, place), in the numbered replicates.
@@ -66,19 +79,24 @@ class ExactDraw:
         """
         out = np.zeros((len(places), len(numbers)))
         blocks = np.unique(numbers // BLOCK)
-        spots, which = np.unique(places[:, :2].astype(np.int64), axis=0, return_inverse=True)
-        which = which.ravel()
-        for i, (stratum, bucket) in enumerate(spots.tolist()):
+        spots, which = np.unique((places[:, 0] * MOST_CELLS + places[:, 1]).astype(np.int64), return_inverse=True)
+        for i, spot in enumerate(spots.tolist()):
+            stratum, bucket = divmod(spot, MOST_CELLS)
             mine = np.flatnonzero(which == i)
             place = places[mine, 2].astype(np.int64)
             for block in blocks.tolist():
                 key = (stratum, bucket, block)
                 if key not in held:
-                    while len(held) >= HELD * len(blocks):
-                        held.pop(next(iter(held)))
-                    held[key] = self.copies(*key)
+                    paths = held.setdefault("paths", {})
+                    while len(held) > HELD * len(blocks):
+                        held.pop(next(k for k in held if k != "paths"))
+                    held[key] = np.ascontiguousarray(self.copies(*key, paths.setdefault(block, {})).T)
                 wanted = np.flatnonzero(numbers // BLOCK == block)
-                out[np.ix_(mine, wanted)] = held[key][np.ix_(numbers[wanted] % BLOCK, place)].T
+                copies, own = held[key][place], numbers[wanted] % BLOCK
+                if len(own) < BLOCK or (np.diff(own) != 1).any() or (np.diff(wanted) != 1).any():
+                    out[np.ix_(mine, wanted)] = copies[:, own]
+                else:
+                    out[mine, wanted[0] : wanted[0] + BLOCK] = copies
         return out
 
 
@@ -108,6 +126,7 @@ def stratified_places(
     upto = np.zeros((len(values), buckets + 1), dtype=np.int64)
     for r in placed.groupBy("_stratum", "_bucket").count().toLocalIterator():
         upto[r["_stratum"], r["_bucket"] + 1] = r["count"]
-    order = Window.partitionBy("_stratum", "_bucket").orderBy("_share", *keys)
-    rows = placed.withColumn("_place", F.row_number().over(order) - 1).drop("_share")
+    runs = placed.withColumn("_run", F.floor(F.col("_bucket") / RUN)).repartition("_stratum", "_run")
+    order = Window.partitionBy("_stratum", "_run", "_bucket").orderBy("_share", *keys)
+    rows = runs.withColumn("_place", F.row_number().over(order) - 1).drop("_share", "_run")
     return rows, ExactDraw(np.cumsum(upto, axis=1), seed)
