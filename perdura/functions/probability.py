@@ -73,6 +73,28 @@ def log_ndtr(x: np.ndarray) -> np.ndarray:
     return log_ndtr_and_mills(x)[0]
 
 
+FIFTH_DERIVATIVE = 0.26  # no fifth derivative of the log of the normal CDF is larger
+_FAR_LEFT = -25.0
+
+
+def log_ndtr_derivatives(x: np.ndarray) -> list[np.ndarray]:
+    """log of the normal CDF and its first four derivatives."""
+    value, one = log_ndtr_and_mills(x)
+    # far left the recurrences cancel; a series in 1 / x^2 takes over
+    far = np.flatnonzero(x < _FAR_LEFT)
+    bend = x + 2 * one
+    two = -one * (x + one)
+    three = -one - bend * two
+    four = -2 * two * (1 + two) - bend * three
+    if len(far):
+        z = x[far]
+        t = 1 / (z * z)
+        two[far] = -1 + t - 6 * t**2 + 50 * t**3 - 518 * t**4
+        three[far] = (-2 * t + 24 * t**2 - 300 * t**3 + 4144 * t**4) / z
+        four[far] = 6 * t**2 - 120 * t**3 + 2100 * t**4
+    return [value, one, two, three, four]
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (modified Lentz)."""
     tiny = 1e-300

@@ -10,6 +10,11 @@ scan returns log-likelihood, gradient and Hessian for many parameter vectors, so
 a whole grid, all folds or all bootstrap replicates advance together. The driver
 holds a few numbers per vector and takes proximal Newton steps, which keep the
 L1 part exact (zeros are exact zeros).
+
+Vectors near a known fit need no scan of their own: one scan expands the censored
+rows' log-likelihood about that fit, per sample, and all vectors climb the
+expansion. A bound on what the expansion leaves out, from the largest values of
+the rows, says which vectors it serves; the others go on with scans.
 """
 
 from __future__ import annotations
@@ -17,9 +22,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -28,19 +35,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from perdura.functions.numeric import hash_fraction, linear_prediction
-from perdura.functions.probability import LOG_SQRT_2PI, log_ndtr, log_ndtr_and_mills
+from perdura.functions.probability import (
+    FIFTH_DERIVATIVE,
+    LOG_SQRT_2PI,
+    log_ndtr,
+    log_ndtr_and_mills,
+    log_ndtr_derivatives,
+)
 from perdura.operators.caching import cached
 from perdura.operators.moments import sum_over_rows
 from perdura.operators.resampling import stratified_places
 
 CELLS_PER_BLOCK = 32_768  # arrays of this size stay in the processor's cache
 SMALLEST_SIGMA = 1e-15
+EXPAND_FROM = 100_000  # fewer censored rows are scanned instead: an expansion would serve few vectors
+MOST_MOMENTS = 512  # sums a sample's expansion may take
+FARTHEST = 1.0  # most a row's argument may move from the centre of an expansion
+TINY = 1e-13  # gain, relative to the objective, at which a climb that costs no scan ends
+CLOSE = 1e-8  # error of a parameter, relative to 1 + its size, that an expansion may leave
+WEIGHTED_CELLS = 131_072  # rows by samples weighed at once
 
 # P(X <= k) of the Poisson(1) law as 64-bit integers; beyond k = 15 it rounds to 1
 POISSON_BOUNDS = [
     np.uint64(min(int(2**64 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))), 2**64 - 1))
     for k in range(16)
 ]
+_BOUNDS = np.array(POISSON_BOUNDS, np.uint64)
+_UNDECIDED = 255
+
+
+def _count_table() -> np.ndarray:
+    """Draw by the 16 upper bits of its hash, where these decide it."""
+    low = np.arange(1 << 16, dtype=np.uint64) << np.uint64(48)
+    first = np.searchsorted(_BOUNDS, low, side="right")
+    last = np.searchsorted(_BOUNDS, low | np.uint64((1 << 48) - 1), side="right")
+    return np.where(first == last, first, _UNDECIDED).astype(np.uint8)
+
+
+_COUNTS = _count_table()
 
 
 @dataclass(frozen=True)
@@ -80,8 +112,8 @@ class Sums:
         )
 
 
-def block_rows(width: int) -> int:
-    return max(64, min(4096, CELLS_PER_BLOCK // width))
+def block_rows(width: int, cells: int = CELLS_PER_BLOCK) -> int:
+    return max(64, min(4096, cells // width))
 
 
 def _mirror(upper: np.ndarray) -> np.ndarray:
@@ -109,7 +141,7 @@ def cross_products(
 
     out = np.zeros((int(numbers.max()) + 1, size, size))
     if df is not None:
-        block = block_rows(len(numbers) + len(pairs[0]))
+        block = block_rows(len(numbers) + len(pairs[0]), WEIGHTED_CELLS)
         sums = sum_over_rows(df, [*features, label, *extra], kernel, block)
         for number, row in zip(numbers, sums):
             out[number][pairs] = row
@@ -193,6 +225,138 @@ def censored_rows(
     return Sums(out[:, 0], out[:, 1 : 1 + m + 1], _mirror(hessian))
 
 
+class Expansion:
+    """Fourth-order expansion of the censored rows' log-likelihood about ``centre``, per sample.
+
+    With phi = (b / s, 1 / s) the argument of a row's normal CDF is u . phi, linear in phi; the
+    sums of the products of u's entries, weighted by the derivatives at the centre, are all an
+    expansion needs. ``moments`` is [samples, sums], lowest order first; ``reach`` holds the
+    largest absolute entries of u over the rows, ``rows`` the weight of each sample.
+    """
+
+    ORDER = 4
+
+    def __init__(self, centre: np.ndarray, moments: np.ndarray, rows: np.ndarray, reach: np.ndarray) -> None:
+        self.centre, self.rows, self.reach = self.natural(centre[None, :])[0], rows, reach
+        self.moments, at = [], 0
+        for picks in self.picks(len(reach)):
+            self.moments.append(moments[:, at : at + len(picks)])
+            at += len(picks)
+        self.spread = []
+        for order, picks in enumerate(self.picks(len(reach))):
+            place = {p: i for i, p in enumerate(picks)}
+            whole = np.ndindex(*[len(reach)] * order)
+            self.spread.append(np.array([place[tuple(sorted(i))] for i in whole]))
+
+    @classmethod
+    def picks(cls, size: int) -> list[list[tuple[int, ...]]]:
+        """Products of the entries of u that are summed, by order."""
+        return [list(combinations_with_replacement(range(size), k)) for k in range(cls.ORDER + 1)]
+
+    @staticmethod
+    def natural(theta: np.ndarray) -> np.ndarray:
+        s = theta[:, -1:]
+        return np.column_stack([theta[:, :-1] / s, 1 / s])
+
+    def distance(self, theta: np.ndarray) -> np.ndarray:
+        """Bound on how far any row's argument is from the centre's."""
+        return np.abs(self.natural(theta) - self.centre) @ self.reach
+
+    def sums(self, theta: np.ndarray, sample: np.ndarray) -> Sums:
+        """As :func:`censored_rows` would give; a value of minus infinity beyond FARTHEST."""
+        d = self.natural(theta) - self.centre
+        count, n = d.shape
+        t = [m[sample][:, k].reshape(count, *[n] * order) for order, (m, k) in enumerate(zip(self.moments, self.spread))]
+        third = np.einsum("kabcd,kd->kabc", t[4], d)
+        second = np.einsum("kabc,kc->kab", third, d)
+        cube = np.einsum("kabc,kc->kab", t[3], d)
+        square, straight = np.einsum("kab,kb->ka", cube, d), np.einsum("kab,kb->ka", t[2], d)
+        fourth = np.einsum("kab,kb->ka", second, d)
+        value = t[0] + ((t[1] + straight / 2 + square / 6 + fourth / 24) * d).sum(axis=1)
+        g = t[1] + straight + square / 2 + fourth / 6
+        h = t[2] + cube + second / 2
+        value = np.where(self.distance(theta) <= FARTHEST, value, -np.inf)
+        return Sums(value, *self._of_theta(theta, g, h))
+
+    def _turn(self, theta: np.ndarray) -> np.ndarray:
+        """d phi / d theta."""
+        count, n = theta.shape
+        s = theta[:, -1]
+        j = np.zeros((count, n, n))
+        j[:, np.arange(n - 1), np.arange(n - 1)] = 1 / s[:, None]
+        j[:, :-1, -1] = -theta[:, :-1] / (s * s)[:, None]
+        j[:, -1, -1] = -1 / (s * s)
+        return j
+
+    def _of_theta(self, theta: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s = theta[:, -1]
+        j = self._turn(theta)
+        hessian = np.einsum("kai,kab,kbj->kij", j, h, j)
+        bend = -g[:, :-1] / (s * s)[:, None]
+        hessian[:, :-1, -1] += bend
+        hessian[:, -1, :-1] += bend
+        hessian[:, -1, -1] += 2 * ((g[:, :-1] * theta[:, :-1]).sum(axis=1) + g[:, -1]) / s**3
+        return np.einsum("kai,ka->ki", j, g), hessian
+
+    def error(self, theta: np.ndarray, sample: np.ndarray, hessian: np.ndarray) -> np.ndarray:
+        """Bound on the gradient left out, as the largest step it makes in a parameter.
+
+        ``hessian`` is that of all rows and the penalty, of the function to be minimised.
+        """
+        far = self.distance(theta)
+        left_out = FIFTH_DERIVATIVE / 24 * (self.rows[sample] * far**4)[:, None] * self.reach
+        pull = np.einsum("kai,ka->ki", np.abs(self._turn(theta)), left_out)
+        step = np.einsum("kij,kj->ki", np.abs(np.linalg.pinv(hessian, hermitian=True)), pull)
+        worst = (step / (1 + np.abs(theta))).max(axis=1)
+        return np.where(far <= FARTHEST, worst, np.inf)
+
+
+def expand(
+    df: DataFrame,
+    features: Sequence[str],
+    label: str,
+    centre: np.ndarray,
+    limits: Censoring,
+    reach: np.ndarray,
+    extra: Sequence[str] = (),
+    weights: Weighting | None = None,
+) -> Expansion:
+    """The expansion of the censored rows about ``centre``, by one scan for all samples."""
+    p = len(features)
+    size = p + 2
+    phi = Expansion.natural(np.asarray(centre, float)[None, :])[0]
+    picks = Expansion.picks(size)
+    # each product is one of the order below times one more entry
+    steps = []
+    for lower, upper in zip(picks, picks[1:]):
+        place = {q: i for i, q in enumerate(lower)}
+        steps.append((np.array([place[q[:-1]] for q in upper]), np.array([q[-1] for q in upper])))
+    numbers = np.unique(weights.sample) if weights else np.arange(1)
+    length = sum(map(len, picks)) + 1
+
+    def kernel(rows: np.ndarray) -> np.ndarray:
+        sign = np.where(rows[:, p] <= limits.left, 1.0, -1.0)[:, None]
+        u = np.column_stack([-np.ones(len(rows)), -rows[:, :p], rows[:, p]]) * sign
+        terms = np.empty((len(rows), length))
+        products, at = np.ones((len(rows), 1)), 0
+        for order, bend in enumerate(log_ndtr_derivatives(u @ phi)):
+            if order:
+                below, entry = steps[order - 1]
+                products = products[:, below] * u[:, entry]
+            np.multiply(products, bend[:, None], out=terms[:, at : at + products.shape[1]])
+            at += products.shape[1]
+        terms[:, at] = 1.0
+        if weights is None:
+            return terms.sum(axis=0)[None, :]
+        return weights.weigh(rows[:, p + 1 :], numbers).T @ terms
+
+    block = block_rows(len(numbers) + length, WEIGHTED_CELLS)
+    sums = sum_over_rows(df, [*features, label, *extra], kernel, block)
+    out = np.zeros((int(numbers.max()) + 1, length))
+    out[numbers] = sums
+    return Expansion(np.asarray(centre, float), out[:, :-1], out[:, -1], reach)
+
+
 def penalty(theta: np.ndarray, l1: np.ndarray, l2: np.ndarray) -> np.ndarray:
     return l1 * np.abs(theta).sum(axis=-1) + l2 * (theta**2).sum(axis=-1) / 2
 
@@ -324,7 +488,8 @@ class TobitRows:
 
     Use as a context. Features are taken as they are; scale them first, both for
     the penalty's sake and for the precision of the cross products. Callers whose
-    features are costly to derive write them to a table first.
+    features are costly to derive write them to a table first. ``spread=False``
+    leaves the rows in the partitions and order in which they come.
     """
 
     def __init__(
@@ -334,8 +499,9 @@ class TobitRows:
         label: str,
         limits: Censoring,
         extra: dict[str, Column] | None = None,
+        spread: bool = True,
     ) -> None:
-        self.features, self.label, self.limits = list(features), label, limits
+        self.features, self.label, self.limits, self.spread = list(features), label, limits, spread
         self.extra = list(extra or {})
         picked = [F.col(c).cast("double").alias(c) for c in (*self.features, label)]
         picked += [c.cast("double").alias(n) for n, c in (extra or {}).items()]
@@ -343,14 +509,18 @@ class TobitRows:
 
     def __enter__(self) -> TobitRows:
         held = self.limits.censored(F.col(self.label))
-        self.df = cached(self.df)
+        self.df = cached(self.df) if self.spread else self.df.persist(StorageLevel.MEMORY_AND_DISK)
         self.exact, self.censored = self.df.filter(~held), self.df.filter(held)
         counts = self.df.agg(
-            F.count_if(~held).alias("exact"), F.count_if(held).alias("censored")
+            F.count_if(~held).alias("exact"),
+            F.count_if(held).alias("censored"),
+            *[F.max(F.when(held, F.abs(c))).alias(f"_most_{i}") for i, c in enumerate((*self.features, self.label))],
         ).first()
         if not counts["exact"] + counts["censored"]:
             raise ValueError("no complete rows")
         self.any_exact, self.any_censored = counts["exact"] > 0, counts["censored"] > 0
+        self._many = counts["censored"] >= EXPAND_FROM
+        self._reach = np.array([1.0, *[counts[f"_most_{i}"] or 0.0 for i in range(len(self.features) + 1)]])
         self._plain = self._products(self.exact, self.any_exact)
         return self
 
@@ -390,6 +560,29 @@ class TobitRows:
             self.censored, self.features, self.label, theta, self.limits, self.extra, weights
         )
 
+    def expansion(self, centre: np.ndarray, weights: Weighting | None = None) -> Expansion | None:
+        """None where there are few rows to expand, or it would take too many sums."""
+        if not self._many or math.comb(len(self._reach) + Expansion.ORDER, Expansion.ORDER) > MOST_MOMENTS:
+            return None
+        return expand(
+            self.censored, self.features, self.label, centre, self.limits, self._reach, self.extra, weights
+        )
+
+    def values(self, theta: np.ndarray, centre: np.ndarray, weights: Weighting | None = None) -> np.ndarray:
+        """Log-likelihood of vectors around ``centre``; a scan serves those that are too far off."""
+        products, near = self.products(weights), self.expansion(centre, weights)
+        sample = weights.sample if weights else np.zeros(len(theta), int)
+        if near is None:
+            return self.sums(theta, products, weights).value
+        known = exact_rows(products[sample], theta)
+        value = known.value + near.sums(theta, sample).value
+        left_out = FIFTH_DERIVATIVE / 120 * near.rows[sample] * near.distance(theta) ** 5
+        far = np.flatnonzero(~(left_out <= CLOSE * (1 + np.abs(value))) | ~np.isfinite(value))
+        if len(far):
+            part = Weighting(weights.weigh, sample[far]) if weights else None
+            value[far] = self.sums(theta[far], products, part).value
+        return value
+
     def fit(
         self,
         settings: Sequence[tuple[float, float]],
@@ -398,8 +591,9 @@ class TobitRows:
         fixed_sigma: bool = False,
         max_iter: int = 100,
         tol: float = 1e-9,
+        centre: np.ndarray | None = None,
     ) -> list[TobitFit]:
-        """Fit all (C, alpha) settings together."""
+        """Fit all (C, alpha) settings together; ``centre`` is a parameter vector near the optima, if one is known."""
         start = self.start() if start is None else np.asarray(start, float)
         theta0 = np.broadcast_to(start, (len(settings), len(self.features) + 2)).copy()
         c = np.array([s[0] for s in settings], float)
@@ -410,9 +604,26 @@ class TobitRows:
             part = Weighting(weights.weigh, weights.sample[ids]) if weights else None
             return self.sums(theta, products, part)
 
-        theta, objective, scans = maximise(
-            evaluate, theta0, c, alpha, fixed_sigma, max_iter, tol
-        )
+        near = self.expansion(centre, weights) if centre is not None else None
+        if near is None:
+            theta, objective, scans = maximise(evaluate, theta0, c, alpha, fixed_sigma, max_iter, tol)
+        else:
+            sample = weights.sample if weights else np.zeros(len(settings), int)
+
+            def climb(theta: np.ndarray, ids: np.ndarray) -> Sums:
+                return exact_rows(products[sample[ids]], theta) + near.sums(theta, sample[ids])
+
+            theta, objective, scans = maximise(climb, theta0, c, alpha, fixed_sigma, max_iter, TINY)
+            scans[:] = 1
+            bent = _convex(-climb(theta, np.arange(len(theta))).hessian)
+            bent += (c * (1 - alpha))[:, None, None] * np.eye(theta.shape[1])
+            far = np.flatnonzero(~(near.error(theta, sample, bent) <= CLOSE))
+            if len(far):
+                begin = np.where((near.distance(theta[far]) <= FARTHEST)[:, None], theta[far], theta0[far])
+                theta[far], objective[far], more = maximise(
+                    lambda t, ids: evaluate(t, far[ids]), begin, c[far], alpha[far], fixed_sigma, max_iter, tol
+                )
+                scans[far] += more
         cost = penalty(theta, c * alpha, c * (1 - alpha))
         return [
             TobitFit(
@@ -455,14 +666,16 @@ def tobit_grid(
     extra = {"_fold": fold} if fold is not None else None
     with TobitRows(df, features, label, limits, extra) as rows:
         # one vector is cheap to scan for, so all start at the unpenalised fit
-        fits = rows.fit(settings, rows.fit([(0.0, 1.0)])[0].theta)
+        centre = rows.fit([(0.0, 1.0)])[0].theta
+        fits = rows.fit(settings, centre, centre=centre)
         if fold is None:
             return [(f, None) for f in fits]
         held = np.tile(np.arange(folds), len(settings))
         start = np.repeat([f.theta for f in fits], folds, axis=0)
         repeated = [s for s in settings for _ in range(folds)]
-        parts = rows.fit(repeated, start, Weighting(_outside, held))
-        scores = held_out_loglik(rows, parts, held).reshape(len(settings), folds)
+        parts = rows.fit(repeated, start, Weighting(_outside, held), centre=centre)
+        theta = np.array([f.theta for f in parts])
+        scores = rows.values(theta, centre, Weighting(_inside, held)).reshape(len(settings), folds)
         return [(f, float(m)) for f, m in zip(fits, scores.mean(axis=1))]
 
 
@@ -493,9 +706,9 @@ def poisson_counts(row_bits: np.ndarray, replicates: np.ndarray, seed: int) -> n
         h ^= h >> np.uint64(27)
         h *= np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(31)
-    counts = np.zeros(h.shape, np.uint8)
-    for bound in POISSON_BOUNDS:
-        counts += h >= bound
+    counts = _COUNTS[h >> np.uint64(48)]
+    left = np.nonzero(counts == _UNDECIDED)
+    counts[left] = np.searchsorted(_BOUNDS, h[left], side="right")
     return counts.astype(float)
 
 
@@ -526,7 +739,7 @@ def bootstrap(
         start = rows.fit([setting])[0].theta
         for first in range(0, replicates, batch):
             size = min(batch, replicates - first)
-            out += rows.fit([setting] * size, start, Weighting(draw, np.arange(size)))
+            out += rows.fit([setting] * size, start, Weighting(draw, np.arange(size)), centre=start)
     return out
 
 
@@ -540,7 +753,7 @@ class Replicate:
     loglik: float
 
 
-def fit_quality(rows: TobitRows, fits: Sequence[TobitFit]) -> list[Replicate]:
+def fit_quality(rows: TobitRows, fits: Sequence[TobitFit], centre: np.ndarray) -> list[Replicate]:
     """Pseudo R2 and RMSE of each fit, from the cross products of all rows, and their log-likelihood."""
     whole = rows.whole_products()
     n, theta = whole[0, 0], np.array([f.theta for f in fits])
@@ -552,7 +765,7 @@ def fit_quality(rows: TobitRows, fits: Sequence[TobitFit]) -> list[Replicate]:
     of_label = yy / n - (xy[0] / n) ** 2
     with np.errstate(invalid="ignore", divide="ignore"):
         pseudo = np.where((spread > 0) & (of_label > 0), covariance**2 / (spread * of_label), np.nan)
-    loglik = rows.sums(theta, rows.products()).value
+    loglik = rows.values(theta, centre)
     return [Replicate(*r) for r in zip(fits, map(float, pseudo), map(float, np.sqrt(mse)), map(float, loglik))]
 
 
@@ -578,7 +791,7 @@ def stratified_bootstrap(
     places, draw = stratified_places(kept, by, keys, seed)
     extra = {c: F.col(c) for c in ("_stratum", "_bucket", "_place")}
     fits: list[TobitFit] = []
-    with TobitRows(places, features, label, limits, extra) as rows:
+    with TobitRows(places, features, label, limits, extra, spread=False) as rows:
         start = rows.fit([setting])[0].theta
         for first in range(0, replicates, batch):
             size = min(batch, replicates - first)
@@ -586,8 +799,8 @@ def stratified_bootstrap(
             def weigh(more: np.ndarray, numbers: np.ndarray, first: int = first, held: dict = {}) -> np.ndarray:  # noqa: B006
                 return draw.weigh(more, numbers + first, held)
 
-            fits += rows.fit([setting] * size, start, Weighting(weigh, np.arange(size)))
-        return fit_quality(rows, fits)
+            fits += rows.fit([setting] * size, start, Weighting(weigh, np.arange(size)), centre=start)
+        return fit_quality(rows, fits, start)
 
 
 def row_loglik(prediction: Column, label: Column, sigma: float, limits: Censoring) -> Column:
