@@ -36,6 +36,10 @@ class ExactDraw:
     upto: np.ndarray
     seed: int
 
+    def in_runs(self) -> bool:
+        """Whether neighbouring buckets were dealt to tasks together."""
+        return self.upto.shape[1] - 1 > RUN
+
     def drawn(self, stratum: int, bucket: int, block: int, path: dict | None = None) -> np.ndarray:
         """Draws that fall into a bucket of a stratum, by replicate of the block.
 
@@ -126,7 +130,9 @@ def stratified_places(
     upto = np.zeros((len(values), buckets + 1), dtype=np.int64)
     for r in placed.groupBy("_stratum", "_bucket").count().toLocalIterator():
         upto[r["_stratum"], r["_bucket"] + 1] = r["count"]
-    runs = placed.withColumn("_run", F.floor(F.col("_bucket") / RUN)).repartition("_stratum", "_run")
-    order = Window.partitionBy("_stratum", "_run", "_bucket").orderBy("_share", *keys)
+    runs = placed.withColumn("_run", F.floor(F.col("_bucket") / RUN))
+    if buckets > RUN:
+        runs = runs.repartition("_stratum", "_run")
+    order = Window.partitionBy("_stratum", *(["_run"] if buckets > RUN else []), "_bucket").orderBy("_share", *keys)
     rows = runs.withColumn("_place", F.row_number().over(order) - 1).drop("_share", "_run")
     return rows, ExactDraw(np.cumsum(upto, axis=1), seed)

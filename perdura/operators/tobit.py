@@ -791,7 +791,7 @@ def stratified_bootstrap(
     places, draw = stratified_places(kept, by, keys, seed)
     extra = {c: F.col(c) for c in ("_stratum", "_bucket", "_place")}
     fits: list[TobitFit] = []
-    with TobitRows(places, features, label, limits, extra, spread=False) as rows:
+    with TobitRows(places, features, label, limits, extra, spread=not draw.in_runs()) as rows:
         start = rows.fit([setting])[0].theta
         for first in range(0, replicates, batch):
             size = min(batch, replicates - first)
