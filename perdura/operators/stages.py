@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml import Estimator
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -10,6 +9,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from perdura.operators.caching import cached
 from perdura.operators.evaluate import rmse
 
 
@@ -34,7 +34,7 @@ class DeviationEvaluator(Evaluator, DefaultParamsReadable, DefaultParamsWritable
 
 
 class DeviationCrossValidator:
-    """Score every setting on every fold; training rows are cached per fold."""
+    """Score every setting on every fold; the rows are cached once, for all folds."""
 
     def __init__(
         self, estimator: Estimator, evaluator: Evaluator, settings: list[dict], foldCol: str
@@ -43,17 +43,17 @@ class DeviationCrossValidator:
         self.settings, self.fold = settings, foldCol
 
     def scores(self, df: DataFrame) -> DataFrame:
-        folds = [r[0] for r in df.select(self.fold).distinct().limit(1001).collect()]
+        kept = cached(df)
+        folds = [r[0] for r in kept.select(self.fold).distinct().limit(1001).collect()]
         if len(folds) > 1000:
             raise ValueError("more than 1000 folds")
         rows = []
         for fold in sorted(folds):
-            train = df.filter(F.col(self.fold) != fold).persist(StorageLevel.MEMORY_AND_DISK)
-            held = df.filter(F.col(self.fold) == fold)
+            train, held = kept.filter(F.col(self.fold) != fold), kept.filter(F.col(self.fold) == fold)
             for setting in self.settings:
                 params = {self.estimator.getParam(k): v for k, v in setting.items()}
                 model = self.estimator.fit(train, params)
                 text = ",".join(f"{k}={setting[k]}" for k in sorted(setting))
                 rows.append((text, int(fold), self.evaluator.evaluate(model.transform(held))))
-            train.unpersist()
+        kept.unpersist()
         return df.sparkSession.createDataFrame(rows, "setting string, fold int, score double")

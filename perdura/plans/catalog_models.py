@@ -867,7 +867,7 @@ def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("custom_stage")
 def custom_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A custom estimator, evaluator and cross-validator working together."""
-    rows = scaled_lines(spark, sf_dir).withColumn("fold", fold_column(LINE_KEYS, 3))
+    rows = scaled_lines(spark, sf_dir).select(*LINE_X, "label", fold_column(LINE_KEYS, 3).alias("fold"))
     validator = DeviationCrossValidator(
         estimator=tobit.TobitRegression(features=list(LINE_X), censorRight=30.0),
         evaluator=DeviationEvaluator(),
