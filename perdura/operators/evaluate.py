@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,31 @@ def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
     )
 
 
+def grouped_metrics(
+    df: DataFrame, n: str, mean: str, variance: str, prediction: str, keys: Sequence[str] = ()
+) -> DataFrame:
+    """regression_metrics by key from groups of rows with one prediction: their number, and mean and variance of the label."""
+    n, y, p = F.col(n), F.col(mean), F.col(prediction)
+    whole = F.sum(n)
+    means = df.groupBy(*keys).agg((F.sum(n * y) / whole).alias("_y"), (F.sum(n * p) / whole).alias("_p"))
+    rows = df.join(F.broadcast(means), list(keys)) if keys else df.crossJoin(F.broadcast(means))
+    dy, dp = y - F.col("_y"), p - F.col("_p")
+    sums = rows.groupBy(*keys).agg(
+        (F.sum(n * (F.col(variance) + (y - p) * (y - p))) / whole).alias("mse"),
+        (F.sum(n * (F.col(variance) + dy * dy)) / whole).alias("_vy"),
+        (F.sum(n * dp * dp) / whole).alias("_vp"),
+        (F.sum(n * dy * dp) / whole).alias("_cov"),
+    )
+    vy, vp, cov = F.col("_vy"), F.col("_vp"), F.col("_cov")
+    return sums.select(
+        *keys,
+        "mse",
+        F.sqrt("mse").alias("rmse"),
+        (1 - F.col("mse") / F.nullif(vy, F.lit(0.0))).alias("r2"),
+        F.when((vy > 0) & (vp > 0), cov * cov / (vy * vp)).alias("pseudo_r2"),
+    )
+
+
 def generalization_gap(scores: DataFrame, keys: list[str], metric: str = "r2") -> DataFrame:
     """Train metric less test metric per setting, from Train / Test tagged rows."""
     train = F.max(F.when(F.col("dataset") == "Train", F.col(metric)))

@@ -608,19 +608,18 @@ def grid_search_verbose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forest settings fitted side by side, scored on train and test."""
     rows = trees.assemble(scaled_lines(spark, sf_dir), LINE_X)
     train, test = train_test_split(rows, LINE_KEYS, 0.7)
-    train = cached(train)
     settings = search.combinations({"depth": [3, 6, 11], "leaf": [100, 232]})
+    models = trees.fit_forests(train, [trees.forest(**setting) for setting in settings])
+    tagged = train.withColumn("dataset", F.lit("Train")).unionByName(test.withColumn("dataset", F.lit("Test")))
+    cells = models[0].cells_of(tagged, "dataset")
 
     def run(setting: dict) -> list[tuple]:
-        model = trees.forest(**setting).fit(train)
-        out = []
-        for tag, part in (("Train", train), ("Test", test)):
-            m = evaluate.regression_metrics(model.transform(part), "label", "prediction").first()
-            out.append((setting["depth"], setting["leaf"], tag, m["mse"], m["r2"]))
-        return out
+        scored = models[settings.index(setting)].transform(cells)
+        m = evaluate.grouped_metrics(scored, "n", "mean", "variance", "prediction", ["dataset"]).collect()
+        m = {r["dataset"]: r for r in m}
+        return [(setting["depth"], setting["leaf"], tag, m[tag]["mse"], m[tag]["r2"]) for tag in ("Train", "Test")]
 
     found = search.fit_each(settings, run)
-    train.unpersist()
     return spark.createDataFrame(
         [row for part in found for row in part],
         "depth int, leaf int, dataset string, mse double, r2 double",
@@ -846,7 +845,8 @@ def logistic_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = train_test_split(trees.assemble(scaled_lines(spark, sf_dir), LINE_X), LINE_KEYS)
     model = trees.fit_forest(train, trees.forest())
-    return evaluate.regression_metrics(model.transform(test), "label", "prediction")
+    scored = model.transform(model.cells_of(test))
+    return evaluate.grouped_metrics(scored, "n", "mean", "variance", "prediction")
 
 
 @query("feature_importance")
