@@ -8,24 +8,26 @@ odds are added up with weights that two gates choose (the byte's earlier bits; t
 longest context seen and the bit's place), and the sum is refined by a table of what
 such sums came to, by the byte's earlier bits.
 
-Counts: every distinct seven-byte window of the corpus is a row, and so is each shorter
-string that ends one; these tables grow with the text, contexts are told apart by their
-bytes, and counts are whole numbers. Level by level, from one byte of context to six,
-the strings of a context (at most 256) come together and get the log odds of their bits,
-packed into a long, and each hands them to its at most 256 extensions by a byte in front.
+Counts: every distinct seven-byte window of the corpus is counted; these counts grow with
+the text, contexts are told apart by their bytes, and counts are whole numbers. The texts
+are dealt to slices, and each slice hands on its distinct windows once, packed by bucket:
+the bucket hangs on the four nearest bytes of context, so one holds all windows of its
+contexts of four to six bytes, and their log odds come from its rows alone. Contexts of one
+to three bytes are counted level by level over the strings of five bytes, which are few,
+and come to the buckets that meet them. The log odds of a byte's bits are packed into a long.
 
 Training: documents outside fold 0 (crc32 of doc_id modulo 10). With the counts of folds
 1 to 8, fold 9 trains the weights online, in small steps over its windows, and then the
 refinement, so that both see counts that have not met their text. Partitions train apart
 and are averaged after each round. Scores use the counts of folds 1 to 9. All bits of a
-byte depend on its window alone, so each distinct window is scored once; the windows of
-a slice of documents are joined to their scores and come back by slice. A document's
-score does not depend on others outside the training folds, and a task that runs again
-gives the same.
+byte depend on its window alone, so each distinct window is scored once; the scores go
+back to the slices packed in the order in which the slice had sent its windows, without
+the windows. A document's score does not depend on others outside the training folds, and
+a task that runs again gives the same.
 
 The base score is that of a smoothed unigram model of the same tokens; words are told
-apart by 64-bit hashes. Word lists of a slice of documents are joined to the corpus
-counts by word and come back by slice; nothing that grows is broadcast.
+apart by 64-bit hashes, packed by bucket and counted as windows are; nothing that grows is
+broadcast.
 
 Rows: a null or empty text, or one without words, is the end token alone. A row without
 doc_id is held out. Without training documents c, N and V are 0 and the base score 0.
@@ -35,6 +37,7 @@ from __future__ import annotations
 
 import copy
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perdura.llm.textkit import LOWER, RollingHash, bytes_of, slices, word_spans
+from perdura.llm.textkit import LOWER, RollingHash, bytes_of, mix, slices, word_spans
 from perdura.sources.staging import stage_table
 
 FOLDS, TUNE = 10, 9
@@ -51,9 +54,19 @@ CONTEXTS = HISTORY + 1  # orders 1 to 6, and the word's beginning
 END = 0x0A
 SCALE = 15.5  # of log odds in a signed byte
 LEVELS = 33
+STEPS = 1 << 20  # of a window's score
 RATE, STEP, ROUNDS = 0.15, 4096, 2
 SLICE = 2 << 20  # of windows
-WORD_SLICE = 16 << 20
+WHOLE = 16 << 20  # of text
+LEVEL = 6  # of its compression
+HELD = 2 << 20  # windows of a slice, before they are added up
+NEAR = 3  # contexts up to these bytes are counted level by level, the others in the buckets
+BUCKETS = 256  # at least
+BUCKET_BYTES = 4 << 20  # of text, where there are more
+GROUP = 1 << 20  # windows or words that are looked at together, in whole buckets
+
+PACKED = "bucket int, slice long, n int, keys binary, fit binary, tune binary"
+VALUES = "slice long, bucket int, n int, values binary"
 
 U64 = np.uint64
 
@@ -75,8 +88,8 @@ def streams(data: np.ndarray, offsets: np.ndarray, spans: tuple) -> tuple[np.nda
     # the letters keep their order, so two masks of one byte a letter will do
     source, target = np.zeros(len(data) + 1, np.int8), np.zeros(len(out) + 1, np.int8)
     for edges, begin in ((source, start), (target, place)):
-        np.add.at(edges, begin, 1)
-        np.add.at(edges, begin + length, -1)
+        edges[begin] += 1
+        edges[begin + length] -= 1
     out[np.cumsum(target, dtype=np.int8)[:-1].astype(bool)] = data[np.cumsum(source, dtype=np.int8)[:-1].astype(bool)]
     head = np.add.outer(base[:-1], np.arange(HISTORY))
     out[head] = END
@@ -90,44 +103,132 @@ def streams(data: np.ndarray, offsets: np.ndarray, spans: tuple) -> tuple[np.nda
     return window[real[HISTORY:]], np.r_[0, np.cumsum(size)]
 
 
-def _merge(windows: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    values = np.concatenate(windows)
-    order = np.argsort(values, kind="stable")
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, rising, and the sums of their counts."""
+    values = np.concatenate(keys)
+    order = np.argsort(values, kind="stable")  # made for runs that rise
     values = values[order]
     begin = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])[: len(values)]
-    return values[begin], np.add.reduceat(np.concatenate(counts)[order], begin) if len(values) else np.zeros((0, 2), np.int64)
+    counts = np.concatenate(counts)[order]
+    return values[begin], np.add.reduceat(counts, begin, dtype=np.int64) if len(values) else counts
 
 
-def _count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows(windows, counts):
-        window, count = _merge(windows, counts)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(window.view(np.int64)), pa.array(count[:, 0].copy()), pa.array(count[:, 1].copy())], ["window", "fit", "tune"]
-        )
+def _slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts have WHOLE bytes at most, each as one compressed value."""
+    part_id, number, rest = TaskContext.get().partitionId(), 0, None
+
+    def row(part: pa.RecordBatch) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as stream:
+            stream.write_batch(part)
+        size = len(bytes_of(part.column("text"))[0])
+        rows = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([(part_id << 32) | number]), pa.array([size]), rows], ["slice", "size", "rows"])
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if rest is None else [rest, batch])
+        parts = [part for one in table.combine_chunks().to_batches() for part in slices(one, "text", WHOLE)]
+        for part in parts[:-1]:
+            yield row(part)
+            number += 1
+        rest = parts[-1] if parts else None
+    if rest is not None:
+        yield row(rest)
+
+
+def _rows_of(blob: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(blob.as_buffer()).read_next_batch()
+
+
+def _pressed(values: np.ndarray) -> bytes:
+    """The bytes of an array, first bytes first, compressed."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T), "zstd", asbytes=True)
+
+
+def _restored(blob: pa.Scalar, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(blob.as_buffer(), n * size, "zstd"), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, n).T).view(kind).ravel()
+
+
+def _rows_by_bucket(bucket: np.ndarray, slice_id: int, keys: np.ndarray, *counts: np.ndarray) -> pa.RecordBatch:
+    """A packed row for each bucket; keys come by bucket and rise in each."""
+    begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])[: len(bucket)]
+    edges = [*zip(begin, np.r_[begin[1:], len(bucket)])] if len(bucket) else []
+    binary = [pa.array([_pressed(np.diff(keys[i:j], prepend=U64(0))) for i, j in edges], pa.binary())]
+    binary += [pa.array([_pressed(c[i:j]) for i, j in edges], pa.binary()) for c in counts]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[begin].astype(np.int32)), pa.array(np.full(len(edges), slice_id)),
+         pa.array([j - i for i, j in edges], pa.int32()), *binary],
+        ["bucket", "slice", "n", "keys", "fit", "tune"][: 3 + len(binary)],
+    )
+
+
+def _turned(window: np.ndarray) -> np.ndarray:
+    """The window with its context backwards, so that the nearest byte leads; turned twice it is itself."""
+    return (((window >> U64(8)).byteswap() >> U64(16)) << U64(8)) | (window & U64(0xFF))
+
+
+def _bucket(turned: np.ndarray, buckets: int) -> np.ndarray:
+    """By the nearest bytes; those that differ in a space or end as the oldest come together."""
+    near = turned >> U64(8 * (HISTORY - NEAR))
+    near = np.where(near & U64(0xFF) == U64(END), near ^ U64(END ^ 0x20), near)
+    return (mix(near) & U64(buckets - 1)).astype(np.uint16)
+
+
+def _by_bucket(turned: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, place) of rising turned windows in the order in which they are packed."""
+    bucket = _bucket(turned, buckets)
+    place = np.argsort(bucket, kind="stable")
+    return bucket[place], place
+
+
+def _turned_streams(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    data, offsets = bytes_of(part.column("text"))
+    data = LOWER[data]
+    window, first = streams(data, offsets, word_spans(data, offsets))
+    return _turned(window), first
+
+
+def _pack_windows(buckets: int):
+    """The distinct windows of each slice with their counts in folds 1 to 8 and in the tuning fold."""
+
+    def packed(slice_id: int, rows: pa.RecordBatch) -> pa.RecordBatch:
+        keys, counts = [], []
+        for part in slices(rows, "text", SLICE):
+            turned, first = _turned_streams(part)
+            fold_of = part.column("fold").to_numpy()
+            kind = np.where(fold_of == 0, U64(2), np.where(fold_of == TUNE, U64(1), U64(0)))
+            key, n = np.unique((turned << U64(2)) | np.repeat(kind, np.diff(first)), return_counts=True)
+            keys.append(key)
+            counts.append(n.astype(np.int32))
+            if sum(map(len, keys)) > HELD:
+                keys, counts = ([x] for x in _summed(keys, counts))
+        key, n = _summed(keys, counts)
+        turned = key >> U64(2)
+        begin = np.flatnonzero(np.r_[True, turned[1:] != turned[:-1]])
+        # of held-out windows only the names
+        counts = [np.add.reduceat(np.where(key & U64(3) == kind, n, 0), begin) for kind in (U64(0), U64(1))]
+        turned = turned[begin]
+        bucket, place = _by_bucket(turned, buckets)
+        return _rows_by_bucket(bucket, slice_id, turned[place], *(c[place] for c in counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slice_id, blob in zip(batch.column("slice").to_pylist(), batch.column("rows")):
+                yield packed(slice_id, _rows_of(blob))
+
+    return run
+
 
-    windows, counts, held = [], [], 0
+def _pack_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows that come with their counts, as slice 0."""
     for batch in batches:
-        for part in slices(batch, "text", SLICE):
-            data, offsets = bytes_of(part.column("text"))
-            data = LOWER[data]
-            window, first = streams(data, offsets, word_spans(data, offsets))
-            fold_of = np.repeat(part.column("fold").to_numpy(), np.diff(first))
-            for column, mine in ((0, (fold_of != 0) & (fold_of != TUNE)), (1, fold_of == TUNE), (None, fold_of == 0)):
-                value, n = np.unique(window[mine], return_counts=True)
-                count = np.zeros((len(value), 2), dtype=np.int64)
-                if column is not None:  # of held-out windows only the names
-                    count[:, column] = n
-                windows.append(value)
-                counts.append(count)
-                held += len(value)
-            if held > 4_000_000:
-                merged = _merge(windows, counts)
-                windows, counts, held = [merged[0]], [merged[1]], len(merged[0])
-                if held > 2_000_000:
-                    yield rows(windows, counts)
-                    windows, counts, held = [], [], 0
-    if windows:
-        yield rows(windows, counts)
+        turned = _turned(batch.column("window").to_numpy().view(U64))
+        rise = np.argsort(turned)
+        bucket, place = _by_bucket(turned[rise], BUCKETS)
+        place = rise[place]
+        yield _rows_by_bucket(bucket, 0, turned[place], *(batch.column(c).to_numpy()[place] for c in ("fit", "tune")))
 
 
 def _bits(window: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -157,9 +258,7 @@ def _odds(string: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def _word_odds(string: np.ndarray, count: np.ndarray) -> np.ndarray:
     """_odds when the space or end before a word's beginning counts as one."""
-    each, place = np.unique(string, return_inverse=True)
-    total = np.zeros(len(each), dtype=np.int64)
-    np.add.at(total, place, count)
+    each, place, (total,) = _added_up(string, [count])
     return _odds(each, total)[place]
 
 
@@ -186,9 +285,6 @@ def _level(order: int):
                 word = columns[f"{kind}w"].to_numpy().copy()
                 if begins.any():
                     word[begins] = _word_odds(plain[begins], count[begins])
-                if order == HISTORY - 1:  # six letters: the order says the same
-                    whole = inside & ~begins
-                    word[whole] = odds[whole]
                 columns[f"{kind}{order}"], columns[f"{kind}w"] = pa.array(odds), pa.array(word)
             return pa.table([columns[n] for n in _columns(order)], names=_columns(order))
 
@@ -211,13 +307,39 @@ def _columns(order: int) -> list[str]:
     return ["string", "fit", "tune", *[f"{kind}{k}" for kind in "fa" for k in [*range(order + 1), "w"]]]
 
 
-def context_odds(windows: DataFrame) -> DataFrame:
-    """string (the window), fit, tune, and the packed log odds of its contexts by both counts."""
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The strings of the nearest bytes that make the buckets, with their counts."""
+    for batch in batches:
+        for table in _whole_buckets([batch]):
+            bucket = np.repeat(table.column("bucket").to_numpy(), table.column("n").to_numpy())
+            keys, fit, tune = _entries(table)
+            string, place, total = _added_up(_near_string(keys), [fit, tune])
+            where = np.zeros(len(string), np.int32)
+            where[place] = bucket
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(where), pa.array(string.view(np.int64)), *map(pa.array, total)],
+                ["bucket", "window", "fit", "tune"],
+            )
+
+
+def _near_string(turned: np.ndarray) -> np.ndarray:
+    string = _turned(turned) & U64((1 << 8 * (NEAR + 2)) - 1)
+    oldest = U64(8 * (NEAR + 1))
+    return np.where(string >> oldest == U64(END), string ^ (U64(END ^ 0x20) << oldest), string)
+
+
+def _near_odds(packed: DataFrame) -> DataFrame:
+    """bucket, near (the string of each window's nearest bytes) and the log odds of its contexts of up to NEAR bytes."""
+    near = stage_table(
+        packed.mapInArrow(_near, "bucket int, window long, fit long, tune long")
+        .groupBy("bucket", "window").agg(F.sum("fit").alias("fit"), F.sum("tune").alias("tune")),
+        "near",
+    )
     known = None
-    for order in range(HISTORY):
-        strings = windows.groupBy(F.col("window").bitwiseAND((1 << 8 * (order + 2)) - 1).alias("string")).agg(
+    for order in range(NEAR):
+        strings = near.groupBy(F.col("window").bitwiseAND((1 << 8 * (order + 2)) - 1).alias("string")).agg(
             F.sum("fit").alias("fit"), F.sum("tune").alias("tune")
-        ) if order < HISTORY - 1 else windows.withColumnRenamed("window", "string")
+        )
         if known is None:
             rows = strings.select("*", *[F.lit(0).cast("long").alias(f"{kind}w") for kind in "fa"])
         else:
@@ -230,12 +352,118 @@ def context_odds(windows: DataFrame) -> DataFrame:
         known = rows.withColumn("key", key).repartition("key").sortWithinPartitions("key").mapInArrow(
             _level(order), ", ".join(f"{n} long" for n in _columns(order))
         )
-    return known
+    end = F.col("window").bitwiseAND((1 << 8 * (NEAR + 1)) - 1).alias("string")
+    rows = near.select("bucket", F.col("window").alias("near"), end).join(known.drop("fit", "tune"), "string").drop("string")
+    return stage_table(rows, "near_odds")
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that come by bucket, in whole buckets of about GROUP windows together, if not one bucket has more."""
+    rest = None
+    for batch in chain(batches, [None]):
+        tables = [t for t in (rest, None if batch is None else pa.Table.from_batches([batch])) if t is not None and t.num_rows]
+        if not tables:
+            continue
+        table = pa.concat_tables(tables)
+        bucket = table.column("bucket").to_numpy()
+        begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        end = len(bucket) if batch is None else begin[-1]  # the last bucket may go on
+        number, start = np.r_[0, np.cumsum(table.column("n").fill_null(0).to_numpy())], 0
+        for stop in np.r_[begin[1:], len(bucket)]:
+            if start < stop <= end and (stop == end or number[stop] - number[start] >= GROUP):
+                yield table.slice(start, stop - start)
+                start = stop
+        rest = table.slice(end)
+
+
+def _entries(table: pa.Table) -> list[np.ndarray]:
+    """The keys of packed rows, and their counts, one row after the other."""
+    n = table.column("n").to_pylist()
+    columns = [[np.cumsum(_restored(blob, k, U64), dtype=U64) for blob, k in zip(table.column("keys"), n)]]
+    columns += [[_restored(b, k, np.int64) for b, k in zip(table.column(c), n)] for c in ("fit", "tune") if c in table.column_names]
+    return [np.concatenate(parts) for parts in columns]
+
+
+def _added_up(keys: np.ndarray, counts: list[np.ndarray], kind: str | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(distinct keys, rising; each entry's place among them; sums of the counts)."""
+    order = np.argsort(keys, kind=kind)
+    rising = keys[order]
+    new = np.r_[True, rising[1:] != rising[:-1]][: len(rising)]
+    begin, place = np.flatnonzero(new), np.empty(len(keys), np.uint32)
+    place[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    return rising[begin], place, [np.add.reduceat(c[order], begin) if len(begin) else c for c in counts]
+
+
+def _odds_in(turned: np.ndarray, count: np.ndarray, near: pa.Table, place: np.ndarray, kind: str) -> list[np.ndarray]:
+    """The log odds of orders 1 to HISTORY and of the word; windows distinct and rising, of whole buckets."""
+    symbol = turned & U64(0xFF)
+    far = [
+        _word_odds(((turned >> U64(8 * (HISTORY - order))) << U64(8)) | symbol, count) for order in range(NEAR, HISTORY - 1)
+    ] + [_odds(turned, count)]
+    word = near.column(f"{kind}w").to_numpy()[place]
+    inside = np.ones(len(turned), dtype=bool)
+    for letters in range(HISTORY + 1):  # windows whose word has so many
+        if letters == HISTORY:
+            word[inside] = far[-1][inside]  # six letters: the order says the same
+            break
+        oldest = (turned >> U64(8 * (HISTORY - letters))) & U64(0xFF)
+        begins = inside & ((oldest == U64(0x20)) | (oldest == U64(END)))
+        if letters >= NEAR and begins.any():
+            plain = ((turned >> U64(8 * (HISTORY + 1 - letters))) << U64(8)) | symbol
+            word[begins] = _word_odds(plain[begins], count[begins])
+        inside &= ~begins
+    return [*(near.column(f"{kind}{k}").to_numpy()[place] for k in range(NEAR)), *far, word]
+
+
+def _counted(table: pa.Table, kinds: str) -> tuple:
+    """(packed rows, turned windows, each entry's place among them, fit, tune, log odds by kind) of whole buckets."""
+    packed, near = table.filter(table.column("slice").is_valid()), table.filter(table.column("near").is_valid()).sort_by("near")
+    keys, *counts = _entries(packed)
+    turned, place, (fit, tune) = _added_up(keys, counts, "stable")
+    at = np.searchsorted(near.column("near").to_numpy(), _near_string(turned).view(np.int64))
+    odds = {kind: _odds_in(turned, fit if kind == "f" else fit + tune, near, at, kind) for kind in kinds}
+    return packed, turned, place, fit, tune, odds
+
+
+ODDS = [*range(HISTORY), "w"]
+
+
+def _odds_rows(kinds: str, tuned: bool):
+    """A row for each window, or for each that the tuning fold has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_buckets(batches):
+            _, turned, _, fit, tune, odds = _counted(table, kinds)
+            keep = tune > 0 if tuned else slice(None)
+            columns = [_turned(turned).view(np.int64), fit, tune, *(o for kind in kinds for o in odds[kind])]
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], _odds_columns(kinds))
+
+    return run
+
+
+def _odds_columns(kinds: str) -> list[str]:
+    return ["string", "fit", "tune", *[f"{kind}{k}" for kind in kinds for k in ODDS]]
+
+
+def _bucketed(packed: DataFrame, near: DataFrame) -> DataFrame:
+    rows = packed.unionByName(near, allowMissingColumns=True)
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "slice")
+
+
+def _window_odds(packed: DataFrame, near: DataFrame, kinds: str = "fa", tuned: bool = False) -> DataFrame:
+    schema = ", ".join(f"{n} long" for n in _odds_columns(kinds))
+    return _bucketed(packed, near).mapInArrow(_odds_rows(kinds, tuned), schema)
+
+
+def context_odds(windows: DataFrame) -> DataFrame:
+    """string (the window), fit, tune, and the packed log odds of its contexts by both counts."""
+    packed = stage_table(windows.select("window", "fit", "tune").mapInArrow(_pack_counted, PACKED), "windows")
+    return _window_odds(packed, _near_odds(packed))
 
 
 def _unpacked(batch: pa.RecordBatch, kind: str) -> np.ndarray:
     """(context, row, place) log odds."""
-    names = [f"{kind}{k}" for k in [*range(HISTORY), "w"]]
+    names = [f"{kind}{k}" for k in ODDS]
     return np.stack([np.ascontiguousarray(batch.column(n).to_numpy()).view(np.int8).reshape(-1, 8) for n in names])
 
 
@@ -351,9 +579,9 @@ def _added(rows: DataFrame, column: str) -> np.ndarray | None:
 
 
 def train(odds: DataFrame) -> Mixer:
-    """From context_odds."""
+    """From the log odds by the counts of folds 1 to 8."""
     mixer = Mixer()
-    tune = odds.where("tune > 0").select("string", "tune", *[f"f{k}" for k in [*range(HISTORY), "w"]])
+    tune = odds.where("tune > 0").select("string", "tune", *[f"f{k}" for k in ODDS])
     # small steps want windows of all kinds side by side
     draw = F.xxhash64("string")
     tune = stage_table(tune.repartition(draw).sortWithinPartitions(draw), "tune")
@@ -374,116 +602,114 @@ def train(odds: DataFrame) -> Mixer:
 
 
 def _window_scores(model: Mixer):
+    """log2 of the chance of each window's last byte, to each slice in the order in which it sent its windows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            window = batch.column("string")
-            value = model.log2_of(window.to_numpy().view(U64), _unpacked(batch, "a"))
-            yield pa.RecordBatch.from_arrays([window, pa.array(value)], ["window", "value"])
+        for table in _whole_buckets(batches):
+            packed, turned, place, _, _, odds = _counted(table, "a")
+            window, value = _turned(turned), np.empty(len(turned), np.int32)
+            for start in range(0, len(turned), GROUP // 4):
+                part = slice(start, start + GROUP // 4)
+                whole = np.stack([np.ascontiguousarray(o[part]).view(np.int8).reshape(-1, 8) for o in odds["a"]])
+                value[part] = np.rint(model.log2_of(window[part], whole) * STEPS)
+            yield _answers(packed, value[place])
 
     return run
 
 
-def window_scores(texts: DataFrame) -> DataFrame:
-    """window, value: log2 of the chance of each window's last byte."""
-    windows = stage_table(
-        texts.select("fold", "text").mapInArrow(_count_windows, "window long, fit long, tune long")
-        .groupBy("window").agg(F.sum("fit").alias("fit"), F.sum("tune").alias("tune")),
-        "windows",
-    )
-    odds = context_odds(windows)
-    tuned = [F.when(F.col("tune") > 0, F.col(n)).alias(n) for n in odds.columns if n.startswith("f") and n != "fit"]
-    odds = stage_table(
-        odds.select("string", "tune", *tuned, *[n for n in odds.columns if n.startswith("a")]), "context_odds"
+def _answers(packed: pa.Table, value: np.ndarray) -> pa.RecordBatch:
+    """The values of the keys of packed rows, row by row."""
+    edge = np.r_[0, np.cumsum(packed.column("n").to_numpy())]
+    values = pa.array([_pressed(value[i:j]) for i, j in zip(edge[:-1], edge[1:])], pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [*(packed.column(c).combine_chunks() for c in ("slice", "bucket", "n")), values], ["slice", "bucket", "n", "values"]
     )
-    rows = odds.select("string", *[f"a{k}" for k in [*range(HISTORY), "w"]])
-    return rows.mapInArrow(_window_scores(train(odds)), "window long, value double")
 
 
-LISTED = "block long, place int, doc_id long, held_out boolean, n_tokens long, text string, word long, n_train long, texts binary"
-KINDS = {
-    "block": pa.int64(), "place": pa.int32(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(),
-    "text": pa.string(), "word": pa.int64(), "n_train": pa.int64(), "texts": pa.binary(),
-}
+def window_scores(texts: DataFrame, buckets: int) -> DataFrame:
+    """The scores of the windows of each slice, packed by bucket."""
+    packed = stage_table(texts.mapInArrow(_pack_windows(buckets), PACKED), "windows")
+    near = _near_odds(packed)
+    model = train(_window_odds(packed, near, "f", tuned=True))
+    return _bucketed(packed, near).mapInArrow(_window_scores(model), VALUES)
 
 
-def _listed(block: int, n: int, **columns: pa.Array) -> pa.RecordBatch:
-    columns["block"] = pa.array(np.full(n, block))
-    return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, kind)).cast(kind) for c, kind in KINDS.items()], list(KINDS))
+def _tokens(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, its text, words of each text) of a slice; the end token is the word of hash 0, once for each text."""
+    words, tokens = [], []
+    for part in slices(rows, "text", SLICE // 2):
+        data, offsets = bytes_of(part.column("text"))
+        data = LOWER[data]
+        spans = word_spans(data, offsets)
+        words.append(np.diff(spans[2]))
+        tokens.append(RollingHash(data).spans(spans[0], spans[1]) | U64(1))
+    words, n = np.concatenate(words), np.arange(rows.num_rows)
+    return np.concatenate([*tokens, np.zeros(len(n), U64)]), np.r_[np.repeat(n, words), n], words
 
 
-def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each slice a row for each text, and one for each word with the texts it stands in."""
-    part_id, number = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        for whole in slices(batch, "text", WORD_SLICE):
-            block, number = (part_id << 32) | number, number + 1
-            n, folds = whole.num_rows, whole.column("fold").to_numpy()
-            words, tokens = [], []
-            for part in slices(whole, "text", SLICE):
-                data, offsets = bytes_of(part.column("text"))
-                data = LOWER[data]
-                spans = word_spans(data, offsets)
-                words.append(np.diff(spans[2]))
-                tokens.append(RollingHash(data).spans(spans[0], spans[1]) | U64(1))
-            words = np.concatenate(words)
-            yield _listed(
-                block, n, place=pa.array(np.arange(n, dtype=np.int32)), doc_id=whole.column("doc_id"),
-                held_out=pa.array(folds == 0), n_tokens=pa.array(words + 1), text=whole.column("text"),
-            )
-            # the end token is the word of hash 0, once for each text
-            token = np.concatenate([*tokens, np.zeros(n, U64)])
-            text = np.r_[np.repeat(np.arange(n), words), np.arange(n)].astype(np.uint32)
-            order = np.argsort(token, kind="stable")
-            token, text = token[order], text[order]
-            begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            known = np.add.reduceat((folds[text] != 0).astype(np.int64), begin)
-            edges = pa.array(np.r_[begin, len(token)].astype(np.int32) * 4)
-            texts = pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, edges.buffers()[1], pa.py_buffer(text.tobytes())])
-            yield _listed(block, len(begin), word=pa.array(token[begin].view(np.int64)), n_train=pa.array(known), texts=texts)
-
-
-def _slice_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of each slice; one may come again if the slice was read in pieces."""
-    for batch in batches:
-        block = batch.column("block").to_numpy()
-        for value in np.unique(block):
-            windows = []
-            for part in slices(batch.filter(pa.array(block == value)), "text", SLICE):
-                data, offsets = bytes_of(part.column("text"))
-                data = LOWER[data]
-                windows.append(np.unique(streams(data, offsets, word_spans(data, offsets))[0]))
-            window = np.unique(np.concatenate(windows)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(window), value)), pa.array(window)], ["slice", "window"])
-
-
-def _score(texts: pa.Table, values: pa.Table) -> pa.Table:
-    """Log10 probabilities of the texts of one slice from the scores of its windows."""
-    known = values.column("window").to_numpy().view(U64)
-    order = np.argsort(known)
-    known, value = known[order], values.column("value").to_numpy()[order]
-    scores = []
-    for batch in texts.combine_chunks().to_batches():
-        for part in slices(batch, "text", SLICE):
-            data, offsets = bytes_of(part.column("text"))
-            data = LOWER[data]
-            window, first = streams(data, offsets, word_spans(data, offsets))
-            each, place = np.unique(window, return_inverse=True)
-            scores.append(np.add.reduceat(value[np.searchsorted(known, each)][place], first[:-1]) * np.log10(2))
-    return texts.drop_columns(["text"]).append_column("score", pa.array(np.concatenate(scores)))
-
-
-def _base(table: pa.Table) -> pa.Table:
-    """Sums of the word scores of one slice by text."""
-    data, offsets = bytes_of(table.column("texts"))
-    text, times = np.frombuffer(data.tobytes(), dtype=np.uint32), np.diff(offsets) // 4
-    value = np.repeat(table.column("value").to_numpy(), times)
-    known = np.repeat(table.column("known").to_numpy(), times)
-    n = int(text.max()) + 1
-    return pa.table(
-        [pa.array(np.full(n, table.column("block")[0].as_py())), pa.array(np.arange(n, dtype=np.int32)),
-         pa.array(np.bincount(text, known, n).astype(np.int64)), pa.array(np.bincount(text, value, n))],
-        names=["block", "place", "n_known", "base_score"],
-    )
+def _pack_words(buckets: int):
+    """The distinct tokens of each slice with their counts outside fold 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slice_id, blob in zip(batch.column("slice").to_pylist(), batch.column("rows")):
+                rows = _rows_of(blob)
+                token, text, _ = _tokens(rows)
+                each, count = _summed([token], [(rows.column("fold").to_numpy() != 0)[text]])
+                yield _rows_by_bucket((each >> U64(48)) * U64(buckets) >> U64(16), slice_id, each, count)
+
+    return run
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """To each slice the corpus counts of its tokens; in a row without slice what they add up to, and how many there are."""
+    for packed in _whole_buckets(batches):
+        keys, count = _entries(packed)
+        _, place, (total,) = _added_up(keys, [count], "stable")
+        answers = _answers(packed, total[place])
+        yield pa.RecordBatch.from_arrays([*answers.columns, *[pa.nulls(len(answers), pa.int64())] * 2], [*answers.schema.names, "total", "met"])
+        nulls = [pa.nulls(1, kind) for kind in answers.schema.types]
+        sums = [pa.array([int(total.sum())]), pa.array([int((total > 0).sum())])]
+        yield pa.RecordBatch.from_arrays([*nulls, *sums], [*answers.schema.names, "total", "met"])
+
+
+def _base(rows: pa.RecordBatch, count: np.ndarray, total: int, spread: float) -> tuple[np.ndarray, ...]:
+    """(n_tokens, n_known, train_tokens, base_score) of the texts of a slice; count: of its distinct tokens, rising."""
+    token, text, words = _tokens(rows)
+    n, c = rows.num_rows, count[_added_up(token, [])[1]]
+    value = np.log10((c + 0.1) / spread) if total else np.zeros(len(c))
+    return words + 1, np.bincount(text, c > 0, n).astype(np.int64), np.full(n, total), np.bincount(text, value, n)
+
+
+def _score(buckets: int, total: int, spread: float):
+    """The scores of the texts of one slice, from the counts of its tokens (kind 0) and the scores of its windows (kind 1)."""
+
+    def run(texts: pa.Table, values: pa.Table) -> pa.Table:
+        rows = _rows_of(texts.column("rows")[0])
+        values = values.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+        kinds = values.column("kind").to_numpy()
+        answers = [
+            np.concatenate([_restored(b, n, kind) for b, n in zip(part.column("values"), part.column("n").to_pylist())])
+            for part, kind in ((values.filter(pa.array(kinds == 0)), np.int64), (values.filter(pa.array(kinds == 1)), np.int32))
+        ]
+        base = _base(rows, answers[0], total, spread)
+        parts, known = [], np.zeros(0, U64)
+        for part in slices(rows, "text", SLICE):
+            turned, first = _turned_streams(part)
+            each, place, _ = _added_up(turned, [])
+            parts.append((each, place, first[:-1]))
+            known = np.sort(np.concatenate([known, each]))
+            known = known[np.r_[True, known[1:] != known[:-1]]]
+        value = np.empty(len(known))
+        value[_by_bucket(known, buckets)[1]] = answers[1] / STEPS
+        scores = [np.add.reduceat(value[np.searchsorted(known, each)][place], first) for each, place, first in parts]
+        return pa.table({
+            "doc_id": rows.column("doc_id"), "held_out": pa.array(rows.column("fold").to_numpy() == 0),
+            **{n: pa.array(x) for n, x in zip(("n_tokens", "n_known", "train_tokens", "base_score"), base)},
+            "score": pa.array(np.concatenate(scores) * np.log10(2)),
+        })
+
+    return run
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -491,25 +717,21 @@ def score(docs: DataFrame) -> DataFrame:
     texts = docs.select(
         F.col("doc_id").cast("long"), fold().alias("fold"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
-    rows = stage_table(texts.mapInArrow(_list, LISTED), "listed")
-    words = rows.where("word is not null").select("block", "word", "n_train", "texts")
-    counts = stage_table(words.groupBy("word").agg(F.sum("n_train").alias("c")).where("c > 0"), "word_counts")
-    whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    total, spread = whole["n"], whole["n"] + 0.1 * (whole["v"] + 1)
-    c = F.coalesce("c", F.lit(0))
-    value = F.log10((c + 0.1) / F.lit(float(spread))) if total else F.lit(0.0)
-    base = (
-        words.join(counts, "word", "left")
-        .select("block", "texts", value.alias("value"), (c > 0).cast("double").alias("known"))
-        .groupBy("block").applyInArrow(_base, "block long, place int, n_known long, base_score double")
-    )
-    lines = rows.where("place is not null").select("block", "place", "doc_id", "held_out", "n_tokens", "text")
-    values = lines.select("block", "text").mapInArrow(_slice_windows, "slice long, window long").join(
-        window_scores(texts), "window"
+    texts = stage_table(texts.mapInArrow(_slice, "slice long, size long, rows binary"), "slices")
+    size = texts.agg(F.sum("size")).first()[0] or 0
+    buckets = min(max(BUCKETS, 1 << (size // BUCKET_BYTES).bit_length()), 1 << 16)
+    words = stage_table(
+        texts.mapInArrow(_pack_words(buckets), "bucket int, slice long, n int, keys binary, fit binary")
+        .repartition("bucket").sortWithinPartitions("bucket", "slice")
+        .mapInArrow(_count_words, f"{VALUES}, total long, met long"),
+        "word_counts",
     )
-    scored = lines.groupBy("block").cogroup(values.groupBy("slice")).applyInArrow(
-        _score, "block long, place int, doc_id long, held_out boolean, n_tokens long, score double"
+    whole = words.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("met"), F.lit(0)).alias("v")).first()
+    total, spread = whole["n"], whole["n"] + 0.1 * (whole["v"] + 1)
+    values = words.where("slice is not null").select(F.lit(0).alias("kind"), "slice", "bucket", "n", "values").unionByName(
+        window_scores(texts, buckets).withColumn("kind", F.lit(1))
     )
-    return scored.join(base, ["block", "place"]).select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"
+    return texts.select("slice", "rows").groupBy("slice").cogroup(values.groupBy("slice")).applyInArrow(
+        _score(buckets, total, float(spread)),
+        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )

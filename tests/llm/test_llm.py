@@ -11,7 +11,9 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from plan_tree import moved_columns
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -357,6 +359,32 @@ def test_context_odds_are_those_of_exact_counts(spark):
                 assert np.abs(packed - np.clip(odds, -8, 8) * context_mixing.SCALE).max() <= 0.51
 
 
+def test_context_mixing_moves_packed_windows_only(spark):
+    rng = random.Random(15)
+    texts = [" ".join(rng.choice(["tea", "Ox", "ruin", "ü", "xylophone"]) for _ in range(rng.randint(0, 30))) for _ in range(200)]
+    docs = documents(spark, texts)
+    one, many = context_mixing.score(docs.coalesce(1)), context_mixing.score(docs.repartition(9, "doc_id"))
+    assert moved_columns(many) and not moved_columns(many) & {"text", "texts", "window", "string"}
+    key = lambda r: (str(r["doc_id"]), r["n_tokens"], r["base_score"])
+    for x, y in zip(sorted(one.collect(), key=key), sorted(many.collect(), key=key), strict=True):
+        assert x[:5] == y[:5] and x["base_score"] == pytest.approx(y["base_score"]) and x["score"] == pytest.approx(y["score"], abs=1e-3)
+
+
+def test_packed_windows_come_back():
+    rng = np.random.default_rng(3)
+    window = rng.integers(0, 1 << 56, 5000, dtype=np.uint64)
+    turned = np.sort(context_mixing._turned(window))
+    assert (np.sort(context_mixing._turned(turned)) == np.sort(window)).all()
+    bucket, place = context_mixing._by_bucket(turned, 16)
+    count = rng.integers(0, 1 << 40, len(turned))
+    rows = pa.Table.from_batches([context_mixing._rows_by_bucket(bucket, 7, turned[place], count, count + 1)])
+    assert rows.num_rows == 16 and sum(rows.column("n").to_pylist()) == len(turned)
+    keys, fit, tune = context_mixing._entries(rows)
+    assert (keys == turned[place]).all() and (fit == count).all() and (tune == count + 1).all()
+    space, end = (np.array([int.from_bytes(b, "big")], np.uint64) for b in (b"ab cdex", b"ab\ncdex"))
+    assert context_mixing._bucket(context_mixing._turned(space), 1 << 16) == context_mixing._bucket(context_mixing._turned(end), 1 << 16)
+
+
 def test_counts_past_float32_are_exact(spark):
     x, p = 0x2078, 0x2070  # a space and x; a space and p
     rare = spark.range(2_000_000).select((F.shiftleft(F.col("id") + 1, 16) + x).alias("window"), F.lit(1).cast("long").alias("fit"))
