@@ -9,6 +9,7 @@ import itertools
 import math
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from perdura.llm.mixing import mix, mixed_documents
 from perdura.llm.near_dedup import keep_one_of_each_group, near_duplicates
 from perdura.llm.suffix_dedup import removed_passages, without_passages
 from perdura.llm.token_counts import PieceCounter, count_tokens
+from perdura.sources.staging import shared_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -440,6 +442,39 @@ def test_vectors_of_few_directions_in_small_cells(spark, monkeypatch):
     assert [got[i] for i in range(len(x))] == linked.sum(axis=1).tolist()
 
 
+def test_vectors_are_stored_a_few_times_however_many_cells_are_near(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 64)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(embedding_dedup, "fit_cells", functools.partial(embedding_dedup.fit_cells, cell=25))
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "perdura"
+    before = set(folder.glob("*"))
+    assert near_duplicate_vectors(frame).where("n_links = 0 and kept").count() == len(x)
+    stored = sum(f.stat().st_size for new in set(folder.glob("*")) - before for f in new.rglob("*.parquet"))
+    assert stored < 4 * x.nbytes
+
+
+def test_vectors_that_meet_in_small_packs(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 40)).astype(np.float32).astype(float)
+    x = np.r_[x, x[:80] + 0.2 * rng.normal(size=(80, 40)), x[:1] + 0.2 * rng.normal(size=(120, 40)), -x[:20], x[200:220], 2 * x[220:240]]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 3)))]
+    frame = spark.createDataFrame(rows + rows[:30] + [(None, rows[0][1])], "vec_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(embedding_dedup, "fit_cells", functools.partial(embedding_dedup.fit_cells, cell=25))
+    for name, value in (("BLOCK", 30), ("PACK_BYTES", 4 << 10), ("STEP", 8), ("WIDEST", 12), ("EDGES", 40), ("SEEN", 10)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    got = {r["vec_id"]: tuple(r)[1:] for r in near_duplicate_vectors(frame).collect() if r["vec_id"] is not None}
+    assert len(got) == len(rows)
+    for size in (40, 3):
+        ids = [i for i, v in rows if len(v) == size]
+        v = np.array([v for _, v in rows if len(v) == size])
+        v /= np.linalg.norm(v, axis=1)[:, None]
+        linked = v @ v.T >= 0.9
+        np.fill_diagonal(linked, False)
+        want = roots(ids, [(ids[a], ids[b]) for a, b in zip(*np.nonzero(linked))])
+        assert [got[i] for i in ids] == [(linked[n].sum(), want[i], want[i] == i) for n, i in enumerate(ids)]
+
+
 def longest_match(word, starts, continuations):
     at = n = 0
     while at < len(word):
