@@ -16,3 +16,10 @@ def spark():
     ship_package(session)
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="module", autouse=True)
+def nothing_stays_cached(spark):
+    """A table that one file's tests keep would stand in the plans that another file's tests look at."""
+    yield
+    spark.catalog.clearCache()
